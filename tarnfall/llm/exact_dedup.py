@@ -1,8 +1,9 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the normalised texts, an external sort places
-equal texts side by side, and a window over neighbours with fully equal bytes
-gives each run its keeper and size. DataFrame functions only.
+Sampled splitters range-partition the normalised texts by their beginnings (and, behind
+equal beginnings, by a hash), an external sort places equal texts side by side, and a
+window over neighbours with fully equal bytes gives each run its keeper and size.
+DataFrame functions only.
 
 Skew: texts with more than ``hot_share`` of all rows (at most 1/hot_share of
 them, found by a pre-aggregated count of 64-bit hashes) are salted by id, so a
@@ -25,6 +26,9 @@ from pyspark.sql.window import Window
 #: A text held by a larger share of the rows is salted.
 HOT_SHARE = 0.001
 SALTS = 64
+#: Characters that splitters hold of a text; behind them its hash orders texts with one
+#: beginning, so that the sample sent to the driver stays small.
+PREFIX = 32
 
 
 def content_sort(
@@ -52,10 +56,11 @@ def content_sort(
     salt = F.lit(0)
     if hot:
         salt = F.when(F.xxhash64("t").isin(hot), F.pmod(F.xxhash64("id"), F.lit(salts)) + 1).otherwise(0)
-    ranged = rows.withColumn("salt", salt.cast("int")).repartitionByRange("t", "salt")
+    rows = rows.select("*", F.substring("t", 1, PREFIX).alias("head"), F.xxhash64("t").alias("h"), salt.cast("int").alias("salt"))
+    ranged = rows.repartitionByRange("head", "h", "salt")
 
     # The keeper is the last row of its run for max, the first for min; null ids lose.
-    run = Window.partitionBy("t", "salt")
+    run = Window.partitionBy("head", "h", "salt", "t")
     order = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
     runs = ranged.select(
         "row",
