@@ -84,21 +84,21 @@ class Model:
         seen = np.unique(np.concatenate([*data.values(), np.zeros(0, np.uint8)]))
         self.classes = np.zeros(256, np.int32)  # 0: a byte that no language has
         self.classes[seen] = np.arange(1, len(seen) + 1)
-        self.pad = len(seen) + 1
-        self.width = len(seen) + 2
+        self.width = len(seen) + 1
         self.roots, tables, base = [], [], 0
         for lang in self.languages:
             automaton = suffix_automaton(self.classes[data[lang]])
-            restart = np.full(self.width, base, np.int32)
+            # The last state follows a byte that the language lacks: a piece of its own.
+            restart = np.full(self.width, base + len(automaton), np.int32)
             for c, to in automaton[0].items():
                 restart[c] = base + to
-            table = np.tile(restart | FLAG, (len(automaton), 1))
+            table = np.tile(restart | FLAG, (len(automaton) + 1, 1))
             for state, steps in enumerate(automaton):
                 table[state, list(steps)] = np.fromiter(steps.values(), np.int32, len(steps)) + base
-            table[:, self.pad] = np.arange(base, base + len(automaton))
+            table[0] = restart  # only a segment's first step leaves the root
             self.roots.append(base)
             tables.append(table)
-            base += len(automaton)
+            base += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.cost = np.array([np.log2(len(data[lang]) + 2) for lang in self.languages])
 

@@ -456,18 +456,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _base32_sql(sha_hex: str) -> str:
-    """Base32 letters of 40 hex digits in DuckDB."""
-    bits = f"list_transform(range(0, 40), i -> ('0x' || substr({sha_hex}, i + 1, 1))::INT)"
-    value = "list_transform(range(0, 8), g -> list_reduce(n[5 * g + 1 : 5 * g + 5], (a, b) -> a * 16 + b))"
+def _base32_sql(sha_hex: str) -> tuple[str, str, str]:
+    """DuckDB expressions: the digits n, five at a time v, and their Base32 letters."""
+    bits = f"list_transform(range(0, 40), lambda i: ('0x' || substr({sha_hex}, i + 1, 1))::INT)"
+    value = "list_transform(range(0, 8), lambda g: list_reduce(n[5 * g + 1 : 5 * g + 5], lambda a, b: a * 16 + b))"
     letters = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v[k // 4 + 1] >> (15 - 5 * (k % 4))) % 32 + 1, 1)"
-    return bits, value, f"array_to_string(list_transform(range(0, 32), k -> {letters}), '')"
+    return bits, value, f"array_to_string(list_transform(range(0, 32), lambda k: {letters}), '')"
 
 
 _N, _V, _B32 = _base32_sql("sha")
 OP3_SQL = f"""
 WITH a AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
-b AS (SELECT page_id, octet_length(encode(p)) AS payload_bytes, sha1(p) AS sha,
+b AS (SELECT page_id, strlen(p) AS payload_bytes, sha1(p) AS sha,
              max(page_id) OVER (PARTITION BY p) AS keep FROM a),
 c AS (SELECT *, {_N} AS n FROM b), d AS (SELECT *, {_V} AS v FROM c)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,

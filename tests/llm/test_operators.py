@@ -1,0 +1,435 @@
+"""Operators against plain Python, round trips and held-out accuracy."""
+
+import gzip
+import random
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarnfall.llm import decontaminate, exact_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, registry, toxicity, url_filter, warc
+from tarnfall.llm import tokens as K
+
+SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
+TEXT = st.text(st.sampled_from(list("abAZé09 \t\n.,ßü中\x00\x0b\x1f\x85\u2028")), max_size=60)
+
+
+def table(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def offsets(texts):
+    return K.utf8(pa.array(texts, pa.string()))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
+def test_words_and_shingles(texts):
+    at, raw = offsets(texts)
+    for sep, split in ((K.WHITE, brute.words), (K.NOT_WORD, brute.plain_words)):
+        w = K.Words(at, raw, sep)
+        got = [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end)]
+        assert got == [x for t in texts for x in split(t)]
+        assert w.counts().tolist() == [len(split(t)) for t in texts]
+    w = K.Words(at, raw)
+    h = w.hashes()
+    same = {}
+    for a, b, x in zip(w.start, w.end, h.tolist()):
+        assert same.setdefault(bytes(w.data[a:b]), x) == x
+    assert len(set(same.values())) == len(same)
+    assert [len(s) for s in K.shingles(w, 5)] == [len(brute.shingles(t)) for t in texts]
+
+
+def near_corpus(seed=3):
+    rng = random.Random(seed)
+    make = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    docs, i = [], 0
+    for size in (3, 5, 8, 30, 60, 120, 300):
+        base = make(size)
+        for k in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, size // 12))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            docs.append((i * 7 % 1009, " ".join(w).upper() if k % 3 == 0 else " \n".join(w)))
+            i += 1
+    docs += [(2000, None), (2001, ""), (2002, " \t"), (2003, "one two"), (2004, "ONE\ntwo"), (2005, "one")]
+    return docs
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    docs = near_corpus()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    want = brute.near_components(docs)
+    assert {r.id: r.component for r in got} == want
+    assert {r.id: r.n_shingles for r in got} == {i: len(brute.shingles(t)) for i, t in docs}
+
+
+def test_block_stage_links_what_hubs_miss(spark):
+    """b and c are linked with each other but not with the hub a of their bucket."""
+    def ids(x):
+        return spark.createDataFrame(x, "key bigint, id bigint, hub bigint, size bigint")
+
+    s = {1: range(0, 100), 2: range(40, 140), 3: range(45, 145), 4: range(500, 600)}
+    sets = [(i, len(v), np.array(v, np.uint64).tobytes(), np.array(v, np.uint32).tobytes()) for i, v in s.items()]
+    sets = spark.createDataFrame(sets, "id bigint, n bigint, s binary, t binary")
+    members = ids([(9, i, 1, 4) for i in s] + [(8, i, 1, 4) for i in s])
+    labels = spark.createDataFrame([], "id bigint, component bigint")
+    pairs = minhash_dedup.block_links(members, labels, sets)
+    assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
+    assert [tuple(r) for r in minhash_dedup.confirmed(pairs, sets).collect()] == [(2, 3)]
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(20)] + [(30, 35), (35, 33), (33, 30)] + [(100, 100 + k) for k in range(1, 40)]
+    got = minhash_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    got = {r.id: r.component for r in got.collect()}
+    assert got == {**{k: 0 for k in range(21)}, 30: 30, 33: 30, 35: 30, **{100 + k: 100 for k in range(40)}}
+    assert minhash_dedup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_near_dedup_query(spark):
+    docs = [tuple(r) for r in table(spark, "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in registry.queries()["op1_minhash_dedup"](spark, SF).collect()}
+    want = brute.near_components(docs)
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def close(a, b):
+    return a == pytest.approx(b, rel=1e-9, abs=1e-9)
+
+
+def test_lm_scores(spark):
+    docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in registry.queries()["op2_lm_scoring"](spark, SMALL).collect()}
+    want = brute.base_scores(docs)
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[i][:3]
+        assert close(r.base_score, want[i][3])
+        assert r.held_out == (brute.fold(i, 5) == 1)
+
+
+@pytest.mark.parametrize("chunk", [2_000_000, 500])
+def test_lm_model(spark, monkeypatch, chunk):
+    """The mixture, with its counts and EM weights, in plain Python."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lm_scoring, "KEY_TOKENS", 900)
+    monkeypatch.setattr(lm_scoring, "CONTEXTS", 40)
+    docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()][:60]
+    docs = [(i, " ".join((t or "").split()[:80])) for i, t in docs] + [(9001, None), (9002, "the of the")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    seen = {}
+    real = lm_scoring.interpolation_weights
+    monkeypatch.setattr(lm_scoring, "interpolation_weights", lambda c, u: seen.setdefault("w", real(c, u)))
+    vocab = lm_scoring.vocabulary
+    monkeypatch.setattr(lm_scoring, "vocabulary", lambda rows: seen.setdefault("m", vocab(rows, lm_scoring.KEY_TOKENS)))
+    got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
+    model, lam = seen["m"], seen["w"]
+    assert model.keys > 1 and 1 < len(model.frequent) <= 41
+    frequent = set(model.frequent.tolist())
+
+    def ctx(w):
+        h = K.word_hash(w.encode())
+        return w if h in frequent else "<rare>"
+
+    tokens = {i: brute.words(t) + ["</s>"] for i, t in docs}
+    pairs = {i: list(zip(["<s>"] + [ctx(w) for w in ws[:-1]], ws)) for i, ws in tokens.items()}
+    c1, c2, cu = {}, {}, {}
+    for i, ps in pairs.items():
+        if brute.fold(i, 5) != 1:
+            for u, w in ps:
+                c1[w] = c1.get(w, 0) + 1
+                c2[u, w] = c2.get((u, w), 0) + 1
+                cu[u] = cu.get(u, 0) + 1
+    n, v = sum(c1.values()), len(c1)
+    for i, ps in pairs.items():
+        s = 0.0
+        for u, w in ps:
+            k = int(np.floor(np.log2(cu.get(u, 0) + 1)))
+            p2 = c2.get((u, w), 0) / cu[u] if cu.get(u) else 0
+            s += np.log10(lam[k][0] * p2 + lam[k][1] * c1.get(w, 0) / n + lam[k][2] / (v + 1))
+        assert close(got[i], s)
+    # A distribution: over the vocabulary and one unknown word it adds up to 1.
+    for u in cu:
+        k = int(np.floor(np.log2(cu[u] + 1)))
+        total = lam[k][2] / (v + 1) + sum(lam[k][0] * c2.get((u, w), 0) / cu[u] + lam[k][1] * c1[w] / n + lam[k][2] / (v + 1) for w in c1)
+        assert total == pytest.approx(1)
+
+
+def test_lm_beats_the_base(spark):
+    r = registry.queries()["op2_lm_scoring"](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
+def test_em_prefers_the_better_estimate():
+    class Cell:
+        def __init__(self, cell, w, p2, p1):
+            self.cell, self.w, self.w2, self.w1 = cell, w, w * p2, w * p1
+
+    base = 3 * lm_scoring.LEVELS**2
+    lam = lm_scoring.interpolation_weights([Cell(base + 1, 90, 0.5, 0.01), Cell(base + 2, 10, 0.0, 0.2)], 1e-4)
+    assert lam[3][0] > 0.8 and lam[3].sum() == pytest.approx(1)
+    assert (lam[0] == lam[3]).all()
+
+
+def test_mixing_targets(spark):
+    docs = table(spark, "documents")
+    out = mixing.mix(docs).collect()
+    sizes = {}
+    for r in out:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = brute.mix_targets(sizes)
+    biggest = max(r.size for r in out)
+    taken = {}
+    for r in out:
+        assert r.target == pytest.approx(want[r.source])
+        assert 0 <= r.copies <= 3
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+    assert all(abs(taken[s] - want[s]) <= biggest for s in sizes)
+    again = {(r.id, r.copies) for r in mixing.mix(docs.repartition(5)).collect()}
+    assert again == {(r.id, r.copies) for r in out}
+    stage = mixing.mixed(docs).select("doc_id", "copies").collect()
+    assert {tuple(r) for r in stage} == {(r.id, r.copies) for r in out if r.copies}
+
+
+def test_mixing_caps(spark):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (1000, "b"), (10, None), (0, "c")])]
+    got = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == pytest.approx({"a": 30.0, "b": 960.0, "c": 0.0, None: 30.0})
+
+
+def test_exact_dedup_salts_hot_texts(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i % 50}") for i in range(900)] + [(None, "hot"), (899, "hot"), (None, "solo"), (None, None), (-4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for keep, best in (("max", max), ("min", min)):
+        got = exact_dedup.content_sort(df, keep, hot_share=0.01, salts=8).collect()
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t or "", []).append(i)
+        assert len(got) == len(rows)
+        for r in got:
+            g = groups[r.row.text or ""]
+            assert r.group_size == len(g)
+            assert r.keep_id == best([i for i in g if i is not None], default=None)
+        assert sum(r.kept for r in got) == len(groups)
+        assert all(r.row.doc_id == r.keep_id for r in got if r.kept)
+    assert exact_dedup.dedup(df, hot_share=0.01).count() == len(groups)
+
+
+def test_exact_dedup_plan(spark):
+    plan = exact_dedup.content_sort(table(spark, "documents"), "max")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(head" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_url_trie(spark):
+    R = url_filter.Rule
+    rules = [*url_filter.RULES, R("block", "a.com", "/x"), R("allow", "a.com", "/x/y"), R("block", "org", ""), R("allow", "b.org", "/q")]
+    urls = ["http://a.com/xyz", "http://A.com/x/yz?x#y", "ftp://u.a.com/", "https://b.org", "https://b.org/q/r", "http://xcom/", "nothing", None, "http://", "a://b.net/es/", "http://b.net/es", "x://a.com?/x", "http://.com/"]
+
+    def slow(url):
+        host, path = url_filter.split_url(url)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "block"), default=None)
+        return (host, path, best.name if best else None, best.verdict if best else "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for most in (url_filter.MAX_RULE_BYTES, 100):
+        got = url_filter.judge(df, rules, most=most).collect()
+        assert {r.page_id: tuple(r)[1:] for r in got} == {i: slow(u) for i, u in enumerate(urls)}
+    with pytest.raises(ValueError):
+        url_filter.Trie([R("maybe", "x")])
+
+
+def archive(spark, path, rows):
+    warc.register(spark)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    warc.with_revisits(df, "page_id", "url", "html", "2024-01-01T00:00:00Z").write.format("warc").mode("append").save(path)
+    return spark.read.format("warc")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows = [(1, "http://a/1", "x"), (2, "http://a/2\r\nEvil: 1", "x"), (3, None, "WARC/1.1\r\n\r\n"), (4, "http://ü/", None), (5, "u", "é" * 300_000), (6, "v", "")]
+    path = f"file://{tmp_path}/w"
+    got = {r.record_id: r for r in archive(spark, path, rows).load(path).collect()}
+    assert len(got) == 6
+    at = lambda i: got[f"<urn:page:{i}>"]
+    assert (at(2).record_type, bytes(at(2).payload), at(2).target_uri) == ("response", b"x", "http://a/2%0D%0AEvil: 1")
+    assert (at(1).record_type, at(1).payload, at(1).refers_to, at(1).payload_length) == ("revisit", None, "<urn:page:2>", "1")
+    assert (at(4).record_type, at(4).refers_to, at(6).record_type, bytes(at(6).payload)) == ("revisit", "<urn:page:6>", "response", b"")
+    assert bytes(at(3).payload) == b"WARC/1.1\r\n\r\n" and at(3).target_uri is None
+    assert bytes(at(5).payload).decode() == "é" * 300_000
+    assert at(5).payload_digest == "sha1:" + warc.digest(("é" * 300_000).encode())
+    names = [p.name for p in (tmp_path / "w").iterdir()]
+    assert names and all(n.startswith("part_") for n in names)
+
+
+def test_warc_pushdown_and_skipping(spark, tmp_path):
+    rows = [(i, f"http://{'ab'[i % 2]}/{i}", f"text {i // 3}") for i in range(30)]
+    path = f"file://{tmp_path}/w"
+    read = archive(spark, path, rows)
+    df = read.load(path).where(F.col("record_type").isin("revisit", "other") & F.col("target_uri").startswith("http://a/"))
+    assert {r.record_id for r in df.collect()} == {f"<urn:page:{i}>" for i in range(30) if i % 2 == 0 and i % 3 != 2}
+    assert read.load(path).where("record_type = 'response'").count() == 10
+    bare = read.option("payload", "false").load(path).collect()
+    assert len(bare) == 30 and all(r.payload is None for r in bare)
+    # The reader itself filters, and passes over members without inflating them.
+    reader = warc.WarcReader({"path": path})
+    left = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("content_length",), 3)]))
+    assert len(left) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 20
+
+
+def test_warc_plain_and_foreign_files(tmp_path):
+    head = {"WARC-Type": "response", "WARC-Record-ID": "<a>", "Content-Type": "application/http"}
+    a, b = warc.record(head, warc.http_block(b"one" * 10)), warc.record({"WARC-Type": "warcinfo"}, b"info")
+    (tmp_path / "x.warc").write_bytes(a + b + a)
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(a) + gzip.compress(b + a))
+    (tmp_path / "z.warc.gz").write_bytes(warc.member(a) + warc.member(b))
+    (tmp_path / "skip.txt").write_text("no")
+    for skip in (False, True):
+        reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+        if skip:
+            list(reader.pushFilters([warc.EqualTo(("record_type",), "response")]))
+        rows = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+        assert [r["payload"] for r in rows if r["record_type"] == "response"] == [b"one" * 10] * 5
+        assert sum(r["record_type"] == "warcinfo" for r in rows) == (0 if skip else 3)
+    (tmp_path / "t.warc").write_bytes(a[:-20])
+    with pytest.raises(ValueError):
+        list(reader.records(str(tmp_path / "t.warc"), warc.pafs.LocalFileSystem()))
+
+
+def test_language_pieces():
+    rng = random.Random(5)
+    texts = {lang: "".join(rng.choice(a) for _ in range(3000)).encode() for lang, a in (("x", "abc de"), ("y", "cdefé g"))}
+    model = language_id.Model(texts)
+    docs = ["abc cab", "", "gfe dcé", "ZZ", "".join(rng.choice("abcdefg é") for _ in range(400))]
+    at, raw = offsets(docs)
+    got = model.pieces(at, raw)
+    for k, t in enumerate(docs):
+        for j, lang in enumerate(model.languages):
+            assert got[k, j] == brute.greedy_pieces(language_id.LETTERS[np.frombuffer(t.encode(), np.uint8)].tobytes(), texts[lang])
+
+
+def test_language_accuracy(spark):
+    docs = table(spark, "documents", "/root/testdata/sf0.1")
+    got = registry.queries()["op10_language_id"](spark, "/root/testdata/sf0.1").join(docs, "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+
+
+def test_toxicity_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    got = registry.queries()["op6_toxicity"](spark, sf).join(table(spark, "labels", sf), "doc_id").where("held_out").collect()
+    toxic = [r for r in got if r.toxic == 1]
+    clean = [r for r in got if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
+
+
+def test_kneser_ney_is_a_distribution():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(1, 40, 30).astype(np.uint64) for _ in range(60)]
+    kn = toxicity.KneserNey(words, np.arange(60) < 20)
+    assert kn.size and np.isfinite(kn.unigram).all() and np.isfinite(kn.own).all()
+
+
+def license_base(text):
+    w = brute.plain_words(text)
+    at = []
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        at += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_license_base(spark):
+    docs = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    got = registry.queries()["op7_license_scan"](spark, SF).collect()
+    for r in got:
+        assert tuple(r)[1:6] == license_base(docs[r.doc_id])
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+        assert 0 <= r.score <= 1
+    assert sum(r.n_base > 0 for r in got) > 5
+
+
+def test_license_spans():
+    mit = license_scan.TEMPLATES["mit"][1]
+    edited = mit.replace("free of charge", "gratis").replace("Software", "Program", 1)
+    texts = ["intro words " + mit + " the end", edited, "MIT License, apache\nlicense", "the of and to the rights to use", None, "Licensed under CC BY-NC 4.0."]
+    got = list(license_scan.Scanner().scan(pa.array(texts, pa.string())))
+    assert got[0][2][0].label == "mit" and got[0][2][0].cover == 1 and got[0][2][0].start == 2
+    assert got[1][2][0].label == "mit" and got[1][2][0].cover > 0.85
+    assert sorted(got[2][1]) == [(0, "mit"), (2, "apache")] and not got[2][2]
+    assert not got[3][1] and not got[3][2] and got[4] == (0, [], [])
+    assert got[5][2][0].label == "cc-by-nc"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=40), st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=12), min_size=1, max_size=3))
+def test_matching_statistics(text, sequences):
+    auto = license_scan.Automaton(sequences)
+    for end, (n, state) in enumerate(auto.statistics(text), 1):
+        def inside(m):
+            part = text[end - m : end]
+            return [k for k, s in enumerate(sequences) if any(s[i : i + m] == part for i in range(len(s) - m + 1))]
+        best = max(m for m in range(end + 1) if m == 0 or inside(m))
+        assert n == best
+        if n:
+            assert sorted(auto.ends[state]) == inside(n)
+            for k, e in auto.ends[state].items():
+                assert sequences[k][e - n : e] == text[end - n : end]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=14), st.lists(st.integers(0, 5), min_size=1, max_size=25))
+def test_alignment(a, b):
+    score, _ = decontaminate.align(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert score == brute.smith_waterman(a, b)
+
+
+def test_leaks(spark):
+    rng = random.Random(2)
+    item = lambda n: " ".join(f"q{rng.randrange(5000)}" for _ in range(n))
+    items = [(k, item(40)) for k in range(5)] + [(5, "two words"), (6, None), (7, "")]
+    def edit(t, every):
+        w = t.split()
+        return " ".join("changed" if k % every == every - 1 else x for k, x in enumerate(w) if k % 13 != 5)
+    docs = [
+        (1, "x " * 30 + items[0][1].upper() + " y" * 20), (2, edit(items[1][1], 9)), (3, items[2][1] + " , " + items[3][1]),
+        (4, item(300)), (5, None), (6, ""), (7, "some two words here"), (8, "two other words"), (9, " ".join(items[4][1].split()[:12])),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r for r in got.collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 2), (3, 3), (7, 5)}
+    assert (got[1, 0].share, got[1, 0].start_word, got[1, 0].end_word) == (1.0, 30, 70)
+    assert 0.5 < got[2, 1].share < 1
+
+
+def test_leaks_query(spark):
+    items = {r.item_id: brute.plain_words(r.text) for r in table(spark, "benchmark").collect()}
+    docs = {r.doc_id: brute.plain_words(r.text) for r in table(spark, "documents").collect()}
+    got = {(r.doc_id, r.item_id): r.share for r in registry.queries()["op9_decontaminate"](spark, SF).collect()}
+    def inside(a, b):
+        return " " + " ".join(a) + " " in " " + " ".join(b) + " "
+    whole = {(i, k) for i, d in docs.items() for k, w in items.items() if inside(w, d)}
+    assert whole and whole == {p for p, s in got.items() if s == 1}
+    rng = random.Random(1)
+    others = [(i, k) for i in rng.sample(sorted(docs), 6) for k in rng.sample(sorted(items), 4)]
+    for i, k in others:
+        share = brute.smith_waterman(items[k], docs[i][:1500]) / (2 * len(items[k]))
+        assert (share >= 0.5) <= ((i, k) in got)
+
+
+def test_common_seeds_keep_widespread_items(spark):
+    rng = random.Random(4)
+    item = " ".join(f"q{rng.randrange(900)}" for _ in range(30))
+    docs = [(k, "of the and to " * 3 + (item if k % 3 == 0 else "")) for k in range(600)]
+    items = [(1, item), (2, "of the and to " + " ".join(f"z{k}" for k in range(20)))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(k, 1) for k in range(0, 600, 3)]
