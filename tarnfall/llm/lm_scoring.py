@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold, written
+from tarnfall.llm.common import Scratch, fold
 
 FOLDS, HELD_OUT = 5, 1
 TRAIN = (0, 2, 3, 4)
@@ -51,7 +51,9 @@ START, RARE = 65_534, 65_535
 END = np.uint64(1)
 CHUNK_TOKENS = 2_000_000
 CHUNK_ROWS = 60_000
-KEY_TOKENS = 1_500_000
+KEY_TOKENS = 3_000_000
+#: A word with more than this share of a key's tokens is dealt by (context, word).
+SPREAD = 0.1
 BUCKETS = 64
 #: Cells of the EM histogram: half octaves of p / uniform.
 LEVELS, OFFSET = 256, 120
@@ -122,6 +124,7 @@ class Vocabulary:
     total: np.ndarray  # tokens of each fold
     size: int  # V
     keys: int
+    spread: np.ndarray  # of each frequent word, whether it is dealt by (context, word)
 
     @property
     def uniform(self) -> float:
@@ -134,7 +137,8 @@ class Vocabulary:
 
 
 def vocabulary(rows: DataFrame, tokens_hint: int = KEY_TOKENS) -> Vocabulary:
-    counts = written(word_counts(rows), "words")
+    tmp = Scratch(rows.sparkSession)
+    counts = tmp.written(word_counts(rows), "words")
     n = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
     columns = [F.sum(f"n{k}") for k in range(len(TRAIN))]
     size, *total = counts.agg(F.count(F.lit(1)), *columns).first()
@@ -147,8 +151,9 @@ def vocabulary(rows: DataFrame, tokens_hint: int = KEY_TOKENS) -> Vocabulary:
             break
         words, least = words + r["count"], r.level
     top = counts.where(level >= least).collect() if least is not None else []
-    table = {np.uint64(r.h % (1 << 64)): [r.n0, r.n1, r.n2, r.n3] for r in top}
     ends = counts.where(F.col("h") == int(END)).first()
+    tmp.drop("words")
+    table = {np.uint64(r.h % (1 << 64)): [r.n0, r.n1, r.n2, r.n3] for r in top}
     table[END] = [ends.n0, ends.n1, ends.n2, ends.n3] if ends else [0, 0, 0, 0]
     frequent = np.array(sorted(table), np.uint64)
     own = np.array([table[h] for h in frequent], np.int64).reshape(-1, len(TRAIN))
@@ -158,7 +163,7 @@ def vocabulary(rows: DataFrame, tokens_hint: int = KEY_TOKENS) -> Vocabulary:
     context[START] = table[END]
     context[RARE] = total - context.sum(0)
     keys = max(1, -(-int(total.sum()) * FOLDS // (len(TRAIN) * tokens_hint)))
-    return Vocabulary(frequent, own, context, total, size, keys)
+    return Vocabulary(frequent, own, context, total, size, keys, own.sum(1) > SPREAD * tokens_hint)
 
 
 PACK = ("ids", "part", "times", "v", "run", "context", "row", "n")
@@ -196,8 +201,9 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         context[1:] = word[:-1]
         context[first] = START
         mixed = K.mix(h)
-        spread = K.mix(h ^ (context + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15))
-        key = np.where(word == RARE, mixed, spread) % np.uint64(model.keys)
+        key = mixed % np.uint64(model.keys)
+        hot = np.flatnonzero(np.append(model.spread, False)[np.minimum(word, len(model.spread))])
+        key[hot] = K.mix(h[hot] ^ (context[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.keys)
         # By key, word, context and text; of the word only some bits, as runs are told apart by all.
         rank = key << np.uint64(48) | (mixed >> np.uint64(48)) << np.uint64(32) | context << np.uint64(16) | row
         order = np.argsort(rank)
@@ -264,22 +270,24 @@ class Pairs:
         self.sizes = [len(p["ids"]) for p in parts]
         self.ids = np.concatenate([p["ids"] for p in parts])
         base = np.cumsum([0] + self.sizes)[:-1]
-        self.row = np.concatenate([p["row"].astype(np.int64) + b for p, b in zip(parts, base)])
-        self.n = np.concatenate([p["n"] for p in parts]).astype(np.int64)
-        self.context = np.concatenate([p["context"] for p in parts]).astype(np.int64)
-        v = np.repeat(np.concatenate([p["v"] for p in parts]), np.concatenate([p["run"] for p in parts]))
+        self.row = np.concatenate([p["row"].astype(np.int32) + np.int32(b) for p, b in zip(parts, base)])
+        self.n = np.concatenate([p["n"] for p in parts])
+        context = np.concatenate([p["context"] for p in parts])
         fold_, times = (np.concatenate([p[k] for p in parts]) for k in ("part", "times"))
-        words, word = np.unique(v, return_inverse=True)
-        pairs, self.pair = np.unique(word << 16 | self.context, return_inverse=True)
+        words, run = np.unique(np.concatenate([p["v"] for p in parts]), return_inverse=True)
+        self.word = np.repeat(run.astype(np.int32), np.concatenate([p["run"] for p in parts]))
+        del parts
+        pairs, pair = np.unique(self.word.astype(np.int64) << 16 | context, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del pair, context
         self.pair_word, self.pair_context = pairs >> 16, pairs & 0xFFFF
-        self.word = word
-        weight, fold_ = self.n * times[self.row], fold_[self.row]
         self.c2 = np.zeros((len(pairs), len(TRAIN)))
         self.c1 = np.zeros((len(words), len(TRAIN)))
         for k, j in enumerate(TRAIN):
-            w = np.where(fold_ == j, weight, 0)
-            self.c2[:, k] = np.bincount(self.pair, w, len(pairs))
-            self.c1[:, k] = np.bincount(word, w, len(words))
+            of = np.flatnonzero(fold_[self.row] == j)
+            w = self.n[of] * times[self.row[of]].astype(np.float64)
+            self.c2[:, k] = np.bincount(self.pair[of], w, len(pairs))
+            self.c1[:, k] = np.bincount(self.word[of], w, len(words))
         common = model.ids(words)
         known = common != RARE
         self.c1[known] = model.counts[common[known]]
@@ -315,13 +323,16 @@ def deleted_cells(table: pa.Table, model: Vocabulary) -> pa.Table:
 
 
 def interpolation_weights(cells: list, uniform: float) -> np.ndarray:
-    """BUCKETS x (l2, l1, l0) by EM on the held-out counts of each bucket."""
+    """BUCKETS x (l2, l1, l0) by EM on the held-out counts of each bucket.
+
+    cells: rows of cell, w, w2 and w1 as from deleted_cells."""
     weights = np.full((BUCKETS, 3), np.nan)
-    of = np.array([r.cell // LEVELS**2 for r in cells], np.int64)
+    cell, w_, w2, w1 = (np.array([r[k] for r in cells]) for k in ("cell", "w", "w2", "w1"))
+    of = cell.astype(np.int64) // LEVELS**2
     for b in np.unique(of):
-        rows = [cells[k] for k in np.flatnonzero(of == b)]
-        w = np.array([r.w for r in rows])
-        p = np.stack([[r.w2 / r.w for r in rows], [r.w1 / r.w for r in rows], np.full(len(rows), uniform)], 1)
+        at = np.flatnonzero(of == b)
+        w = w_[at]
+        p = np.stack([w2[at] / w, w1[at] / w, np.full(len(at), uniform)], 1)
         lam = np.full(3, 1 / 3)
         for _ in range(ROUNDS):
             part = p * lam
@@ -337,8 +348,9 @@ def interpolation_weights(cells: list, uniform: float) -> np.ndarray:
     return weights[near]
 
 
-def text_sums(table: pa.Table, model: Vocabulary, weights: np.ndarray) -> pa.Table:
+def text_sums(table: pa.Table, model: Vocabulary) -> pa.Table:
     """For each chunk: its texts' sums over this key's tokens."""
+    weights = np.frombuffer(table["weights"][0].as_py(), np.float64).reshape(BUCKETS, 3)
     t = Pairs(table, model)
     total, c1, u = float(model.total.sum()), t.c1.sum(1), model.context.sum(1)
     lam = weights[bucket(u[t.pair_context])]
@@ -359,6 +371,20 @@ def text_sums(table: pa.Table, model: Vocabulary, weights: np.ndarray) -> pa.Tab
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
+def learned(arrays: DataFrame, vocab) -> DataFrame:
+    """One row: the mixture weights as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [interpolation_weights(rows, vocab.value.uniform).tobytes() for rows in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["weights"])
+
+    cells = arrays.groupBy("key").applyInArrow(lambda t: deleted_cells(t, vocab.value), "cell bigint, w double, w2 double, w1 double")
+    cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("w", "w2", "w1")])
+    # A bounded number of cells, whatever the corpus.
+    return cells.agg(F.sort_array(F.collect_list(F.struct("cell", "w", "w2", "w1"))).alias("cells")).mapInArrow(run, "weights binary")
+
+
 def added_up(table: pa.Table) -> pa.Table:
     ids, counts, sums = [], [], []
     for d in table["data"].to_pylist():
@@ -386,13 +412,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         units = rows.groupBy("uid").agg(F.first("text").alias("text"), F.first("part").alias("part"), F.count(F.lit(1)).cast("int").alias("times"))
     model = vocabulary(units)
     shared = spark.sparkContext.broadcast(model)
-    arrays = packed(units, shared)
-
-    cells = arrays.groupBy("key").applyInArrow(lambda t: deleted_cells(t, shared.value), "cell bigint, w double, w2 double, w1 double")
-    cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("w", "w2", "w1")]).orderBy("cell").collect()
-    weights = interpolation_weights(cells, model.uniform)
-
-    sums = arrays.groupBy("key").applyInArrow(lambda t: text_sums(t, shared.value, weights), "chunk bigint, data binary")
+    # One plan: the weights are a subquery over the same exchange, which is made once.
+    arrays = packed(units, shared).repartition("key")
+    weighted = arrays.withColumn("weights", learned(arrays, shared).scalar())
+    sums = weighted.groupBy("key").applyInArrow(lambda t: text_sums(t, shared.value), "chunk bigint, data binary")
     out = sums.groupBy("chunk").applyInArrow(added_up, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     if unique:
         out = out.withColumnRenamed("uid", id_col)

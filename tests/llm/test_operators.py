@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnfall.llm import decontaminate, exact_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, registry, toxicity, url_filter, warc
+from tarnfall.llm import common, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, registry, toxicity, url_filter, warc
 from tarnfall.llm import tokens as K
 
 SF = "/root/testdata/sf0.01"
@@ -81,7 +81,7 @@ def test_block_stage_links_what_hubs_miss(spark):
     sets = spark.createDataFrame(sets, "id bigint, n bigint, s binary, t binary")
     members = ids([(9, i, 1, 4) for i in s] + [(8, i, 1, 4) for i in s])
     labels = spark.createDataFrame([], "id bigint, component bigint")
-    pairs = minhash_dedup.block_links(members, labels, sets)
+    pairs = minhash_dedup.block_links(members, labels, sets, common.Scratch(spark))
     assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
     assert [tuple(r) for r in minhash_dedup.confirmed(pairs, sets).collect()] == [(2, 3)]
 
@@ -127,12 +127,12 @@ def test_lm_model(spark, monkeypatch, chunk):
     docs = [(i, " ".join((t or "").split()[:80])) for i, t in docs] + [(9001, None), (9002, "the of the")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
     seen = {}
-    real = lm_scoring.interpolation_weights
-    monkeypatch.setattr(lm_scoring, "interpolation_weights", lambda c, u: seen.setdefault("w", real(c, u)))
+    learned = lm_scoring.learned
+    monkeypatch.setattr(lm_scoring, "learned", lambda *a: seen.setdefault("w", learned(*a)))
     vocab = lm_scoring.vocabulary
     monkeypatch.setattr(lm_scoring, "vocabulary", lambda rows: seen.setdefault("m", vocab(rows, lm_scoring.KEY_TOKENS)))
     got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
-    model, lam = seen["m"], seen["w"]
+    model, lam = seen["m"], np.frombuffer(seen["w"].first()[0]).reshape(-1, 3)
     assert model.keys > 1 and 1 < len(model.frequent) <= 41
     frequent = set(model.frequent.tolist())
 
@@ -170,12 +170,11 @@ def test_lm_beats_the_base(spark):
 
 
 def test_em_prefers_the_better_estimate():
-    class Cell:
-        def __init__(self, cell, w, p2, p1):
-            self.cell, self.w, self.w2, self.w1 = cell, w, w * p2, w * p1
+    def cell(at, w, p2, p1):
+        return {"cell": at, "w": w, "w2": w * p2, "w1": w * p1}
 
     base = 3 * lm_scoring.LEVELS**2
-    lam = lm_scoring.interpolation_weights([Cell(base + 1, 90, 0.5, 0.01), Cell(base + 2, 10, 0.0, 0.2)], 1e-4)
+    lam = lm_scoring.interpolation_weights([cell(base + 1, 90, 0.5, 0.01), cell(base + 2, 10, 0.0, 0.2)], 1e-4)
     assert lam[3][0] > 0.8 and lam[3].sum() == pytest.approx(1)
     assert (lam[0] == lam[3]).all()
 
