@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import MAX_BROADCAST_IDS, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, Scratch, written
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 180, 6
@@ -126,7 +126,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    one = sets.dropDuplicates(["id"]).select("id", "s")
+    one = sets.select("id", "s")
     joined = pairs.join(one.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     joined = joined.join(one.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -137,8 +137,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes: each is one
     pre-aggregated minimum and one join, written to the shared folder."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
-    state = None
+    tmp = Scratch(edges.sparkSession)
+    edges = tmp.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star-0")
+    state, step = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -146,7 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u != v").distinct(), "star")
+        step += 1
+        edges = tmp.written(small.where("u != v").distinct(), f"star-{step}")
+        tmp.drop(f"star-{step - 1}")
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.min("u")).first()
         if state == now:
             break
@@ -155,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """Pairs to confirm between components that still share a bucket.
 
     members: key, id, hub, size. The hub was compared with all, so it stays out."""
@@ -167,7 +170,7 @@ def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     )
     # Buckets with the same members are one.
     mixed = mixed.where("lo != hi").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    m = written(m.join(mixed, "key", "left_semi"), "mixed")
+    m = tmp.written(m.join(mixed, "key", "left_semi"), "mixed")
     # A component that fills half a block or more has blocks of its own; the others share.
     size = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     big = size.where(F.col("n") >= BLOCK // 2)
@@ -177,11 +180,12 @@ def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     own = F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), parts("n")).alias("part"))
     other = F.struct(F.lit(None).cast("bigint").alias("of"), F.pmod(F.xxhash64("component"), parts("few")).alias("part"))
     m = m.select("key", "id", "component", F.when(F.col("n").isNotNull(), own).otherwise(other).alias("block"))
+    m = tmp.written(m, "blocks")
     blocks = m.select("key", "block").distinct()
     left, right = blocks.withColumnRenamed("block", "i"), blocks.withColumnRenamed("block", "j")
     tasks = left.join(right, "key").where("i <= j AND (i.of IS NULL OR j.of IS NULL OR i.of != j.of)")
     tasks = tasks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = m.join(tasks, ["key", "block"]).join(sets.dropDuplicates(["id"]).select("id", F.col("n").alias("n"), "t"), "id")
+    rows = m.join(tasks, ["key", "block"]).join(sets.select("id", "n", "t"), "id")
     rows = rows.select("key", F.to_json("i").alias("i"), F.to_json("j").alias("j"), "id", "component", "n", "t")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -228,25 +232,29 @@ def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """id, n_shingles and component of every row."""
+    tmp = Scratch(docs.sparkSession)
     signed = written(signatures(docs, id_col, text_col, k), "signed")
     nodes = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     keyed = nodes.select(F.explode("bands").alias("key"), "id", "n")
     shared = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(
-        keyed.join(shared, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"),
-        "members",
-    )
+    members = keyed.join(shared, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size")
+    members = tmp.written(members, "members")
     fits = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
     pairs = members.where((F.col("id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    pairs = tmp.written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.where("size > 2").select("id")).distinct()
-    sets = written(full_sets(docs, id_col, text_col, k, written(wanted, "wanted")), "sets")
-    labels = components(confirmed(pairs, sets))
-    more = written(confirmed(block_links(members, labels, sets), sets), "more")
+    wanted = tmp.written(wanted, "wanted")
+    sets = tmp.written(full_sets(docs, id_col, text_col, k, wanted), "sets")
+    if sets.count() > wanted.count():  # repeated rows
+        sets = tmp.written(sets.dropDuplicates(["id"]), "sets")
+    links = tmp.written(confirmed(pairs, sets), "links")
+    labels = components(links)
+    more = tmp.written(confirmed(block_links(members, labels, sets, tmp), sets), "links")
     if not more.isEmpty():
-        labels = components(more.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        labels = components(links.unionByName(more))
+    tmp.drop("members", "pairs", "wanted", "sets", "links", "mixed", "blocks")
     groups = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("first"))
     groups = groups.join(labels.withColumnRenamed("id", "first"), "first", "left")
     groups = groups.select(F.col("print").alias("p"), F.coalesce("component", "first").alias("component"))
