@@ -11,8 +11,8 @@ texts that the models haven't seen, gives the probability.
 Bounds: learning takes about MAX_ROWS rows of each class, sampled by a hash of the id,
 of at most MAX_TEXT bytes each. All texts are scored whole.
 
-Defined results: a null text is empty; an empty text has the ratio 0; without labels of
-both classes every score is the share of toxic labels (0 without labels); repeated
+Defined results: a null text is empty; an empty text has the ratio 0; without labelled
+texts of both classes every score is 0; repeated
 rows get equal scores; a doc_id labelled twice counts as toxic if any label says so;
 null labels and ids teach nothing; an empty table gives no rows; extra columns are
 carried untouched by ``clean`` and stay outside otherwise.
@@ -20,6 +20,7 @@ carried untouched by ``clean`` and stay outside otherwise.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tarnfall.llm import tokens as K
 from tarnfall.llm.common import fold
 
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 MAX_TEXT = 1 << 15
 MIN_DOCS = 8
 DISCOUNT = 0.75
@@ -49,20 +50,21 @@ class KneserNey:
 
     def __init__(self, words: list[np.ndarray], toxic: np.ndarray):
         """words: the word hashes of each text; toxic: a boolean of each."""
-        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        h = np.concatenate([*words, np.zeros(0, np.uint64)])
-        pair = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-        vocabulary, docs = np.unique(pair[0], return_counts=True)
+        once = np.concatenate([*[np.unique(w) for w in words], np.zeros(0, np.uint64)])
+        vocabulary, docs = np.unique(once, return_counts=True)
+        del once
         self.vocabulary = vocabulary[docs >= MIN_DOCS]
         n = self.size = len(self.vocabulary)  # n: any rarer word; n + 1: before the first
-        ids = self.ids(h)
-        before = self.before(ids, np.flatnonzero(np.diff(row, prepend=-1)))
         # A text counts once for each pair of words in it.
-        key = before * (n + 2) + ids
-        pair = np.unique(row.astype(np.int64) * (n + 2) ** 2 + key)
-        row, key = pair // (n + 2) ** 2, pair % (n + 2) ** 2
-        pairs, at = np.unique(key, return_inverse=True)
-        count = np.stack([np.bincount(at[toxic[row] == c], minlength=len(pairs)) for c in (True, False)]).astype(float)
+        keys, side = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for w, t in zip(words, toxic):
+            if len(w):
+                i = self.ids(w)
+                keys.append(np.unique(self.before(i, np.zeros(1, np.int64)) * (n + 2) + i))
+                side.append(np.full(len(keys[-1]), t))
+        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+        side = np.concatenate(side)
+        count = np.stack([np.bincount(at[side == c], minlength=len(pairs)) for c in (True, False)]).astype(float)
         u, w = pairs // (n + 2), pairs % (n + 2)
         shared = np.bincount(w, minlength=n + 2) + 0.5
         shared /= shared.sum()
@@ -150,16 +152,14 @@ class Model:
         return np.concatenate(parts)
 
 
-def fit(texts: list[str], toxic: np.ndarray, population: tuple[int, int]) -> Model:
-    """population: toxic and ordinary labels in all, for the scores' base rate."""
-    n = sum(population)
-    share = min(max(population[0] / n, 1e-6), 1 - 1e-6) if n else 1e-9
+def fit(texts: pa.Array, toxic: np.ndarray, population: tuple[int, int]) -> Model:
+    """Distinct texts. population: toxic and ordinary labels in all, for the scores' base rate."""
     if not toxic.any() or toxic.all() or len(texts) < 4:
-        return Model(None, np.array([np.log(share / (1 - share))]))
+        return Model(None, np.array([-30.0]))  # nothing can be told
     words = []
-    for w, h in split_words(pa.array(texts, pa.large_string())):
+    for w, h in split_words(texts):
         words += [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-    half = np.arange(len(words)) % 2 == 0
+    half = np.array([zlib.crc32(w.tobytes()) % 2 == 0 for w in words])
     x = np.zeros((len(words), 1 + len(WINDOWS)))
     for side in (half, ~half):
         part = [words[k] for k in np.flatnonzero(side)]
@@ -171,25 +171,20 @@ def fit(texts: list[str], toxic: np.ndarray, population: tuple[int, int]) -> Mod
     return Model(KneserNey(words, toxic), logistic(x, toxic.astype(float), weight))
 
 
-def learn(labelled: DataFrame) -> Model:
-    """labelled: id, text and toxic (0 or 1)."""
-    usable = labelled.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
-    counts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """labels: doc_id and toxic (0 or 1). The sample is drawn from the labels, so it is
+    small enough to be broadcast, and no text is shuffled."""
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    labels = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     population = counts.get(1, 0), counts.get(0, 0)
     share = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     limit = F.when(F.col("toxic") == 1, MAX_ROWS / max(population[0], 1)).otherwise(MAX_ROWS / max(population[1], 1))
-    small = F.octet_length(F.coalesce("text", F.lit(""))) <= MAX_TEXT
-    rows = usable.where((share < limit) & small).select("id", "text", "toxic").collect()
-    distinct: dict[str, bool] = {}
-    for r in sorted(rows, key=lambda r: (r.id, r.text or "")):
-        distinct[r.text or ""] = distinct.get(r.text or "", False) or r.toxic == 1
-    order = sorted(distinct, key=lambda t: K.word_hash(t.encode()))
-    return fit(order, np.array([distinct[t] for t in order], bool), population)
-
-
-def with_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    labels = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labels, "id")
+    sample = F.broadcast(labels.where(share < limit))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id")
+    rows = rows.where(F.octet_length("text") <= MAX_TEXT).select("text", "toxic").toArrow()
+    rows = rows.group_by("text").aggregate([("toxic", "max")]).sort_by("text")
+    return fit(rows["text"].combine_chunks(), rows["toxic_max"].to_numpy() == 1, population)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +212,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float =
 
 def train_fold(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from the labelled documents whose fold isn't 0."""
-    return learn(with_labels(docs.where(fold("doc_id", 5) != 0), labels, "doc_id", "text"))
+    return learn(docs, labels.where(fold("doc_id", 5) != 0))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
