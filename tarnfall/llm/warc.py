@@ -45,7 +45,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tarnfall.llm.common import new_path
+from tarnfall.llm.common import MAX_BROADCAST_IDS, new_path, written
 
 #: Columns that come straight from headers.
 HEADERS = {
@@ -406,15 +406,17 @@ def register(spark: SparkSession) -> None:
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date: str) -> DataFrame:
     """Writer rows of pages. Of equal payloads (by SHA-1) the largest id is the response
-    and the others refer to it; rows that share that id are all responses. Only
-    digests of payloads that occur twice are joined, so payloads aren't moved if those
-    are few."""
+    and the others refer to it; rows that share that id are all responses. The digests
+    that occur twice are counted: if they are few they are broadcast and no payload is
+    moved, else payloads are shuffled by digest."""
     row = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"),
         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
     again = row.groupBy(F.col("sha").alias("again")).agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    row = row.join(again, F.col("sha") == F.col("again"), "left")
+    again = written(again.select("again", "keep"), "revisits")
+    few = again.count() <= MAX_BROADCAST_IDS // 4
+    row = row.join(F.broadcast(again) if few else again, F.col("sha") == F.col("again"), "left")
     revisit = F.col("again").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return row.select(
