@@ -86,10 +86,11 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of consecutive texts: start and end bytes, the text's row, its first word."""
 
-    __slots__ = ("data", "start", "end", "row", "first", "n")
+    __slots__ = ("data", "start", "end", "row", "first", "n", "sums")
 
     def __init__(self, offsets: np.ndarray, raw: np.ndarray, table: np.ndarray = WHITE):
         self.data = data = table[raw]
+        self.sums: np.ndarray | None = None
         self.n = len(offsets) - 1
         inside = data != 0x20
         edge = np.zeros(len(data) + 1, bool)
@@ -105,13 +106,29 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def _between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(self.data)
         up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _MULT)
+        if self.sums is None:
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[self.data] * up[:n], out=self.sums[1:])
+        h = (self.sums[end] - self.sums[start]) * down[start]
+        return mix(h + (end - start).astype(np.uint64) * _MULT)
+
+    def hashes(self) -> np.ndarray:
+        return self._between(self.start, self.end)
+
+    def prefix_hashes(self, size: int, which: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of some words."""
+        start = self.start[which]
+        return self._between(start, start + size)
+
+    def taken(self, which: np.ndarray) -> "Words":
+        """The same bytes with some of the words only; rows are lost."""
+        out = object.__new__(Words)
+        out.data, out.sums, out.n = self.data, self.sums, 0
+        out.start, out.end, out.row, out.first = self.start[which], self.end[which], self.row[which], None
+        return out
 
 
 def word_hash(word: bytes) -> int:

@@ -1,25 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A bigram model of toxic text and one of ordinary text, both interpolated with
-class unigrams and, below them, with one continuation distribution shared by both
-classes. Expressions in fewer than MIN_DOCS learning texts have no counts of their
-own: they are smoothed through the shared counts and say next to nothing. A text's
-log-likelihood ratio is normalised by length, over the whole text and over its most
-toxic windows of 1 and 4 words, and logistic regression on those three figures, of
-texts that the models haven't seen, gives the probability.
+A model of toxic text and one of ordinary text give each word a probability after its
+predecessor: a bigram estimate, interpolated with the class's probability of the word,
+which is spelled letter by letter, each letter after the word's beginning so far. At the
+bottom both classes share one distribution of continuations. Expressions, words and
+beginnings in fewer than MIN_DOCS learning texts have no counts of their own: they are
+smoothed through the shared counts, so a new word is judged by its stem and a rare one
+says next to nothing. A text's log-likelihood ratio is normalised by length, over the
+whole text and over its most toxic windows of 1 and 4 words, and logistic regression on
+those three figures, of texts that the models haven't seen, gives the probability.
 
 Bounds: learning takes about MAX_ROWS rows of each class, sampled by a hash of the id,
-of at most MAX_TEXT bytes each. All texts are scored whole.
+of at most MAX_TEXT bytes each; of near copies among them one counts. All texts are
+scored whole.
 
 Defined results: a null text is empty; an empty text has the ratio 0; without labelled
-texts of both classes every score is 0; repeated
-rows get equal scores; a doc_id labelled twice counts as toxic if any label says so;
-null labels and ids teach nothing; an empty table gives no rows; extra columns are
-carried untouched by ``clean`` and stay outside otherwise.
+texts of both classes every score is 0; repeated rows get equal scores; a doc_id labelled
+twice counts as toxic if any label says so; null labels and ids teach nothing; an empty
+table gives no rows; extra columns are carried untouched by ``clean`` and stay outside
+otherwise.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold
+from tarnfall.llm.common import fold, release_memory, small_batches
 
 MAX_ROWS = 4000
 MAX_TEXT = 1 << 15
-MIN_DOCS = 8
+MIN_DOCS = 10
+#: Bytes of a word's beginning that are spelled; what follows is one step.
+STEM = 8
 DISCOUNT = 0.75
 WINDOWS = (1, 4)
 
@@ -45,15 +51,91 @@ def split_words(column: pa.Array) -> Iterator[tuple[K.Words, np.ndarray]]:
         yield w, w.hashes()
 
 
+_END = np.uint64(0x51ED270B7A4C3F25)
+
+
+def spelled(w: K.Words, h: np.ndarray) -> np.ndarray:
+    """Hashes of each word's beginnings of 1..STEM bytes (0 beyond its end), and of its end."""
+    out = np.zeros((len(h), STEM + 1), np.uint64)
+    size = w.end - w.start
+    for k in range(1, STEM + 1):
+        long = np.flatnonzero(size >= k)
+        out[long, k - 1] = w.prefix_hashes(k, long)
+    out[:, STEM] = K.mix(h ^ _END)
+    return out
+
+
+class Spelling:
+    """Probabilities of words in both classes, spelled along their beginnings."""
+
+    def __init__(self, steps: np.ndarray, count: np.ndarray):
+        """steps: as from spelled, of distinct words; count: words x (toxic, ordinary) texts.
+
+        Level by level: the children of a beginning are its continuations by one byte and
+        its end as a word. Only words whose beginning has counts of its own go on."""
+        depth = (steps[:, :STEM] > 0).sum(1)
+        alive, parent = np.arange(len(steps)), np.zeros(len(steps), np.int64)
+        above = np.zeros((1, 2))  # log probabilities of the parents' paths
+        nodes, paths, leaves = [np.zeros(0, np.uint64)], [np.zeros((0, 2))], [np.zeros((1, 2))]
+        for k in range(1, STEM + 2):
+            if not len(alive):
+                break
+            end = depth[alive] < k
+            own = np.where(end, steps[alive, STEM], steps[alive, min(k, STEM) - 1])
+            node, first, at = np.unique(own, return_index=True, return_inverse=True)
+            n = np.stack([np.bincount(at, count[alive, c], len(node)) for c in (0, 1)], 1)
+            types = np.bincount(at).astype(float)
+            up, m = parent[first], len(above)
+            total = np.stack([np.bincount(up, n[:, c], m) for c in (0, 1)], 1)
+            shared = types / np.bincount(up, types, m)[up]
+            keep = n.sum(1) >= MIN_DOCS
+            held = np.where(keep[:, None], np.maximum(n - DISCOUNT, 0), 0) / np.maximum(total[up], 1)
+            back = np.maximum(1 - np.stack([np.bincount(up, held[:, c], m) for c in (0, 1)], 1), 1e-9)
+            path = above[up] + np.log(held + back[up] * shared[:, None])
+            # A path leaves a beginning for one without counts by the beginning's backoff; what
+            # follows is shared by both classes.
+            leaves[-1][:] = np.log(back)
+            nodes.append(node[keep])
+            paths.append(path[keep])
+            leaves.append(np.zeros((int(keep.sum()), 2)))
+            parent = (np.cumsum(keep) - 1)[at]
+            go = keep[at] & ~end
+            alive, parent, above = alive[go], parent[go], path[keep]
+        self.leave_root = leaves[0][0]
+        self.node = np.concatenate(nodes)
+        order = np.argsort(self.node)
+        self.node = self.node[order]
+        self.path, self.leave = np.concatenate(paths)[order], np.concatenate(leaves[1:] or [np.zeros((0, 2))])[order]
+
+    def log_probability(self, steps: np.ndarray) -> np.ndarray:
+        """words x (toxic, ordinary); up to a term shared by both."""
+        out = np.tile(self.leave_root, (len(steps), 1))
+        if not len(self.node):
+            return out
+        for k in range(STEM + 1):
+            own = steps[:, k]
+            at = np.minimum(np.searchsorted(self.node, own), len(self.node) - 1)
+            ok = np.flatnonzero((own > 0) & (self.node[at] == own))
+            out[ok] = self.path[at[ok]] + (self.leave[at[ok]] if k < STEM else 0)
+        return out
+
+
 class KneserNey:
     """Log-likelihood ratios, toxic to ordinary, of words after their predecessors."""
 
-    def __init__(self, words: list[np.ndarray], toxic: np.ndarray):
-        """words: the word hashes of each text; toxic: a boolean of each."""
-        once = np.concatenate([*[np.unique(w) for w in words], np.zeros(0, np.uint64)])
-        vocabulary, docs = np.unique(once, return_counts=True)
-        del once
-        self.vocabulary = vocabulary[docs >= MIN_DOCS]
+    def __init__(self, words: list[np.ndarray], toxic: np.ndarray, spelling: dict[str, np.ndarray]):
+        """words: the word hashes of each text; toxic: a boolean of each; spelling: the
+        distinct words' hashes (word, sorted) and steps."""
+        once = [np.unique(w) for w in words]
+        side = np.repeat(toxic, [len(w) for w in once])
+        vocabulary, at = np.unique(np.concatenate([*once, np.zeros(0, np.uint64)]), return_inverse=True)
+        docs = np.stack([np.bincount(at[side == c], minlength=len(vocabulary)) for c in (True, False)], 1).astype(float)
+        del once, at, side
+        steps = spelling["steps"][np.searchsorted(spelling["word"], vocabulary)]
+        self.spelling = Spelling(steps, docs)
+        often = docs.sum(1) >= MIN_DOCS
+        self.vocabulary = vocabulary[often]
+        p = np.exp(self.spelling.log_probability(steps[often])).T
         n = self.size = len(self.vocabulary)  # n: any rarer word; n + 1: before the first
         # A text counts once for each pair of words in it.
         keys, side = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
@@ -66,23 +148,16 @@ class KneserNey:
         side = np.concatenate(side)
         count = np.stack([np.bincount(at[side == c], minlength=len(pairs)) for c in (True, False)]).astype(float)
         u, w = pairs // (n + 2), pairs % (n + 2)
-        shared = np.bincount(w, minlength=n + 2) + 0.5
-        shared /= shared.sum()
-        uni, after, own = [], [], []
-        kept = count.sum(0) >= MIN_DOCS
-        for c in count:
-            words_c = np.bincount(w, c, n + 2)
-            total = max(words_c.sum(), 1.0)
-            held = np.maximum(words_c - DISCOUNT, 0) / total
-            p = held + (1 - held.sum()) * shared
+        kept = (count.sum(0) >= MIN_DOCS) & (w < n)
+        after, own = [], []
+        for c, p_c in zip(count, p):
             contexts = np.bincount(u, c, n + 2)
-            own_c = np.where(kept, np.maximum(c - DISCOUNT, 0), 0) / np.maximum(contexts[u], 1)
-            back = 1 - np.bincount(u, own_c, n + 2)
-            uni.append(np.log(p))
-            after.append(np.log(np.maximum(back, 1e-9)))
-            own.append(np.log(own_c + np.maximum(back, 1e-9)[u] * p[w]))
-        self.unigram, self.context = uni[0] - uni[1], after[0] - after[1]
-        self.pairs, self.own = pairs[kept], (own[0] - own[1])[kept]
+            held = np.where(kept, np.maximum(c - DISCOUNT, 0), 0) / np.maximum(contexts[u], 1)
+            back = np.maximum(1 - np.bincount(u, held, n + 2), 1e-9)
+            after.append(np.log(back))
+            own.append(np.log(held[kept] + back[u[kept]] * p_c[w[kept]]))
+        self.context = after[0] - after[1]
+        self.pairs, self.own = pairs[kept], own[0] - own[1]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not self.size:
@@ -96,8 +171,9 @@ class KneserNey:
         out[first] = self.size + 1
         return out
 
-    def features(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows x (mean, best windows) of the ratio. first: as in Words."""
+    def features(self, h: np.ndarray, first: np.ndarray, steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows x (mean, best windows) of the ratio. first: as in Words; steps[at]: each
+        word's spelling."""
         n = len(first) - 1
         out = np.zeros((n, 1 + len(WINDOWS)))
         size = np.diff(first)
@@ -106,22 +182,30 @@ class KneserNey:
             return out
         ids = self.ids(h)
         u = self.before(ids, first[full])
-        ratio = self.context[u] + self.unigram[ids]
+        p = self.spelling.log_probability(steps)
+        ratio = self.context[u] + (p[:, 0] - p[:, 1])[at]
         if len(self.pairs):
             key = u * (self.size + 2) + ids
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            ratio = np.where(self.pairs[at] == key, self.own[at], ratio)
+            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            ratio = np.where(self.pairs[place] == key, self.own[place], ratio)
         start = first[full]
         out[full, 0] = np.add.reduceat(ratio, start) / size[full]
+        sums = np.concatenate(([0.0], np.cumsum(ratio)))
+        where = np.arange(len(ratio))
+        begin = np.repeat(start, size[full])
         for k, width in enumerate(WINDOWS, 1):
             # The mean of the last ``width`` words, or of as many as there are.
-            sums = np.concatenate(([0.0], np.cumsum(ratio)))
-            at = np.arange(len(ratio))
-            low = np.maximum(at + 1 - width, np.repeat(start, size[full]))
-            out[full, k] = np.maximum.reduceat((sums[at + 1] - sums[low]) / (at + 1 - low), start)
+            low = np.maximum(where + 1 - width, begin)
+            out[full, k] = np.maximum.reduceat((sums[where + 1] - sums[low]) / (where + 1 - low), start)
         return out
 
 
+def distinct_steps(w: K.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words' hashes, their steps, each word's place among them)."""
+    word, first, at = np.unique(h, return_index=True, return_inverse=True)
+    return word, spelled(w.taken(first), word), at
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton's method; the intercept comes last."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -146,34 +230,72 @@ class Model:
     def score(self, column: pa.Array) -> np.ndarray:
         parts = [np.zeros(0)]
         for w, h in split_words(column):
-            x = self.kn.features(h, w.first) if self.kn else np.zeros((w.n, 0))
+            x = np.zeros((w.n, 0))
+            if self.kn:
+                _, steps, at = distinct_steps(w, h)
+                x = self.kn.features(h, w.first, steps, at)
             z = x @ self.weights[:-1] + self.weights[-1]
             parts.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return np.concatenate(parts)
 
 
+#: Minima of word-triple hashes by which near copies among the learning texts are found.
+SKETCH, SAME = 12, 5
+
+
+def singles(words: list[np.ndarray]) -> np.ndarray:
+    """Of texts that share SAME of SKETCH minima with an earlier one, only that counts."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    out = np.ones(len(words), bool)
+    salts = K.mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+    for k, w in enumerate(words):
+        grams = K.gram_hashes(w, min(3, len(w))) if len(w) else w
+        minima = [(j, int((grams * s >> np.uint64(1)).min())) for j, s in enumerate(salts)] if len(grams) else []
+        hits: dict[int, int] = {}
+        for m in minima:
+            for other in seen.get(m, ()):
+                hits[other] = hits.get(other, 0) + 1
+        if max(hits.values(), default=0) >= SAME:
+            out[k] = False
+        else:
+            for m in minima:
+                seen.setdefault(m, []).append(k)
+    return out
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, population: tuple[int, int]) -> Model:
     """Distinct texts. population: toxic and ordinary labels in all, for the scores' base rate."""
     if not toxic.any() or toxic.all() or len(texts) < 4:
         return Model(None, np.array([-30.0]))  # nothing can be told
-    words = []
+    words, seen = [], []
     for w, h in split_words(texts):
         words += [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+        seen.append(distinct_steps(w, h)[:2])
+    word, at = np.unique(np.concatenate([x for x, _ in seen]), return_index=True)
+    spelling = {"word": word, "steps": np.concatenate([y for _, y in seen])[at]}
+    del seen
+    single = np.flatnonzero(singles(words))
+    words, toxic = [words[k] for k in single], toxic[single]
+    if not toxic.any() or toxic.all() or len(words) < 4:
+        return Model(None, np.array([-30.0]))
     half = np.array([zlib.crc32(w.tobytes()) % 2 == 0 for w in words])
     x = np.zeros((len(words), 1 + len(WINDOWS)))
     for side in (half, ~half):
-        part = [words[k] for k in np.flatnonzero(side)]
-        kn = KneserNey(part, toxic[side])
+        kn = KneserNey([words[k] for k in np.flatnonzero(side)], toxic[side], spelling)
         for k in np.flatnonzero(~side):
-            x[k] = kn.features(words[k], np.array([0, len(words[k])]))
+            mine, place = np.unique(words[k], return_inverse=True)
+            steps = spelling["steps"][np.searchsorted(word, mine)]
+            x[k] = kn.features(words[k], np.array([0, len(words[k])]), steps, place)[0]
+    population = population if min(population) else (int(toxic.sum()), int((~toxic).sum()))
     weight = np.where(toxic, population[0] / toxic.sum(), population[1] / (~toxic).sum())
     weight *= len(words) / weight.sum()
-    return Model(KneserNey(words, toxic), logistic(x, toxic.astype(float), weight))
+    return Model(KneserNey(words, toxic, spelling), logistic(x, toxic.astype(float), weight))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """labels: doc_id and toxic (0 or 1). The sample is drawn from the labels, so it is
     small enough to be broadcast, and no text is shuffled."""
+    small_batches(docs.sparkSession)
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     labels = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -182,12 +304,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     limit = F.when(F.col("toxic") == 1, MAX_ROWS / max(population[0], 1)).otherwise(MAX_ROWS / max(population[1], 1))
     sample = F.broadcast(labels.where(share < limit))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id")
-    rows = rows.where(F.octet_length("text") <= MAX_TEXT).select("text", "toxic").toArrow()
-    rows = rows.group_by("text").aggregate([("toxic", "max")]).sort_by("text")
-    return fit(rows["text"].combine_chunks(), rows["toxic_max"].to_numpy() == 1, population)
+    rows = rows.where(F.octet_length("text") <= MAX_TEXT).select("text", "toxic")
+
+    def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            table = pa.Table.from_batches(parts).group_by("text").aggregate([("toxic", "max")]).sort_by("text")
+            model = fit(table["text"].combine_chunks(), table["toxic_max"].to_numpy() == 1, population)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+            release_memory()
+
+    # The sample is bounded, so one task learns from it; the driver gets the finished model.
+    found = rows.repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(found.model) if found else Model(None, np.array([-30.0]))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -200,6 +333,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows whose score is below the limit, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

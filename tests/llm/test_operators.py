@@ -121,6 +121,7 @@ def test_lm_scores(spark):
 def test_lm_model(spark, monkeypatch, chunk):
     """The mixture, with its counts and EM weights, in plain Python."""
     monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lm_scoring, "MIN_PIECE", 1)
     monkeypatch.setattr(lm_scoring, "KEY_TOKENS", 900)
     monkeypatch.setattr(lm_scoring, "CONTEXTS", 40)
     docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()][:60]
@@ -130,7 +131,7 @@ def test_lm_model(spark, monkeypatch, chunk):
     learned = lm_scoring.learned
     monkeypatch.setattr(lm_scoring, "learned", lambda *a: seen.setdefault("w", learned(*a)))
     vocab = lm_scoring.vocabulary
-    monkeypatch.setattr(lm_scoring, "vocabulary", lambda rows: seen.setdefault("m", vocab(rows, lm_scoring.KEY_TOKENS)))
+    monkeypatch.setattr(lm_scoring, "vocabulary", lambda rows: seen.setdefault("m", vocab(rows)))
     got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
     model, lam = seen["m"], np.frombuffer(seen["w"].first()[0]).reshape(-1, 3)
     assert model.keys > 1 and 1 < len(model.frequent) <= 41
@@ -331,11 +332,41 @@ def test_toxicity_accuracy(spark):
     assert sum(r.predicted for r in clean) <= 0.03 * len(clean)
 
 
+def toxic_model(texts, toxic):
+    words, seen = [], []
+    for w, h in toxicity.split_words(pa.array(texts, pa.large_string())):
+        words += [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+        seen.append(toxicity.distinct_steps(w, h)[:2])
+    word, at = np.unique(np.concatenate([x for x, _ in seen]), return_index=True)
+    spelling = {"word": word, "steps": np.concatenate([y for _, y in seen])[at]}
+    return toxicity.KneserNey(words, np.array(toxic), spelling), spelling
+
+
 def test_kneser_ney_is_a_distribution():
-    rng = np.random.default_rng(1)
-    words = [rng.integers(1, 40, 30).astype(np.uint64) for _ in range(60)]
-    kn = toxicity.KneserNey(words, np.arange(60) < 20)
-    assert kn.size and np.isfinite(kn.unigram).all() and np.isfinite(kn.own).all()
+    """Words without a rare beginning: each class's probabilities add up to 1."""
+    rng = random.Random(1)
+    vocabulary = ["a", "ab", "abc", "abd", "b", "ba", "longerthanstem", "longerthanother"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(80)]
+    kn, spelling = toxic_model(texts, [k % 3 == 0 for k in range(80)])
+    assert kn.size == len(vocabulary)
+    assert np.exp(kn.spelling.log_probability(spelling["steps"])).sum(0) == pytest.approx([1, 1])
+    assert np.isfinite(kn.own).all() and np.isfinite(kn.context).all()
+
+
+def test_new_words_are_judged_by_their_stems():
+    rng = random.Random(2)
+    plain = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [" ".join(plain(20) + ([f"grobl{rng.randrange(10**6)}"] if k % 2 else [])) for k in range(400)]
+    model = toxicity.fit(pa.array(texts, pa.large_string()), np.arange(400) % 2 == 1, (200, 200))
+    low, high, none = model.score(pa.array(["w1 w2 w3 w77", "w1 w2 groblnew w77", None]))
+    assert low < 0.1 and high > 0.9 and none < 0.5
+
+
+def test_near_copies_teach_once():
+    base = [f"u{k}" for k in range(200)]
+    texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(30)] + [" ".join(f"v{j}x{k}" for j in range(50)) for k in range(5)]
+    words = [h for w, x in toxicity.split_words(pa.array(texts, pa.large_string())) for h in np.split(x, w.first[1:-1])]
+    assert toxicity.singles(words).tolist() == [True] + [False] * 29 + [True] * 5
 
 
 def license_base(text):
