@@ -72,7 +72,9 @@ def targets(sized: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """goals with ``threshold``: the smallest hash left out, null if none is."""
+    """goals with ``threshold``: the smallest hash left out, null if none is.
+
+    The state after each level, a row a source, is written, so plans stay small."""
     state = goals.withColumn("prefix", F.lit(0).cast("bigint")).withColumn("open", F.lit(True)).withColumn("used", F.lit(0).cast("bigint"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
@@ -93,6 +95,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             F.col("edge").isNotNull().alias("open"),
             F.coalesce(F.col("edge.used"), F.col("used")).alias("used"),
         )
+        state = written(state, "mix-level")
     return state.select(*goals.columns, F.col("prefix").alias("threshold"))
 
 
@@ -107,7 +110,7 @@ def plan(
     """(documents as id, source, size and h; sources with target, copies, rest, threshold)."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     goals = written(targets(sized, weights, cap), "mix-targets")
-    return sized, written(thresholds(sized, goals), "mix-thresholds")
+    return sized, thresholds(sized, goals)
 
 
 def taken_copies(cap: int):
