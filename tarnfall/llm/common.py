@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,23 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_IDS = 2_000_000
 
 
+#: Rows of an Arrow batch where the session has Spark's own 10,000: texts are long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Gives a worker's free memory back, as the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where none is set (tests, one
     machine) a temporary one is made."""
@@ -55,10 +72,6 @@ class Scratch:
                 at.getFileSystem(conf).delete(at, True)
 
 
-def ascii_lower(c):
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: Words: runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,14 +79,3 @@ WORD = r"[^\x20\x09-\x0D]+"
 def fold(doc_id, n: int):
     """crc32 of the id's decimal text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
-
-
-def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow whose function takes and gives single batches; None gives nothing."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (out := f(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)

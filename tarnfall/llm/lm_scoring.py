@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import Scratch, fold
+from tarnfall.llm.common import Scratch, fold, small_batches
 
 FOLDS, HELD_OUT = 5, 1
 TRAIN = (0, 2, 3, 4)
@@ -52,8 +52,13 @@ END = np.uint64(1)
 CHUNK_TOKENS = 2_000_000
 CHUNK_ROWS = 60_000
 KEY_TOKENS = 3_000_000
+#: Chunks and keys grow with the square root of the corpus where a chunk would have fewer
+#: tokens of a key than this, so the pieces of all chunks stay in proportion to the corpus.
+MIN_PIECE = 500
 #: A word with more than this share of a key's tokens is dealt by (context, word).
 SPREAD = 0.1
+#: Of the 64 bits by which a chunk is sorted; 32 are the context and the text's place.
+KEY_BITS = 20
 BUCKETS = 64
 #: Cells of the EM histogram: half octaves of p / uniform.
 LEVELS, OFFSET = 256, 120
@@ -124,6 +129,7 @@ class Vocabulary:
     total: np.ndarray  # tokens of each fold
     size: int  # V
     keys: int
+    chunk: int  # tokens
     spread: np.ndarray  # of each frequent word, whether it is dealt by (context, word)
 
     @property
@@ -136,7 +142,7 @@ class Vocabulary:
         return np.where(self.frequent[at] == h, at, RARE)
 
 
-def vocabulary(rows: DataFrame, tokens_hint: int = KEY_TOKENS) -> Vocabulary:
+def vocabulary(rows: DataFrame) -> Vocabulary:
     tmp = Scratch(rows.sparkSession)
     counts = tmp.written(word_counts(rows), "words")
     n = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
@@ -162,8 +168,10 @@ def vocabulary(rows: DataFrame, tokens_hint: int = KEY_TOKENS) -> Vocabulary:
     context[np.searchsorted(frequent, END)] = 0  # nothing follows an end
     context[START] = table[END]
     context[RARE] = total - context.sum(0)
-    keys = max(1, -(-int(total.sum()) * FOLDS // (len(TRAIN) * tokens_hint)))
-    return Vocabulary(frequent, own, context, total, size, keys, own.sum(1) > SPREAD * tokens_hint)
+    tokens = int(total.sum()) * FOLDS // len(TRAIN)
+    root = int((tokens * MIN_PIECE) ** 0.5)
+    key = max(KEY_TOKENS, root, tokens >> KEY_BITS - 1)
+    return Vocabulary(frequent, own, context, total, size, -(-tokens // key) or 1, max(CHUNK_TOKENS, root), own.sum(1) > SPREAD * key)
 
 
 PACK = ("ids", "part", "times", "v", "run", "context", "row", "n")
@@ -205,7 +213,7 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         hot = np.flatnonzero(np.append(model.spread, False)[np.minimum(word, len(model.spread))])
         key[hot] = K.mix(h[hot] ^ (context[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.keys)
         # By key, word, context and text; of the word only some bits, as runs are told apart by all.
-        rank = key << np.uint64(48) | (mixed >> np.uint64(48)) << np.uint64(32) | context << np.uint64(16) | row
+        rank = key << np.uint64(64 - KEY_BITS) | mixed >> np.uint64(32 + KEY_BITS) << np.uint64(32) | context << np.uint64(16) | row
         order = np.argsort(rank)
         rank, h, key = rank[order], h[order], key[order].astype(np.int64)
         new = np.ones(len(h), bool)
@@ -251,7 +259,7 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
                 while cut < b - a:  # a slice of empty texts may hold more rows than a chunk
                     end = min(b - a, cut + CHUNK_ROWS)
                     x, y = np.searchsorted(row, (cut, end))
-                    if parts and (count + y - x > CHUNK_TOKENS or texts_ + end - cut > CHUNK_ROWS):
+                    if parts and (count + y - x > model.chunk or texts_ + end - cut > CHUNK_ROWS):
                         yield from out()
                         parts, count, texts_ = [], 0, 0
                     parts.append((ids[a + cut : a + end], part[a + cut : a + end], times[a + cut : a + end], h[x:y], row[x:y] - cut, first[x:y]))
@@ -402,6 +410,7 @@ def added_up(table: pa.Table) -> pa.Table:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold(id_col, FOLDS).cast("int").alias("part"))
     all_, with_id, ids = docs.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
     unique = all_ == with_id == ids
