@@ -23,6 +23,11 @@ class Query:
     def scan(cls, spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> "Query":
         return cls(scan(spark, path, columns))
 
+    def as_view(self, name: str) -> "Query":
+        """Also known to spark.sql() under a name."""
+        self.df.createOrReplaceTempView(name)
+        return self
+
     def select(self, *values: Value | str) -> "Query":
         return Query(self.df.select(*[value_of(v).column(self.df) for v in values]))
 

@@ -135,6 +135,11 @@ def test_topk_plan_and_pruning(spark):
     assert "ReadSchema: struct<l_suppkey:bigint,l_linenumber:int>" in plan
 
 
+def test_view(spark, q):
+    q([(1, "a"), (2, "b")], "v int, s string").as_view("some_view")
+    assert spark.sql("SELECT s FROM some_view WHERE v = 2").collect()[0][0] == "b"
+
+
 SCHEMA = "a,int16\nb,int32\nc,int64\nd,string\ne,DATE\nf,TIMESTAMP"
 
 
