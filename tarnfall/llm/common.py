@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,23 @@ MAX_BROADCAST_IDS = 2_000_000
 BATCH_ROWS = 2000
 
 
-def small_batches(spark: SparkSession) -> None:
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before an operator sends functions to executors: once for each application its
+    package is sent along, and Arrow batches are kept small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    package = Path(__file__).resolve().parents[1]
+    if spark.sparkContext.applicationId in _shipped or not package.is_dir():
+        return
+    path = f"{tempfile.mkdtemp(prefix='tarnfall')}/tarnfall.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, str(file.relative_to(package.parent)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def release_memory() -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import small_batches
+from tarnfall.llm.common import prepare
 
 SEED = 4
 BLOCK_BYTES = 8 << 20
@@ -152,7 +152,7 @@ class Block:
 
 def prepared(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text: str) -> Iterator[Block]:
     """The benchmark's blocks, with the common seeds switched off."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     items = items.select(item_col, item_text)
     size = items.agg(F.sum(F.octet_length(item_text)), F.count(F.lit(1))).first()
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold, small_batches
+from tarnfall.llm.common import fold, prepare
 
 MAX_LANGUAGES = 200
 #: Rows of each language sampled by a hash of the id, about so many; longer texts aren't sampled.
@@ -177,7 +177,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred and score of every row."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import small_batches
+from tarnfall.llm.common import prepare
 from tarnfall.llm.license_texts import PHRASES, TEMPLATES
 
 MIN_PIECE = 4
@@ -215,7 +215,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     """A row for each text: words, named places, labels, score and template spans. The
     score is the best span's share of its template, or one half for names alone."""
     scanner = scanner or Scanner()
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import Scratch, fold, small_batches
+from tarnfall.llm.common import Scratch, fold, prepare
 
 FOLDS, HELD_OUT = 5, 1
 TRAIN = (0, 2, 3, 4)
@@ -410,7 +410,7 @@ def added_up(table: pa.Table) -> pa.Table:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold(id_col, FOLDS).cast("int").alias("part"))
     all_, with_id, ids = docs.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
     unique = all_ == with_id == ids

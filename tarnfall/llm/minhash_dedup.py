@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import MAX_BROADCAST_IDS, Scratch, small_batches, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, Scratch, prepare, written
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 180, 6
@@ -232,7 +232,7 @@ def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, tmp: Scr
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """id, n_shingles and component of every row."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     tmp = Scratch(docs.sparkSession)
     signed = written(signatures(docs, id_col, text_col, k), "signed")
     nodes = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(

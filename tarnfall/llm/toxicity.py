@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold, release_memory, small_batches
+from tarnfall.llm.common import fold, release_memory, prepare
 
 MAX_ROWS = 4000
 MAX_TEXT = 1 << 15
@@ -295,7 +295,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, population: tuple[int, int]) -> Mode
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """labels: doc_id and toxic (0 or 1). The sample is drawn from the labels, so it is
     small enough to be broadcast, and no text is shuffled."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     labels = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -320,7 +320,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -333,7 +333,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows whose score is below the limit, with all their columns."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnfall.llm.common import prepare
+
 MAX_RULE_BYTES = 32 << 20
 
 
@@ -120,6 +122,7 @@ def judge(
     most: int = MAX_RULE_BYTES,
 ) -> DataFrame:
     """id_col, host, path, rule (null if none fits) and verdict of every row."""
+    prepare(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
     kinds = f"{id_col} {id_type}, host string, path string, rule string, verdict string, labels int, length int"
     out = None

@@ -45,7 +45,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tarnfall.llm.common import MAX_BROADCAST_IDS, new_path, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, new_path, prepare, written
 
 #: Columns that come straight from headers.
 HEADERS = {
@@ -400,6 +400,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
