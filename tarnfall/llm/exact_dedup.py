@@ -10,9 +10,10 @@ them, found by a pre-aggregated count of 64-bit hashes) are salted by id, so a
 run of copies spreads over many ranges; their runs' keepers, one row a salt, are
 put together by SHA-256 and joined back.
 
-Defined results: a null text equals an empty text; a null id is smaller than any
-other; of repeated rows with the kept id exactly one is kept; an empty table
-gives no rows; extra columns are carried untouched, whatever their names.
+Defined results: a null text equals an empty text; a row without an id is kept only
+if its group has no other, and keep_id is then null; of repeated rows with the kept
+id exactly one is kept; an empty table gives no rows; extra columns are carried
+untouched, whatever their names.
 """
 
 from __future__ import annotations
