@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -47,6 +48,16 @@ def release_memory() -> None:
         trim(0)
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A mapInArrow function that leaves no free memory in its worker."""
+
+    def inner(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return inner
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where none is set (tests, one
     machine) a temporary one is made."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import prepare
+from tarnfall.llm.common import prepare, tidy
 
 SEED = 4
 BLOCK_BYTES = 8 << 20
@@ -178,7 +178,7 @@ def prepared(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, it
             rows = np.concatenate((hit, [-1])), np.concatenate((df[hit], [texts]))
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], ["seed", "n"])
 
-        counted = docs.select(text_col).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+        counted = docs.select(text_col).mapInArrow(tidy(count), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
         df, texts = np.zeros(len(block.seeds), np.int64), 0
         for r in counted.collect():  # at most one row a seed of the block
             if r.seed < 0:
@@ -209,7 +209,7 @@ def leaks(
                 arrays += [pa.array(found[2], pa.float64()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "share", "start_word", "end_word"])
 
-        part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        part = docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -226,7 +226,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                 keep[[r for r, *_ in shared.value.scan(b.column(at))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

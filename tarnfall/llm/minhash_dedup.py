@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import MAX_BROADCAST_IDS, Scratch, prepare, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, Scratch, prepare, tidy, written
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 180, 6
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size), prints, bands], ["id", "n", "print", "bands"])
 
     schema = "id bigint, n bigint, print binary, bands array<bigint>"
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(tidy(run), schema)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFram
     few = ids.count() <= MAX_BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id bigint, n bigint, s binary, t binary")
+    return rows.mapInArrow(tidy(run), "id bigint, n bigint, s binary, t binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -129,7 +129,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select("id", "s")
     joined = pairs.join(one.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     joined = joined.join(one.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold, release_memory, prepare
+from tarnfall.llm.common import fold, prepare, tidy
 
 MAX_ROWS = 4000
 MAX_TEXT = 1 << 15
@@ -312,10 +312,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             table = pa.Table.from_batches(parts).group_by("text").aggregate([("toxic", "max")]).sort_by("text")
             model = fit(table["text"].combine_chunks(), table["toxic_max"].to_numpy() == 1, population)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-            release_memory()
 
     # The sample is bounded, so one task learns from it; the driver gets the finished model.
-    found = rows.repartition(1).mapInArrow(train, "model binary").first()
+    found = rows.repartition(1).mapInArrow(tidy(train), "model binary").first()
     return pickle.loads(found.model) if found else Model(None, np.array([-30.0]))
 
 
@@ -328,7 +327,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1)))], [id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"{id_col} {kind}, score double")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -341,7 +340,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", limit: float =
         for b in batches:
             yield b.filter(pa.array(shared.value.score(b.column(at)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def train_fold(docs: DataFrame, labels: DataFrame) -> Model:
