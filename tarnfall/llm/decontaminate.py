@@ -1,18 +1,25 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every run of SEED words of a benchmark item is a seed. One pass over the corpus counts
-in how many texts each seed stands; of an item, seeds much more common than its
-typical seed (stock phrases) are left out, whatever the corpus size, so an item whose
-copies fill a third of the corpus keeps its seeds. In a second pass the remaining seeds
-find places in the texts, and the words around them are aligned with the item, with
-scores for equal words and costs for changed, added and dropped ones. An alignment's
-share of the item's full score tells edited copies from chance.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
+
+The seeds of a benchmark item are its pairs of neighbouring words. In a text a pair may
+stand together or with one word between. An alignment with MIN_SHARE of an item's full
+score can lose only so many pairs: a word left out at an end costs MATCH and one pair, a
+changed or dropped word inside MATCH + 1 and two, a gap of two added words 2 and one. So
+it keeps at least ``need`` of them, about a third, within a bounded run of words. Places with
+so many seeds are aligned; no others can reach MIN_SHARE. The results are those of
+aligning every item with every whole text.
+
+One pass over the corpus counts in how many texts each seed stands, as common pairs make
+most of the work: of an item, up to need - 1 of them are left out and need falls with each,
+so one of the others is in every copy, however common the copies are. In a second
+pass the seeds find places in the texts, those whose words and pairs cannot add up to MIN_SHARE
+are dropped, and the words around the others are aligned with the item, with scores
+for equal words and costs for changed, added and dropped ones.
 
 The benchmark is the stated query set: it is sent to the executors in blocks of at most
 BLOCK_BYTES, one pass over the corpus for each block, and no text is shuffled.
 
-Defined results: null texts and items are empty and never match; items with fewer words
-than a seed are their own seed, and must occur as they are; repeated items count once;
+Defined results: null texts and items are empty and never match; items with fewer than
+LEAST words are their own seed, and must occur as they are; repeated items count once;
 repeated rows get equal results; an empty benchmark or corpus gives no rows; extra
 columns stay outside, or are carried untouched by ``clean``.
 """
@@ -29,17 +36,16 @@ from pyspark.sql import functions as F
 from tarnfall.llm import tokens as K
 from tarnfall.llm.common import prepare, tidy
 
-SEED = 4
+#: Items of fewer words must occur as they are.
+LEAST = 4
 BLOCK_BYTES = 8 << 20
-#: A seed is common if it stands in more texts than this times its item's median ...
+#: A seed is common if it stands in more texts than this ...
 COMMON = 16
 #: ... and in more than this share of all texts.
 COMMON_SHARE = 1e-4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An alignment counts from this share of the item's full score.
 MIN_SHARE = 0.5
-#: Words beside the expected place that an alignment may use, as a share of the item.
-PAD = 0.5
 
 
 def words(text: str | None) -> np.ndarray:
@@ -64,8 +70,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def pairs(h: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of each value of h and the one ``apart`` places after it."""
+    return K.gram_hashes(np.stack([h[:-apart], h[apart:]], 1).ravel(), 2)[::2] if len(h) > apart else h[:0]
+
+
 class Block:
-    """Items of one block with their seeds; ``common`` seeds can be switched off."""
+    """Items of one block with their seeds; common seeds can be switched off."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]]):
         seen = {}
@@ -74,73 +85,105 @@ class Block:
             if len(w):
                 seen.setdefault((item_id, w.tobytes()), (item_id, w))
         self.items = list(seen.values())
-        seeds, where = [], []
-        self.sizes = sorted({min(SEED, len(w)) for _, w in self.items})
-        for k, (_, w) in enumerate(self.items):
-            g = K.gram_hashes(w, min(SEED, len(w)))
-            seeds.append(g)
-            where += [(k, at) for at in range(len(g))]
-        flat = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        #: Distinct seeds, and for each the (item, word) places in ``places[first[s]:first[s + 1]]``.
-        self.seeds, inverse = np.unique(flat, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        self.places = np.array(where, np.int64).reshape(-1, 2)[order]
-        self.first = np.searchsorted(inverse[order], np.arange(len(self.seeds) + 1))
-        self.inverse, self.of = inverse, np.array([k for k, _ in where], np.int64)
-        self.on = np.ones(len(self.seeds), bool)
+        self.short = sorted({len(w) for _, w in self.items if len(w) < LEAST})
+        size = np.array([len(w) for _, w in self.items], np.int64)
+        #: Score that an item's alignment must reach, and what it may cost.
+        self.least = np.where(size < LEAST, MATCH * size, np.ceil(MIN_SHARE * MATCH * size).astype(np.int64))
+        self.slack = MATCH * size - self.least
+        #: Seeds that such an alignment holds: three of the slack take two pairs at most.
+        self.need = np.where(size < LEAST, 1, np.maximum(1, size - 1 - 2 * self.slack // 3))
+        self.size = size
+        seeds = [K.gram_hashes(w, len(w)) if len(w) < LEAST else pairs(w, 1) for _, w in self.items]
+        self.seeds, self.inverse = np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.where = np.array([(k, at) for k, g in enumerate(seeds) for at in range(len(g))], np.int64).reshape(-1, 2)
+        self.use(np.ones(len(self.where), bool))
+
+    def use(self, on: np.ndarray) -> None:
+        """on: the (item, word) places that act as seeds. The places of seed s are
+        ``places[first[s]:first[s + 1]]``."""
+        at = np.flatnonzero(on)
+        at = at[np.argsort(self.inverse[at], kind="stable")]
+        self.places = self.where[at]
+        self.first = np.searchsorted(self.inverse[at], np.arange(len(self.seeds) + 1))
+        self.on = np.diff(self.first) > 0
 
     def hits(self, w: K.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(seed, word) of every place of a seed in the texts."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for n in self.sizes:
-            g = K.gram_hashes(h, n)
-            if not len(g):
-                continue
+        grams = [(n - 1, K.gram_hashes(h, n)) for n in self.short]
+        if len(self.items) and self.size.max() >= LEAST:
+            grams += [(apart, pairs(h, apart)) for apart in (1, 2)]
+        for apart, g in grams:
             at = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
-            ok = (self.seeds[at] == g) & self.on[at] & (w.row[: len(g)] == w.row[n - 1 :])
-            word = np.flatnonzero(ok)
+            word = np.flatnonzero((self.seeds[at] == g) & self.on[at] & (w.row[: len(g)] == w.row[apart:]))
             found.append((at[word], word))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def switch_off(self, df: np.ndarray, texts: int) -> None:
-        """df: texts of each seed. A seed that is rare for any of its items stays."""
-        self.on[:] = False
-        for k in range(len(self.items)):
-            own = self.inverse[self.of == k]
-            most = max(COMMON * float(np.median(df[own])), COMMON_SHARE * texts, COMMON)
-            rare = own[df[own] <= most]
-            self.on[rare if len(rare) else own] = True
+        """df: texts of each seed. Of each item, need - 1 common seeds go off at most."""
+        df = df[self.inverse]
+        # An item's places from the most common.
+        order = np.lexsort((-df, self.where[:, 0]))
+        item = self.where[order, 0]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        off = order[(df[order] > max(COMMON, COMMON_SHARE * texts)) & (rank < self.need[item] - 1)]
+        on = np.ones(len(self.where), bool)
+        on[off] = False
+        self.need = self.need - np.bincount(self.where[off, 0], minlength=len(self.items))
+        self.use(on)
+
+    def expected(self, w: K.Words, h: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """For (row, item) where a run of words holds enough seeds, the places in the texts at
+        which the item would start by the first of them."""
+        seed, word = self.hits(w, h)
+        n = self.first[seed + 1] - self.first[seed]
+        hit = np.repeat(np.arange(len(seed)), n)
+        item, pos = self.places[np.arange(len(hit)) + np.repeat(self.first[seed] - (np.cumsum(n) - n), n)].T
+        at = word[hit]
+        row = w.row[at]
+        order = np.lexsort((at, item, row))
+        item, pos, at, row = item[order], pos[order], at[order], row[order]
+        last = np.arange(len(at)) + self.need[item] - 1
+        there = np.minimum(last, len(at) - 1)
+        ok = (last < len(at)) & (item[there] == item) & (row[there] == row) & (at[there] - at < self.size[item] + self.slack[item])
+        out: dict[tuple[int, int], set[int]] = {}
+        for r, k, s in zip(row[ok].tolist(), item[ok].tolist(), (at - pos)[ok].tolist()):
+            out.setdefault((r, k), set()).add(s)
+        return out
+
+    def reachable(self, k: int, h: np.ndarray) -> bool:
+        """Whether item k may align with h: of M equal words in R runs the score is
+        2 M - (R - 1) at most, that is M, the M - R pairs inside the runs, and 1."""
+        item = self.items[k][1]
+        if len(item) < LEAST:
+            return True
+        return np.isin(item, h).sum() + np.isin(pairs(item, 1), pairs(h, 1)).sum() + 1 >= self.least[k]
 
     def matches(self, w: K.Words, h: np.ndarray) -> Iterator[tuple[int, object, float, int, int]]:
         """(row, item, share, first word, end) of the best alignment of each item."""
-        seed, word = self.hits(w, h)
-        expected: dict[tuple[int, int], list[int]] = {}
-        for s, at in zip(seed.tolist(), word.tolist()):
-            r = int(w.row[at])
-            for k, pos in self.places[self.first[s] : self.first[s + 1]].tolist():
-                expected.setdefault((r, k), []).append(at - pos)
-        for (r, k), starts in sorted(expected.items()):
+        for (r, k), starts in sorted(self.expected(w, h).items()):
             item_id, item = self.items[k]
-            pad = int(PAD * len(item)) if len(item) >= SEED else 0
+            pad = int(self.slack[k])
             low, high = int(w.first[r]), int(w.first[r + 1])
             best = (0, 0, 0)
             ranges: list[list[int]] = []
-            for s in sorted(set(starts)):
+            for s in sorted(starts):
                 a, b = max(low, s - pad), min(high, s + len(item) + pad)
                 if ranges and a <= ranges[-1][1]:
                     ranges[-1][1] = max(ranges[-1][1], b)
                 else:
                     ranges.append([a, b])
             for a, b in ranges:
+                if not self.reachable(k, h[a:b]):
+                    continue
                 score, end = align(item, h[a:b])
                 if score > best[0]:
                     best = (score, a, end)
             score, a, end = best
-            share = score / (MATCH * len(item))
-            if share >= (MIN_SHARE if len(item) >= SEED else 1.0):
+            if score >= self.least[k]:
                 # The same alignment from its end backwards tells where it starts.
                 _, back = align(item[::-1], h[a : a + end][::-1])
-                yield r, item_id, share, a + end - back - low, a + end - low
+                yield r, item_id, score / (MATCH * len(item)), a + end - back - low, a + end - low
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, object, float, int, int]]:
         offsets, raw = K.utf8(column)

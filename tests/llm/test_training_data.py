@@ -463,3 +463,22 @@ def test_common_seeds_keep_widespread_items(spark):
     items = [(1, item), (2, "of the and to " + " ".join(f"z{k}" for k in range(20)))]
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(k, 1) for k in range(0, 600, 3)]
+
+
+def changed(rng, words, part):
+    """The words with this part of them, evenly spread, replaced by words of no item."""
+    return [f"new{rng.randrange(99)}" if int((k + 1) * part) > int(k * part) else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("part", [0.2, 0.25, 0.3])
+def test_widespread_edited_copies(spark, part):
+    """One edited copy in hundreds of documents, so that the seeds it keeps are the common ones."""
+    rng = random.Random(6)
+    item = [f"q{k}" for k in range(40)]
+    copy = changed(rng, item, part)
+    docs = [(k, f"start{k} " + " ".join(copy if k % 2 else item[:9]) + f" end{k}") for k in range(600)]
+    items = [(1, " ".join(item))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    share = brute.smith_waterman(item, copy) / (2 * len(item))
+    assert share >= 0.5
+    assert sorted((r.doc_id, r.share) for r in got.collect()) == [(k, share) for k in range(1, 600, 2)]
