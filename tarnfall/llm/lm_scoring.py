@@ -7,20 +7,22 @@ alone, and a uniform one over the vocabulary and one unknown word:
 
 b is the context's frequency bucket, floor(log2(c(u) + 1)). The weights are learned by
 expectation-maximisation on held-out counts: each of the four training folds in turn is
-deleted from all counts and predicted from the others. Contexts are the CONTEXTS most
-frequent words, the start of a text, and one class of all rarer words, so their counts
-have a fixed bound and are broadcast; pairs (context, word) are counted over the whole
-corpus and never leave the executors.
+deleted from all counts and predicted from the others. Contexts are all words and the
+start of a text. The counts of the FREQUENT most frequent ones have a fixed bound and are
+broadcast, those of the others are joined by shuffle; pairs (context, word) are counted
+over the whole corpus and never leave the executors.
 
 Plan, for bounded memory at any size:
 1. Words of the training folds are counted (pre-aggregated in each task).
 2. Each task packs its texts' tokens, in chunks of at most CHUNK_TOKENS, into arrays by
    key: a hash of the word, or of (context, word) if the word is frequent, so no word is
-   ever in one task. A key holds about KEY_TOKENS tokens of the corpus.
-3. For each key, the counts of its pairs are local: they give a histogram of deleted
-   probabilities (a bounded number of cells), on which EM runs on the driver ...
-4. ... and then, from the same arrays, the sums of log probabilities of each text.
-5. Those return by chunk and are added up for each text.
+   ever in one task. A key holds about KEY_TOKENS tokens of the corpus. Contexts that
+   aren't frequent are kept as 64-bit hashes.
+3. The counts of those contexts are joined from the word counts, for each key that has them.
+4. For each key, the counts of its pairs are local: they give a histogram of deleted
+   probabilities (a bounded number of cells), on which EM runs in one task ...
+5. ... and then, from the same arrays, the sums of log probabilities of each text.
+6. Those return by chunk and are added up for each text.
 
 Defined results: a null text is empty and has one token, its end; rows that repeat id and
 text are counted as often as they occur and scored alike; rows that share an id with other
@@ -40,12 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import Scratch, fold, prepare
+from tarnfall.llm.common import fold, prepare, tidy, written
 
 FOLDS, HELD_OUT = 5, 1
 TRAIN = (0, 2, 3, 4)
-CONTEXTS = 65_000
-#: Context ids of the start of a text and of all rarer words.
+#: Words whose counts are broadcast, at most.
+FREQUENT = 65_000
+#: With a number, contexts beyond that many words are counted as one class.
+CONTEXTS: int | None = None
+#: Context ids of the start of a text and of all rarer words; those have their hash beside it.
 START, RARE = 65_534, 65_535
 #: The end of a text, a token like a word.
 END = np.uint64(1)
@@ -121,7 +126,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts that are broadcast: at most CONTEXTS words, with one column a training fold."""
+    """Counts that are broadcast: at most FREQUENT words, with one column a training fold."""
 
     frequent: np.ndarray  # sorted hashes; the end is among them
     counts: np.ndarray
@@ -131,6 +136,7 @@ class Vocabulary:
     keys: int
     chunk: int  # tokens
     spread: np.ndarray  # of each frequent word, whether it is dealt by (context, word)
+    pooled: bool  # whether rarer contexts are one class
 
     @property
     def uniform(self) -> float:
@@ -142,23 +148,22 @@ class Vocabulary:
         return np.where(self.frequent[at] == h, at, RARE)
 
 
-def vocabulary(rows: DataFrame) -> Vocabulary:
-    tmp = Scratch(rows.sparkSession)
-    counts = tmp.written(word_counts(rows), "words")
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """counts: as from word_counts."""
     n = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
     columns = [F.sum(f"n{k}") for k in range(len(TRAIN))]
     size, *total = counts.agg(F.count(F.lit(1)), *columns).first()
     total = np.array([x or 0 for x in total], np.int64)
-    # The lowest count at which no more than CONTEXTS words are left, by sixteenths of octaves.
+    limit = FREQUENT if CONTEXTS is None else min(FREQUENT, CONTEXTS)
+    # The lowest count at which no more than limit words are left, by sixteenths of octaves.
     level = F.floor(F.log2(n) * 16)
     words, least = 0, None
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if words + r["count"] > CONTEXTS - 1:
+        if words + r["count"] > limit - 1:
             break
         words, least = words + r["count"], r.level
     top = counts.where(level >= least).collect() if least is not None else []
     ends = counts.where(F.col("h") == int(END)).first()
-    tmp.drop("words")
     table = {np.uint64(r.h % (1 << 64)): [r.n0, r.n1, r.n2, r.n3] for r in top}
     table[END] = [ends.n0, ends.n1, ends.n2, ends.n3] if ends else [0, 0, 0, 0]
     frequent = np.array(sorted(table), np.uint64)
@@ -171,10 +176,10 @@ def vocabulary(rows: DataFrame) -> Vocabulary:
     tokens = int(total.sum()) * FOLDS // len(TRAIN)
     root = int((tokens * MIN_PIECE) ** 0.5)
     key = max(KEY_TOKENS, root, tokens >> KEY_BITS - 1)
-    return Vocabulary(frequent, own, context, total, size, -(-tokens // key) or 1, max(CHUNK_TOKENS, root), own.sum(1) > SPREAD * key)
+    return Vocabulary(frequent, own, context, total, size, -(-tokens // key) or 1, max(CHUNK_TOKENS, root), own.sum(1) > SPREAD * key, CONTEXTS is not None)
 
 
-PACK = ("ids", "part", "times", "v", "run", "context", "row", "n")
+PACK = ("ids", "part", "times", "v", "run", "context", "row", "n", "far")
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -182,7 +187,7 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
     return head.tobytes() + b"".join(arrays[k].tobytes() for k in PACK)
 
 
-_TYPES = dict(zip(PACK, (np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint16, np.uint16, np.uint16)))
+_TYPES = dict(zip(PACK, (np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint16, np.uint16, np.uint16, np.uint64)))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -208,23 +213,28 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         context = np.empty(len(h), np.uint64)
         context[1:] = word[:-1]
         context[first] = START
+        # Hashes of the contexts that have no id.
+        far = np.zeros(len(h), np.uint64)
+        if not model.pooled:
+            rare = np.flatnonzero(context == RARE)
+            far[rare] = h[rare - 1]
         mixed = K.mix(h)
         key = mixed % np.uint64(model.keys)
         hot = np.flatnonzero(np.append(model.spread, False)[np.minimum(word, len(model.spread))])
-        key[hot] = K.mix(h[hot] ^ (context[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.keys)
+        key[hot] = K.mix(h[hot] ^ (context[hot] + far[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.keys)
         # By key, word, context and text; of the word only some bits, as runs are told apart by all.
         rank = key << np.uint64(64 - KEY_BITS) | mixed >> np.uint64(32 + KEY_BITS) << np.uint64(32) | context << np.uint64(16) | row
         order = np.argsort(rank)
-        rank, h, key = rank[order], h[order], key[order].astype(np.int64)
+        rank, h, key, far = rank[order], h[order], key[order].astype(np.int64), far[order]
         new = np.ones(len(h), bool)
-        new[1:] = (rank[1:] != rank[:-1]) | (h[1:] != h[:-1])
+        new[1:] = (rank[1:] != rank[:-1]) | (h[1:] != h[:-1]) | (far[1:] != far[:-1])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(h)))
         while (n > 65_535).any():  # rarer than rare: one text with one pair so often
             big = np.flatnonzero(n > 65_535)
             at, n = np.insert(at, big + 1, at[big]), np.insert(n, big + 1, n[big] - 65_535)
             n[big + np.arange(len(big))] = 65_535
-        h, key, rank = h[at], key[at], rank[at]
+        h, key, rank, far = h[at], key[at], rank[at], far[at]
         context = (rank >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
         row = (rank & np.uint64(0xFFFF)).astype(np.int64)
         name = int(K.mix(ids[:1].view(np.uint64) + np.uint64(len(ids)))[0].view(np.int64))
@@ -238,6 +248,7 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
                 "ids": np.diff(ids[used], prepend=0), "part": fold_[used], "times": times[used],
                 "v": h[a:b][start], "run": np.diff(np.append(start, b - a)).astype(np.uint32),
                 "context": context[a:b], "row": local[row[a:b]].astype(np.uint16), "n": n[a:b].astype(np.uint16),
+                "far": far[a:b][context[a:b] == RARE] if not model.pooled else far[:0],
             })
             yield int(key[a]), name, data
 
@@ -270,25 +281,62 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, chunk bigint, data binary")
 
 
+def far_counts(arrays: DataFrame, counts: DataFrame) -> DataFrame:
+    """key, h and n0..n3 of the contexts without an id that the key's records have."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, parts in held.items():
+                h = np.unique(np.concatenate(parts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(h)], ["key", "h"])
+
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                h = np.unique(unpack(data.as_buffer())["far"])
+                held.setdefault(key, []).append(h)
+                size += len(h)
+                if size > 2_000_000:
+                    yield from out()
+                    held, size = {}, 0
+        yield from out()
+
+    return arrays.mapInArrow(tidy(run), "key bigint, h bigint").join(counts, "h").select("key", *counts.columns)
+
+
 class Pairs:
-    """Counts of one key's words and (context, word) pairs, and its token records."""
+    """Counts of one key's words and (context, word) pairs, and its token records.
+
+    far: the key's rows of far_counts."""
 
-    def __init__(self, table: pa.Table, model: Vocabulary):
+    def __init__(self, table: pa.Table, far: pa.Table, model: Vocabulary):
         parts = [unpack(d) for d in table["data"].to_pylist()]
         self.sizes = [len(p["ids"]) for p in parts]
         self.ids = np.concatenate([p["ids"] for p in parts])
         base = np.cumsum([0] + self.sizes)[:-1]
         self.row = np.concatenate([p["row"].astype(np.int32) + np.int32(b) for p, b in zip(parts, base)])
         self.n = np.concatenate([p["n"] for p in parts])
-        context = np.concatenate([p["context"] for p in parts])
+        context = np.concatenate([p["context"] for p in parts]).astype(np.int64)
+        #: Counts of contexts by id, those without one by their place after the ids.
+        self.context = model.context
+        if not model.pooled:
+            hashes, at = np.unique(np.concatenate([p["far"] for p in parts]), return_inverse=True)
+            context[context == RARE] = len(model.context) + at
+            own = np.zeros((len(hashes), len(TRAIN)), np.int64)
+            at = np.searchsorted(hashes, far["h"].to_numpy().view(np.uint64))
+            own[at] = np.stack([far[f"n{k}"].to_numpy() for k in range(len(TRAIN))], 1)
+            self.context = np.concatenate((model.context, own))
+            del hashes, at
         fold_, times = (np.concatenate([p[k] for p in parts]) for k in ("part", "times"))
         words, run = np.unique(np.concatenate([p["v"] for p in parts]), return_inverse=True)
         self.word = np.repeat(run.astype(np.int32), np.concatenate([p["run"] for p in parts]))
         del parts
-        pairs, pair = np.unique(self.word.astype(np.int64) << 16 | context, return_inverse=True)
+        pairs, pair = np.unique(self.word.astype(np.int64) << 32 | context, return_inverse=True)
         self.pair = pair.astype(np.int32)
         del pair, context
-        self.pair_word, self.pair_context = pairs >> 16, pairs & 0xFFFF
+        self.pair_word, self.pair_context = pairs >> 32, pairs & 0xFFFFFFFF
         self.c2 = np.zeros((len(pairs), len(TRAIN)))
         self.c1 = np.zeros((len(words), len(TRAIN)))
         for k, j in enumerate(TRAIN):
@@ -309,14 +357,14 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(context + 1)).astype(np.int64)
 
 
-def deleted_cells(table: pa.Table, model: Vocabulary) -> pa.Table:
+def deleted_cells(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
     """A histogram of the pairs of each training fold by what the other folds predict."""
-    t = Pairs(table, model)
+    t = Pairs(table, far, model)
     cells, values = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
     for k in range(len(TRAIN)):
         seen = np.flatnonzero(t.c2[:, k])
         w = t.c2[seen, k]
-        u = (model.context.sum(1) - model.context[:, k])[t.pair_context[seen]]
+        u = (t.context.sum(1) - t.context[:, k])[t.pair_context[seen]]
         p2 = share(t.c2[seen].sum(1) - w, u)
         p1 = share((t.c1.sum(1) - t.c1[:, k])[t.pair_word[seen]], float(model.total.sum() - model.total[k]))
         level = []
@@ -356,11 +404,11 @@ def interpolation_weights(cells: list, uniform: float) -> np.ndarray:
     return weights[near]
 
 
-def text_sums(table: pa.Table, model: Vocabulary) -> pa.Table:
+def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
     """For each chunk: its texts' sums over this key's tokens."""
     weights = np.frombuffer(table["weights"][0].as_py(), np.float64).reshape(BUCKETS, 3)
-    t = Pairs(table, model)
-    total, c1, u = float(model.total.sum()), t.c1.sum(1), model.context.sum(1)
+    t = Pairs(table, far, model)
+    total, c1, u = float(model.total.sum()), t.c1.sum(1), t.context.sum(1)
     lam = weights[bucket(u[t.pair_context])]
     p = lam[:, 0] * share(t.c2.sum(1), u[t.pair_context]) + lam[:, 1] * share(c1, total)[t.pair_word] + lam[:, 2] * model.uniform
     base = np.log10((c1 + 0.5) / (total + 0.5 * (model.size + 1)))
@@ -379,7 +427,7 @@ def text_sums(table: pa.Table, model: Vocabulary) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def learned(arrays: DataFrame, vocab) -> DataFrame:
+def learned(arrays: DataFrame, far: DataFrame, vocab) -> DataFrame:
     """One row: the mixture weights as bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +435,7 @@ def learned(arrays: DataFrame, vocab) -> DataFrame:
             found = [interpolation_weights(rows, vocab.value.uniform).tobytes() for rows in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["weights"])
 
-    cells = arrays.groupBy("key").applyInArrow(lambda t: deleted_cells(t, vocab.value), "cell bigint, w double, w2 double, w1 double")
+    cells = arrays.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda t, f: deleted_cells(t, f, vocab.value), "cell bigint, w double, w2 double, w1 double")
     cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("w", "w2", "w1")])
     # A bounded number of cells, whatever the corpus.
     return cells.agg(F.sort_array(F.collect_list(F.struct("cell", "w", "w2", "w1"))).alias("cells")).mapInArrow(run, "weights binary")
@@ -419,12 +467,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     else:
         rows = rows.withColumn("uid", F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.col("id").isNull(), "text"))
         units = rows.groupBy("uid").agg(F.first("text").alias("text"), F.first("part").alias("part"), F.count(F.lit(1)).cast("int").alias("times"))
-    model = vocabulary(units)
+    counts = written(word_counts(units), "words")
+    model = vocabulary(counts)
     shared = spark.sparkContext.broadcast(model)
     # One plan: the weights are a subquery over the same exchange, which is made once.
     arrays = packed(units, shared).repartition("key")
-    weighted = arrays.withColumn("weights", learned(arrays, shared).scalar())
-    sums = weighted.groupBy("key").applyInArrow(lambda t: text_sums(t, shared.value), "chunk bigint, data binary")
+    far = far_counts(arrays, counts)
+    weighted = arrays.withColumn("weights", learned(arrays, far, shared).scalar())
+    sums = weighted.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda t, f: text_sums(t, f, shared.value), "chunk bigint, data binary")
     out = sums.groupBy("chunk").applyInArrow(added_up, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     if unique:
         out = out.withColumnRenamed("uid", id_col)

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -165,6 +166,34 @@ def test_lm_model(spark, monkeypatch, chunk):
         assert total == pytest.approx(1)
 
 
+def test_lm_rare_contexts(spark, monkeypatch):
+    """With more words than are broadcast, each is still a context of its own."""
+    docs = [(10 * k + j, " ".join(f"w{i}" for i in range(700 * k, 700 * k + 700 + j))) for k in range(100) for j in (0, 2, 3)]
+    docs += [(k, f"w{k} w{k + 2} the w{k + 1} unseen{k} w{k}") for k in range(5000, 5400)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    seen = {}
+    learned = lm_scoring.learned
+    monkeypatch.setattr(lm_scoring, "learned", lambda *a: seen.setdefault("w", learned(*a)))
+    monkeypatch.setattr(lm_scoring, "KEY_TOKENS", 50_000)
+    got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
+    lam = np.frombuffer(seen["w"].first()[0]).reshape(-1, 3)
+    tokens = {i: ["<s>", *t.split(), "</s>"] for i, t in docs}
+    c1, c2, cu = Counter(), Counter(), Counter()
+    for i, ws in tokens.items():
+        if brute.fold(i, 5) != 1:
+            c1.update(ws[1:])
+            cu.update(ws[:-1])
+            c2.update(zip(ws, ws[1:]))
+    n, v = sum(c1.values()), len(c1)
+    assert v > 65_536
+    for i, ws in tokens.items():
+        s = 0.0
+        for u, w in zip(ws, ws[1:]):
+            l2, l1, l0 = lam[int(np.floor(np.log2(cu[u] + 1)))]
+            s += np.log10((l2 * c2[u, w] / cu[u] if cu[u] else 0) + l1 * c1[w] / n + l0 / (v + 1))
+        assert close(got[i], s)
+
+
 def test_lm_beats_the_base(spark):
     r = registry.queries()["op2_lm_scoring"](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
