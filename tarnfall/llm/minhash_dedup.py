@@ -91,22 +91,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -> DataFrame:
-    """id, n, s (sorted 64-bit shingle hashes) and t (their lower halves) of the ids."""
+    """id, n and s (sorted 64-bit shingle hashes) of the ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
             for sets in texts(b.column(1), k):
                 wide = pa.array([s.tobytes() for s in sets], pa.binary())
-                narrow = pa.array([s.astype(np.uint32).tobytes() for s in sets], pa.binary())
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), n, wide, narrow], ["id", "n", "s", "t"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), n, wide], ["id", "n", "s"])
                 at += len(sets)
 
     few = ids.count() <= MAX_BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return rows.mapInArrow(tidy(run), "id bigint, n bigint, s binary, t binary")
+    return rows.mapInArrow(tidy(run), "id bigint, n bigint, s binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -185,13 +184,13 @@ def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, tmp: Scr
     left, right = blocks.withColumnRenamed("block", "i"), blocks.withColumnRenamed("block", "j")
     tasks = left.join(right, "key").where("i <= j AND (i.of IS NULL OR j.of IS NULL OR i.of != j.of)")
     tasks = tasks.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = m.join(tasks, ["key", "block"]).join(sets.select("id", "n", "t"), "id")
-    rows = rows.select("key", F.to_json("i").alias("i"), F.to_json("j").alias("j"), "id", "component", "n", "t")
+    rows = m.join(tasks, ["key", "block"]).join(sets.select("id", "n", "s"), "id")
+    rows = rows.select("key", F.to_json("i").alias("i"), F.to_json("j").alias("j"), "id", "component", "n", "s")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
         n = table["n"].to_numpy()
-        sets = [np.frombuffer(t, np.uint32) for t in table["t"].to_pylist()]
+        sets = [np.frombuffer(s, np.uint64) for s in table["s"].to_pylist()]
         flat = np.concatenate(sets)
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         distinct, column = np.unique(flat, return_inverse=True)

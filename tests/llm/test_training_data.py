@@ -87,6 +87,20 @@ def test_block_stage_links_what_hubs_miss(spark):
     assert [tuple(r) for r in minhash_dedup.confirmed(pairs, sets).collect()] == [(2, 3)]
 
 
+def test_block_stage_compares_whole_hashes(spark):
+    """Shingles of one set that share the lower half of their hashes all count."""
+    def ids(x):
+        return spark.createDataFrame(x, "key bigint, id bigint, hub bigint, size bigint")
+
+    low = {1: range(0, 9), 2: range(20, 29), 3: range(21, 30), 4: range(50, 59)}
+    wide = {i: np.array([k << 32 | 7 for k in v], np.uint64) for i, v in low.items()}
+    sets = [(i, len(v), v.tobytes(), v.astype(np.uint32).tobytes()) for i, v in wide.items()]
+    sets = spark.createDataFrame(sets, "id bigint, n bigint, s binary, t binary")
+    labels = spark.createDataFrame([], "id bigint, component bigint")
+    pairs = minhash_dedup.block_links(ids([(9, i, 1, 4) for i in low]), labels, sets, common.Scratch(spark))
+    assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(30, 35), (35, 33), (33, 30)] + [(100, 100 + k) for k in range(1, 40)]
     got = minhash_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"))
