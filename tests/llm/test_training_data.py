@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -525,3 +526,30 @@ def test_widespread_edited_copies(spark, part):
     share = brute.smith_waterman(item, copy) / (2 * len(item))
     assert share >= 0.5
     assert sorted((r.doc_id, r.share) for r in got.collect()) == [(k, share) for k in range(1, 600, 2)]
+
+
+def test_leaks_are_those_of_plain_alignment(spark, tmp_path):
+    """Planted copies, one in a document and one in hundreds, in op9 and in the pipeline's stage."""
+    rng = random.Random(8)
+    common_words = "of the and to in a is that".split()
+
+    def text(n):
+        return [rng.choice(common_words) if rng.random() < 0.4 else f"v{rng.randrange(300)}" for _ in range(n)]
+
+    items = {k: text(n) for k, n in enumerate((16, 24, 33, 40, 28))}
+    spread = changed(rng, items[3], 0.25)
+    docs = {k: text(20) + spread + text(10) if k % 2 else text(40) for k in range(400)}
+    docs |= {1000 + k: text(30) + changed(rng, items[k % 5], 0.1 + 0.05 * (k // 5)) + text(30) for k in range(25)}
+    docs |= {2000 + k: text(15) + [x for w in items[k] for x in (w, "added")] + text(15) for k in items}
+    docs |= {3000 + k: text(15) + items[k][: len(items[k]) * 3 // 5] for k in items}
+    docs[4000] = text(1600) + changed(rng, items[2], 0.2)
+    shares = {(i, k): brute.smith_waterman(items[k], docs[i]) / (2 * len(items[k])) for i in docs for k in items}
+    want = {p: s for p, s in shares.items() if s >= 0.5}
+    sf = str(tmp_path)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string")
+    table.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.share for r in registry.queries()["op9_decontaminate"](spark, sf).collect()}
+    assert len(want) > 220 and got == want
+    left = {r.doc_id for r in corpus_pipeline.decontamination_stage(spark, table, sf).collect()}
+    assert left == set(docs) - {i for i, _ in want}
