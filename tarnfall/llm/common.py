@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcast limit for row-id sets that were counted first (8 bytes an id, about 64 MB built).
@@ -78,6 +78,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).written(df, name)
 
 
+#: A key with more rows is dealt over several tasks; at most MAX_HOT_KEYS keys are.
+HOT_ROWS, MAX_HOT_KEYS = 1000, 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, by: Column) -> DataFrame:
+    """The inner join of many left rows with right, which has one row a key and, as ``n``,
+    the number of its left rows (``rows`` in all).
+
+    The few keys with many rows are broadcast with their number of salts; their left rows are
+    dealt over the salts by ``by``, and their right row is there once for each salt, so no
+    key meets in one task."""
+    most = max(HOT_ROWS, rows // MAX_HOT_KEYS)
+    hot = right.where(F.col(n) > most)
+    if hot.isEmpty():
+        return left.join(right, on)
+    salts = F.ceil(F.col(n) / most).cast("int")
+    left = left.join(F.broadcast(hot.select(*on, salts.alias("_salts"))), on, "left")
+    left = left.withColumn("_salt", F.pmod(by, F.coalesce("_salts", F.lit(1))).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [*on, "_salt"]).drop("_salt", "_salts")
+
+
 class Scratch:
     """Tables in the shared folder that can be deleted once nothing reads them any more."""
 

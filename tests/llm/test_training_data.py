@@ -63,9 +63,11 @@ def near_corpus(seed=3):
     return docs
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, wide, hot", [(256, 2048, 1000), (4, 2048, 3), (4, 4, 3)])
+def test_near_duplicates(spark, monkeypatch, block, wide, hot):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "WIDE", wide)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     docs = near_corpus()
     got = minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
     want = brute.near_components(docs)
@@ -73,33 +75,62 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert {r.id: r.n_shingles for r in got} == {i: len(brute.shingles(t)) for i, t in docs}
 
 
-def test_block_stage_links_what_hubs_miss(spark):
-    """b and c are linked with each other but not with the hub a of their bucket."""
-    def ids(x):
-        return spark.createDataFrame(x, "key bigint, id bigint, hub bigint, size bigint")
-
-    s = {1: range(0, 100), 2: range(40, 140), 3: range(45, 145), 4: range(500, 600)}
-    sets = [(i, len(v), np.array(v, np.uint64).tobytes(), np.array(v, np.uint32).tobytes()) for i, v in s.items()]
-    sets = spark.createDataFrame(sets, "id bigint, n bigint, s binary, t binary")
-    members = ids([(9, i, 1, 4) for i in s] + [(8, i, 1, 4) for i in s])
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = [(7, a), (3, a + " x"), (7, b), (9, b + " y"), (9, b + " y"), (None, b), (None, "alone"), (8, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = minhash_dedup.near_duplicates(df).collect()
+    want = [(3, 3), (7, 3), (7, 7), (9, 7), (9, 7), (None, 7), (8, 8), (None, None)]
+    assert sorted(((r.id, r.component) for r in got), key=str) == sorted(want, key=str)
+    kept = minhash_dedup.dedup(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", a + " x"), ("7", b), ("None", b), ("None", "alone"), ("8", "")])
+
+
+def blocks_of(spark, values):
+    """Links of one bucket, without its hub 0, that the block stage finds."""
+    sets = [(i, len(v), np.array(v, np.uint64).tobytes()) for i, v in values.items()]
+    sets = spark.createDataFrame(sets, "id bigint, n bigint, s binary")
+    members = [(key, i, len(v), 0, 1, len(values)) for key in (8, 9) for i, v in values.items()]
+    members = spark.createDataFrame(members, "key bigint, id bigint, n bigint, hub bigint, hub_n bigint, size bigint")
+    tmp = common.Scratch(spark)
     labels = spark.createDataFrame([], "id bigint, component bigint")
-    pairs = minhash_dedup.block_links(members, labels, sets, common.Scratch(spark))
-    assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
-    assert [tuple(r) for r in minhash_dedup.confirmed(pairs, sets).collect()] == [(2, 3)]
+    return [tuple(r) for r in minhash_dedup.block_links(minhash_dedup.mixed_members(members, labels, tmp), sets, tmp).collect()]
+
+
+def test_block_stage_links_what_hubs_miss(spark):
+    """2 and 3 are linked with each other but not with the others of their bucket."""
+    assert blocks_of(spark, {1: range(0, 100), 2: range(40, 140), 3: range(45, 145), 4: range(500, 600)}) == [(2, 3)]
 
 
 def test_block_stage_compares_whole_hashes(spark):
     """Shingles of one set that share the lower half of their hashes all count."""
-    def ids(x):
-        return spark.createDataFrame(x, "key bigint, id bigint, hub bigint, size bigint")
-
     low = {1: range(0, 9), 2: range(20, 29), 3: range(21, 30), 4: range(50, 59)}
-    wide = {i: np.array([k << 32 | 7 for k in v], np.uint64) for i, v in low.items()}
-    sets = [(i, len(v), v.tobytes(), v.astype(np.uint32).tobytes()) for i, v in wide.items()]
-    sets = spark.createDataFrame(sets, "id bigint, n bigint, s binary, t binary")
-    labels = spark.createDataFrame([], "id bigint, component bigint")
-    pairs = minhash_dedup.block_links(ids([(9, i, 1, 4) for i in low]), labels, sets, common.Scratch(spark))
-    assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
+    assert blocks_of(spark, {i: [k << 32 | 7 for k in v] for i, v in low.items()}) == [(2, 3)]
+    # Nor do they count when only those halves are equal: 1 and 2 are no pair, 3 and 4 are.
+    far = {1: [k << 32 | k for k in range(20)], 2: [k << 33 | k for k in range(1, 21)]}
+    far |= {3: [k << 40 for k in range(1, 21)], 4: [k << 40 for k in range(2, 22)]}
+    assert blocks_of(spark, far) == [(3, 4)]
+
+
+def test_narrower_buckets_keep_every_link(spark):
+    rng = random.Random(5)
+    common_, own = [rng.randrange(1 << 60) for _ in range(60)], []
+    sets = {}
+    for i in range(80):
+        own = own if i % 4 else [rng.randrange(1 << 60) for _ in range(40)]
+        sets[i] = sorted({*common_, *own[: 30 + i % 4], *[rng.randrange(1 << 60) for _ in range(i % 4 and 9)]})
+    rows = [(i, len(s), np.array(s, np.uint64).tobytes()) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "id bigint, n bigint, s binary")
+    narrow = minhash_dedup.narrower(df.select("id"), df, common.Scratch(spark)).collect()
+    keys = {}
+    for r in narrow:
+        keys.setdefault(r.id, set()).add(r.key)
+    for a in sets:
+        for b in sets:
+            both = len({*sets[a]} & {*sets[b]})
+            if a < b and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                assert keys[a] & keys[b]
+    assert max(Counter(r.key for r in narrow).values()) < len(sets) // 2
 
 
 def test_components(spark):
