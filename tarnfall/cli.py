@@ -1,4 +1,5 @@
-"""Command line: ``convert`` a CSV file, or ``run-query`` N on a converted table."""
+"""Command line: ``convert`` a CSV file, ``run-query`` N on a converted table, or print the
+schema of the workload's table."""
 
 from __future__ import annotations
 
@@ -7,7 +8,8 @@ import sys
 import time
 
 from tarnfall.plans.query import Query
-from tarnfall.plans.workload import WORKLOAD
+from tarnfall.plans.hits_schema import HITS_SCHEMA
+from tarnfall.plans.workload import Constants, workload
 from tarnfall.session import build_session
 from tarnfall.sources import sink, tables
 from tarnfall.types import read_schema
@@ -21,20 +23,26 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("schema")
     c.add_argument("data")
     c.add_argument("output")
-    c.add_argument("--split-lines", action="store_true", help="no field holds a line break: split large files")
+    c.add_argument("--line-breaks", action="store_true", help="quoted fields may hold line breaks: a file is one task")
+    c.add_argument("--split-lines", action="store_true", help="the default: large files are split at lines")
+    sub.add_parser("hits-schema", help="print the schema of the workload's table, for convert")
     r = sub.add_parser("run-query", help="print a query's rows; the time goes to stderr")
     r.add_argument("number", type=int)
     r.add_argument("table")
     r.add_argument("--quoted", action="store_true", help="quote fields that need it")
     args = parser.parse_args(argv)
-    if args.command == "run-query" and args.number not in WORKLOAD:
+    if args.command == "hits-schema":
+        sys.stdout.write(HITS_SCHEMA)
+        return 0
+    queries = workload(Constants())
+    if args.command == "run-query" and args.number not in queries:
         print("Invalid query", file=sys.stderr)
         return 2
     spark = build_session(args.master)
     if args.command == "convert":
-        tables.convert(spark, read_schema(args.schema), args.data, args.output, multi_line=not args.split_lines)
+        tables.convert(spark, read_schema(args.schema), args.data, args.output, multi_line=args.line_breaks)
         return 0
-    df = WORKLOAD[args.number].build(Query.scan(spark, args.table)).df
+    df = queries[args.number].build(Query.scan(spark, args.table)).df
     began = time.monotonic()
     sink.write_raw(sink.rows(df), sys.stdout, args.quoted)
     print(f"Time: {1000 * (time.monotonic() - began):.0f} ms", file=sys.stderr)

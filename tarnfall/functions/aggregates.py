@@ -37,14 +37,31 @@ def count_distinct(x: Value | str, alias: str | None = None) -> Aggregate:
     return Aggregate(lambda df: F.count_distinct(v.bind(df)), name)
 
 
+def _pieces(c: Column, kind: T.DataType) -> list[tuple[Column, int]]:
+    """(piece, its power of two) of an integer, so that the pieces' 64-bit sums can't
+    overflow: before 2^47 rows of int16 and int32, and before 2^41 rows of int64."""
+    if isinstance(kind, T.LongType):
+        mask = F.lit((1 << 22) - 1).cast("bigint")
+        return [(F.shiftright(c, 44), 44), (F.shiftright(c, 22).bitwiseAND(mask), 22), (c.bitwiseAND(mask), 0)]
+    c = c.cast("bigint")
+    if isinstance(kind, T.IntegerType):
+        return [(F.shiftright(c, 16), 16), (c.bitwiseAND(F.lit((1 << 16) - 1).cast("bigint")), 0)]
+    return [(c, 0)]
+
+
+def _joined(pieces: list[tuple[Column, int]]) -> Column:
+    """The total of summed pieces as decimal(38,0): once a group, not once a row."""
+    out = None
+    for piece, power in pieces:
+        part = piece.cast("decimal(21,0)") * F.lit(1 << power).cast("decimal(14,0)")
+        out = part if out is None else out + part
+    return out.cast("decimal(38,0)")
+
+
 def _wide_sum(c: Column, kind: T.DataType) -> Column:
-    """An exact sum. int16 and int32 can't overflow a 64-bit total before 2^32 rows;
-    int64 is added as two 32-bit halves, which keeps decimals out of the inner loop."""
-    if not isinstance(kind, T.LongType):
-        return F.sum(c.cast("bigint"))
-    high = F.sum(F.shiftright(c, 32)).cast("decimal(28,0)")
-    low = F.sum(c.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).cast("decimal(28,0)")
-    return (high * F.lit(4294967296).cast("decimal(10,0)") + low).cast("decimal(38,0)")
+    """An exact sum without decimals in the inner loop."""
+    pieces = _pieces(c, kind)
+    return F.sum(pieces[0][0]) if len(pieces) == 1 else _joined([(F.sum(x), power) for x, power in pieces])
 
 
 def sum_(x: Value | str, alias: str | None = None) -> Aggregate:

@@ -107,37 +107,97 @@ def str_len(expr: Value | str) -> Value:
     return Value(lambda df: F.octet_length(v.bind(df)))
 
 
+#: ASCII classes by name, as Java spells them.
+_POSIX = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}",
+    "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}",
+    "space": r"\s", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
+}
+
+
 def java_pattern(pattern: str) -> str:
-    """Linear-time regex syntax as a Java pattern: '.' stops at newline only and an
-    unescaped '$' outside a class means the very end of the text."""
-    out, in_class, k = [], False, 0
+    """Linear-time regex syntax as a Java pattern: '.' stops at newline only, an unescaped
+    '$' outside a class means the very end of the text, groups may be named ``(?P<name>``,
+    classes ``[:alpha:]``, and a leading ``(?U)`` makes quantifiers lazy by default.
+    Look-around, back references, possessive quantifiers and ``\\C`` aren't part of it."""
+    lazy = False
+    if (m := re.match(r"\(\?([imsU]+)\)", pattern)) and "U" in m[1]:
+        lazy, rest = True, m[1].replace("U", "")
+        pattern = (f"(?{rest})" if rest else "") + pattern[m.end() :]
+    out, in_class, names, k = [], False, 0, 0
     while k < len(pattern):
-        c = pattern[k]
+        c, rest = pattern[k], pattern[k:]
         if c == "\\":
-            out.append(pattern[k : k + 2])
+            if rest.startswith(r"\Q"):
+                end = rest.find(r"\E")
+                end = len(rest) if end < 0 else end + 2
+                out.append(rest[:end])
+                k += end
+                continue
+            if rest[1:2] in "123456789C" and not in_class and rest[1:2]:
+                raise ValueError(f"not supported in a pattern: {rest[:2]}")
+            space = r"\t\n\f\r "
+            if rest[1:2] == "s":
+                out.append(space if in_class else f"[{space}]")
+            elif rest[1:2] == "S" and not in_class:
+                out.append(f"[^{space}]")
+            else:
+                out.append(rest[:2])
             k += 2
             continue
         if in_class:
+            if m := re.match(r"\[:(\^?)(\w+):\]", rest):
+                if m[2] not in _POSIX:
+                    raise ValueError(f"no such class: {m[0]}")
+                name = _POSIX[m[2]]
+                out.append(name.replace(r"\p", r"\P") if m[1] and "p" in name[:2] else name.upper() if m[1] else name)
+                k += len(m[0])
+                continue
             in_class = c != "]"
-        elif c == "[":
+            out.append("\\" + c if c in "[&~" else c)  # no nested classes here
+            k += 1
+            continue
+        if c == "[":
             in_class = True
-            if (m := re.match(r"\[\^?\]", pattern[k:])) is not None:
+            if m := re.match(r"\[\^?\]", rest):
                 out.append(m[0][:-1] + "\\]")
                 k += len(m[0])
-                continue
-        out.append(r"\z" if c == "$" and not in_class else c)
+            else:
+                m = re.match(r"\[\^?", rest)
+                out.append(m[0])
+                k += len(m[0])
+            continue
+        if m := re.match(r"\(\?P?<(\w+)>", rest):
+            names += 1
+            out.append(f"(?<g{names}>")
+            k += len(m[0])
+            continue
+        if re.match(r"\(\?(<?[=!]|>)", rest):
+            raise ValueError(f"not supported in a pattern: {rest[:4]}")
+        if m := re.match(r"(?:[*+?]|\{\d+(?:,\d*)?\})([?+]?)", rest):
+            if m[1] == "+":
+                raise ValueError(f"not supported in a pattern: {m[0]}")
+            plain = m[0][:-1] if m[1] else m[0]
+            out.append(plain + ("?" if bool(m[1]) != lazy else ""))
+            k += len(m[0])
+            continue
+        out.append(r"\z" if c == "$" else c)
         k += 1
     return "(?d)" + "".join(out)
 
 
 def java_replacement(text: str) -> str:
-    r"""``\1`` becomes ``$1``, ``\\`` a backslash; a literal ``$`` is escaped."""
+    r"""``\1`` becomes ``$1``, ``\\`` a backslash; a literal ``$`` is escaped, as is a digit
+    behind a group's number, which has one digit only."""
+
     def one(m: re.Match) -> str:
         if m[0] == "$":
             return r"\$"
-        return "$" + m[1] if m[1].isdigit() else "\\" + m[1]
+        if m[1].isdigit():
+            return "$" + m[1] + ("\\" + m[2] if m[2] else "")
+        return "\\" + m[1] + m[2]
 
-    return re.sub(r"\$|\\(.)", one, text, flags=re.S)
+    return re.sub(r"\$|\\(.)([0-9]?)", one, text, flags=re.S)
 
 
 def regexp_replace(expr: Value | str, pattern: str, replacement: str) -> Value:

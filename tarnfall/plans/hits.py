@@ -32,24 +32,23 @@ COLUMNS: dict[str, tuple[str, str]] = {
         "string",
         "CASE WHEN e.event_id % 6 = 0 THEN '' ELSE concat('M', CAST(e.user_id % 9 AS STRING)) END",
     ),
-    "URL": ("string", "CASE WHEN e.event_id % 11 = 0 THEN '' ELSE p.url END"),
-    "Referer": ("string", "CASE WHEN e.event_id % 13 = 0 THEN '' ELSE r.url END"),
-    "Title": ("string", "CASE WHEN e.event_id % 7 = 0 THEN '' ELSE concat('Page ', p.url) END"),
+    "URL": ("string", "CASE WHEN e.event_id % 11 = 0 THEN '' ELSE coalesce(p.url, '') END"),
+    "Referer": ("string", "CASE WHEN e.event_id % 13 = 0 THEN '' ELSE coalesce(r.url, '') END"),
+    "Title": ("string", "CASE WHEN e.event_id % 7 = 0 THEN '' ELSE concat('Page ', coalesce(p.url, '')) END"),
     "URLHash": ("bigint", "e.event_id % 17"),
     "RefererHash": ("bigint", "e.event_id % 5"),
     "WindowClientWidth": ("smallint", "e.event_id % 40"),
     "WindowClientHeight": ("smallint", "e.event_id % 30"),
 }
-#: Pages that events refer to: a fixed 50, so their side of the join has a known size.
-PAGES = 50
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").alias("e")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    pages = pages.where((F.col("page_id") >= 0) & (F.col("page_id") < PAGES))
-    df = e.join(F.broadcast(pages.alias("p")), F.expr(f"p.page_id = e.event_id % {PAGES}"))
-    df = df.join(F.broadcast(pages.alias("r")), F.expr(f"r.page_id = (e.event_id * 3) % {PAGES}"))
+    count = max(pages.count(), 1)
+    # Spark broadcasts the pages if their size allows it.
+    df = e.join(pages.alias("p"), F.expr(f"p.page_id = e.event_id % {count}"), "left")
+    df = df.join(pages.alias("r"), F.expr(f"r.page_id = (e.event_id * 3) % {count}"), "left")
     out = []
     for name, (kind, expr) in COLUMNS.items():
         kind = "timestamp_ntz" if kind == "timestamp" else kind
@@ -59,7 +58,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hits_sql() -> str:
     exprs = ", ".join(f"CAST({expr} AS {kind}) AS {name}" for name, (kind, expr) in COLUMNS.items())
+    count = "(SELECT greatest(COUNT(*), 1) FROM pages)"
     return (
-        f"SELECT {exprs} FROM events e JOIN pages p ON p.page_id = e.event_id % {PAGES} "
-        f"JOIN pages r ON r.page_id = (e.event_id * 3) % {PAGES}"
+        f"SELECT {exprs} FROM events e LEFT JOIN pages p ON p.page_id = e.event_id % {count} "
+        f"LEFT JOIN pages r ON r.page_id = (e.event_id * 3) % {count}"
     )

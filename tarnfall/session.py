@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results (time zone, ANSI errors) or plans (AQE, pushdown).
@@ -26,3 +28,17 @@ def build_session(
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where none is set, one machine makes a temporary one; a cluster is an error, as
+    its executors wouldn't find a folder of the driver's."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='tarnfall')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from typing import TextIO
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cell(value: object) -> str:
@@ -18,6 +19,21 @@ def cell(value: object) -> str:
     return str(value)
 
 
+def lines(df: DataFrame, quoted: bool = False) -> DataFrame:
+    """The rows as text in a column ``line``, made where they are: for results too long
+    for the driver, or to be written as files."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else c.cast("string")
+        c = F.coalesce(c, F.lit(""))
+        if quoted:
+            marked = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+            c = F.when(c.rlike('[,"\r\n]'), marked).otherwise(c)
+        out.append(c)
+    return df.select(F.concat_ws(",", *out).alias("line"))
+
+
 def rows(df: DataFrame) -> Iterator[tuple]:
     """Result rows, one partition at a time on the driver."""
     return (tuple(r) for r in df.toLocalIterator(prefetchPartitions=True))

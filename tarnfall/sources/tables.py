@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv_options(delimiter: str = ",", multi_line: bool = True) -> dict[str, object]:
+def csv_options(delimiter: str = ",", multi_line: bool = False) -> dict[str, object]:
     """Reader options: RFC 4180 quoting, no header, any malformed row is an error."""
     return {
         "sep": delimiter,
@@ -45,12 +45,12 @@ def read_csv(
     path: str,
     schema: T.StructType,
     delimiter: str = ",",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Headerless CSV as a DataFrame without nulls.
 
-    ``multi_line=False`` lets Spark split large files; use it whenever no quoted
-    field holds a line break.
+    Large files are split at lines. ``multi_line=True`` allows line breaks in quoted
+    fields, at the price of one task a file; without it such a field is an error.
     """
     reader = spark.read.schema(schema).options(**csv_options(delimiter, multi_line))
     return without_nulls(reader.csv(path))
@@ -62,7 +62,7 @@ def convert(
     data: str,
     output: str,
     partition_by: Sequence[str] = (),
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> None:
     """CSV to Parquet."""
     df = read_csv(spark, data, schema, multi_line=multi_line)

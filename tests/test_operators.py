@@ -12,6 +12,8 @@ from tarnfall.cli import main
 from tarnfall.functions import aggregates as A
 from tarnfall.functions import predicates as P
 from tarnfall.functions import values as V
+from tarnfall.plans.workload import Constants, workload
+from tarnfall.session import shared_dir
 from tarnfall.sources import sink, tables
 from tarnfall.streaming import stream_convert
 from tarnfall.types import format_schema, parse_schema
@@ -166,7 +168,9 @@ def test_convert_round_trip(spark, tmp_path):
     got = tables.read_csv(spark, str(crlf), parse_schema("n,int16\ns,string")).collect()
     assert [tuple(r) for r in got] == [(1, "a"), (2, "")]
     schema = parse_schema(SCHEMA)
-    tables.convert(spark, schema, str(data), str(tmp_path / "out"))
+    with pytest.raises(Exception):  # a line break needs the option
+        tables.read_csv(spark, str(data), schema).collect()
+    tables.convert(spark, schema, str(data), str(tmp_path / "out"), multi_line=True)
     got = {r.a: r for r in tables.scan(spark, str(tmp_path / "out")).collect()}
     assert (got[1].d, got[-2].d, got[3].d) == ('ab"cd', "q,r", "")
     assert got[4].d == "l" * 20000 + "\nm"
@@ -191,6 +195,87 @@ def test_raw_and_quoted_output():
     assert quoted.getvalue() == '1,"a,b",2013-07-01,2013-07-01 02:03:04\n'
 
 
+def test_lines_are_those_of_the_writer(spark):
+    data = [(1, 'a,b "c"', dt.date(2013, 7, 1), dt.datetime(2013, 7, 1, 2, 3, 4)), (None, "", None, None), (-3, "x\ny", None, None)]
+    df = spark.createDataFrame(data, "n int, s string, d date, t timestamp_ntz")
+    for quoted in (False, True):
+        out = io.StringIO()
+        sink.write_raw(data, out, quoted)
+        assert "".join(r.line + "\n" for r in sink.lines(df, quoted).collect()) == out.getvalue()
+
+
+def test_sums_beyond_four_billion_rows(spark):
+    """Pieces of a row times 2^40 rows stay in 64 bits, and put the total together."""
+    for v, kind in ((2**63 - 1, "bigint"), (-(2**63), "bigint"), (-1, "bigint"), (2**31 - 1, "int"), (-(2**31), "int"), (-7, "smallint")):
+        df = spark.createDataFrame([(v,)], f"v {kind}")
+        pieces = A._pieces(df["v"], df.schema[0].dataType)
+        parts = df.select(*[c.cast("bigint") for c, _ in pieces]).first()
+        merged = spark.createDataFrame([tuple(x * 2**40 for x in parts)], ", ".join(f"p{k} bigint" for k in range(len(parts))))
+        total = merged.select(A._joined([(merged[f"p{k}"], power) for k, (_, power) in enumerate(pieces)])).first()[0]
+        assert int(total) == v * 2**40
+
+
+def test_average_of_large_values(q):
+    big = 2**63 - 1
+    t = q([(1, big)] * 5 + [(2, -big)] * 3 + [(3, 7)], "k int, v bigint")
+    assert sorted(rows(t.group_by(["k"], A.avg_trunc("v", "a")))) == [(1, big), (2, -big), (3, 7)]
+
+
+def test_command_line_queries_hold_the_published_constants(spark, tmp_path, capsys):
+    assert main(["hits-schema"]) == 0
+    schema = parse_schema(capsys.readouterr().out)
+    assert len(schema) == 105 and schema["URLHash"].dataType.simpleString() == "bigint"
+    sql = {k: x.sql for k, x in workload(Constants()).items()}
+    assert "UserID = 435090932899640449" in sql[19] and "'%google%'" in sql[20] and "'%.google.%'" in sql[22]
+    assert "> 100000" in sql[27] and "> 100000" in sql[28]
+    for k in range(36, 42):
+        assert "CounterID = 62 AND EventDate >= DATE '2013-07-01' AND EventDate <= DATE '2013-07-31'" in sql[k]
+    assert "RefererHash = 3594120000172545465" in sql[40] and "URLHash = 2868770270353813622" in sql[41]
+    assert "EventDate >= DATE '2013-07-14' AND EventDate <= DATE '2013-07-15'" in sql[42]
+    assert [int(sql[k].rpartition(" ")[2]) for k in range(38, 43)] == [1000, 1000, 100, 10000, 1000]
+    users = spark.createDataFrame([(435090932899640449,), (46,)], "UserID bigint")
+    users.write.parquet(str(tmp_path / "users"))
+    assert main(["run-query", "19", str(tmp_path / "users")]) == 0
+    assert capsys.readouterr().out == "435090932899640449\n"
+
+
+@pytest.mark.parametrize(
+    "pattern, replacement, text, want",
+    [
+        (r"(?P<host_name>[^/]+)/.*$", r"<\1>", "a.b/c/d", "<a.b>"),
+        (r"[[:alpha:]]+", "x", "ab12cd", "x12x"),
+        (r"[^[:digit:]]", "", "a1-2", "12"),
+        (r"[[:^alpha:]_]", "", "a1_b", "ab"),
+        (r"(?U)a.*b", "x", "aabab", "xx"),
+        (r"(?U)a.*?b", "x", "aabab", "x"),
+        (r"\s", "_", "a b\x0bc", "a_b\x0bc"),
+        (r"[&&b]", "x", "a&b", "axx"),
+        (r"(a)", r"\10", "a", "a0"),
+        (r"\Qa.b\E", "$", "a.b axb", "$ axb"),
+        (r"a{2,}", "x", "aaab", "xb"),
+    ],
+)
+def test_pattern_syntax(q, pattern, replacement, text, want):
+    out = q([(text,)], "s string").select(V.col("r", V.regexp_replace("s", pattern, replacement)))
+    assert rows(out) == [(want,)]
+
+
+@pytest.mark.parametrize("pattern", [r"(a)\1", "a(?=b)", "a++", r"\C", "[[:nope:]]"])
+def test_patterns_that_are_errors(pattern):
+    with pytest.raises(ValueError):
+        V.java_pattern(pattern)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Other:
+        conf = type("conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Other)
+    assert shared_dir(spark).startswith("file:")
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "s.csv").write_text("AdvEngineID,int16\nURL,string\n")
     (tmp_path / "d.csv").write_text("0,a\n3,b\n4,c\n")
