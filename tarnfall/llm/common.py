@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfall.session import shared_dir
+
 #: Broadcast limit for row-id sets that were counted first (8 bytes an id, about 64 MB built).
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -58,18 +60,39 @@ def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return inner
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests, one
-    machine) a temporary one is made."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tarnfall')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Folders that this process has made, in order.
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that operators have left in the shared folder. DataFrames that
+    they returned read those tables, so only when all results have been used."""
+    delete(spark, _made)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """The rows of make() as a table in the shared folder, and its path. What was written
+    there on the way is deleted."""
+    before = set(_made)
+    rows, path = make(), new_path(spark, name)
+    rows.write.parquet(path)
+    delete(spark, [p for p in _made if p not in before and p != path])
+    return spark.read.schema(rows.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -82,17 +105,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 HOT_ROWS, MAX_HOT_KEYS = 1000, 50_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int, by: Column) -> DataFrame:
-    """The inner join of many left rows with right, which has one row a key and, as ``n``,
-    the number of its left rows (``rows`` in all).
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, by: Column) -> DataFrame:
+    """The inner join of many left rows with right, a written table that has one row a key
+    and, as ``n``, the number of its left rows.
 
-    The few keys with many rows are broadcast with their number of salts; their left rows are
-    dealt over the salts by ``by``, and their right row is there once for each salt, so no
-    key meets in one task."""
-    most = max(HOT_ROWS, rows // MAX_HOT_KEYS)
-    hot = right.where(F.col(n) > most)
-    if hot.isEmpty():
-        return left.join(right, on)
+    The few keys with many rows (or the largest one) are broadcast with their number of
+    salts; their left rows are dealt over the salts by ``by``, and their right row is there
+    once for each salt, so no key meets in one task. One plan for every size."""
+    rows, largest = right.agg(F.sum(n), F.max(n)).first()
+    most = max(HOT_ROWS, (rows or 0) // MAX_HOT_KEYS)
+    hot = right.where(F.col(n) > most) if (largest or 0) > most else right.orderBy(F.desc(n), *on).limit(1)
     salts = F.ceil(F.col(n) / most).cast("int")
     left = left.join(F.broadcast(hot.select(*on, salts.alias("_salts"))), on, "left")
     left = left.withColumn("_salt", F.pmod(by, F.coalesce("_salts", F.lit(1))).cast("int"))
@@ -114,11 +136,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            for path in self.paths.pop(name, []):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+            delete(self.spark, self.paths.pop(name, []))
 
 
 #: Words: runs of anything but the six ASCII blanks.

@@ -152,14 +152,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     fan = tmp.written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")), "fan")
     hubs = fan.join(one.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     joined = pairs.join(one.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    joined = spread_join(joined, hubs, ["a"], "fan", total(fan, "fan"), F.xxhash64("b"))
+    joined = spread_join(joined, hubs, ["a"], "fan", F.xxhash64("b"))
     return joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def total(df: DataFrame, column: str) -> int:
-    return df.agg(F.sum(column)).first()[0] or 0
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of an edge; component is the smallest id reachable.
 
@@ -173,11 +169,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = tmp.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), degree), "least")
-        rows = total(least, "degree")
-        large = spread_join(both, least, ["u"], "degree", rows, F.xxhash64("v")).where("v > u")
+        large = spread_join(both, least, ["u"], "degree", F.xxhash64("v")).where("v > u")
         large = tmp.written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
         least = tmp.written(large.groupBy("u").agg(F.min("v").alias("m"), degree), "least")
-        small = spread_join(large, least, ["u"], "degree", rows, F.xxhash64("v"))
+        small = spread_join(large, least, ["u"], "degree", F.xxhash64("v"))
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         step += 1
@@ -203,7 +198,7 @@ def bucketed(keyed: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     keyed: key, id and n."""
     shared = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = tmp.written(shared, f"{name}-buckets")
-    members = spread_join(keyed, shared, ["key"], "size", total(shared, "size"), F.xxhash64("id"))
+    members = spread_join(keyed, shared, ["key"], "size", F.xxhash64("id"))
     members = members.select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size")
     members = tmp.written(members, name)
     tmp.drop(f"{name}-buckets")
@@ -222,7 +217,7 @@ def mixed_members(members: DataFrame, labels: DataFrame, tmp: Scratch) -> DataFr
     )
     mixed = mixed.where("lo != hi").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     mixed = tmp.written(mixed, "mixed-keys")
-    return tmp.written(spread_join(m, mixed, ["key"], "size", total(mixed, "size"), F.xxhash64("id")), "mixed")
+    return tmp.written(spread_join(m, mixed, ["key"], "size", F.xxhash64("id")), "mixed")
 
 
 def narrower(members: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
@@ -245,7 +240,7 @@ def narrower(members: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     wide = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "s")
     grams = wide.mapInArrow(tidy(run), "id bigint, n bigint, key bigint")
     df = tmp.written(grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "df")
-    grams = spread_join(grams, df, ["key"], "df", total(df, "df"), F.xxhash64("id"))
+    grams = spread_join(grams, df, ["key"], "df", F.xxhash64("id"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))  # one set's shingles
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     return grams.withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("df") > 1)).select("key", "id", "n")
@@ -259,7 +254,7 @@ def block_links(m: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     size = size.withColumn("alone", F.col("fill") >= 0.5)
     few = size.where("NOT alone").groupBy("key").agg(F.ceil(F.sum("fill")).alias("few"))
     size = tmp.written(size.join(few, "key", "left"), "block-sizes")
-    m = spread_join(m, size, ["key", "component"], "members", total(size, "members"), F.xxhash64("id"))
+    m = spread_join(m, size, ["key", "component"], "members", F.xxhash64("id"))
     own = F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.ceil("fill")).alias("part"))
     other = F.struct(F.lit(None).cast("bigint").alias("of"), F.pmod(F.xxhash64("component"), F.col("few")).alias("part"))
     m = m.select("key", "id", "component", F.when(F.col("alone"), own).otherwise(other).alias("block"))
@@ -350,7 +345,7 @@ def grouped(docs: DataFrame, key: Column, id_col: str, text_col: str, k: int) ->
     groups = written(groups.select("print", F.coalesce("component", "id").alias("component"), "rows"), "groups")
     tmp.drop(*list(tmp.paths))
     full = signed.where("n > 0").select("id", "own", "n", "print")
-    full = spread_join(full, groups, ["print"], "rows", total(groups, "rows"), F.xxhash64("id"))
+    full = spread_join(full, groups, ["print"], "rows", F.xxhash64("id"))
     return full.select("id", "own", "n", "component").unionByName(signed.where("n = 0").select("id", "own", "n", F.col("id").alias("component")))
 
 
@@ -365,7 +360,7 @@ def named(docs: DataFrame, key: Column, unique: bool, id_col: str, text_col: str
         out = written(out, "near")
         names = out.groupBy("component").agg(F.min("own").alias("name"), F.count(F.lit(1)).alias("rows"))
         names = written(names, "names")
-        out = spread_join(out, names, ["component"], "rows", total(names, "rows"), F.xxhash64("id"))
+        out = spread_join(out, names, ["component"], "rows", F.xxhash64("id"))
         out = out.withColumn("component", F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("own")))
     return out.select(F.col("own").alias("id"), F.col("n").alias("n_shingles"), "component", F.col("id").alias("key"))
 
