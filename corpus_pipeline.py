@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnfall.llm import decontaminate, exact_dedup, minhash_dedup, mixing, toxicity
-from tarnfall.llm.common import written
+from tarnfall.llm.common import delete, settled
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Tables that a stage and its predecessor wrote are deleted once
+    the stage's result is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = settled(spark, f"stage-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        delete(spark, last)
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
