@@ -15,16 +15,18 @@ over the whole corpus and never leave the executors.
 Plan, for bounded memory at any size:
 1. Words of the training folds are counted (pre-aggregated in each task).
 2. Each task packs its texts' tokens, in chunks of at most CHUNK_TOKENS, into arrays by
-   key: a hash of the word, or of (context, word) if the word is frequent, so no word is
-   ever in one task. A key holds about KEY_TOKENS tokens of the corpus. Contexts that
-   aren't frequent are kept as 64-bit hashes.
+   key: a hash of the word, of (context, word) if the word is frequent, or of (context,
+   word, chunk) if the pair is: those few pairs are counted first and their counts are
+   broadcast, so neither a word nor a pair ever meets in one task. A key holds about
+   KEY_TOKENS tokens of the corpus. Contexts that aren't frequent are kept as 64-bit hashes.
 3. The counts of those contexts are joined from the word counts, for each key that has them.
 4. For each key, the counts of its pairs are local: they give a histogram of deleted
-   probabilities (a bounded number of cells), on which EM runs in one task ...
+   probabilities (a bounded number of cells), on which EM runs in one task on an executor ...
 5. ... and then, from the same arrays, the sums of log probabilities of each text.
 6. Those return by chunk and are added up for each text.
 
-Defined results: a null text is empty and has one token, its end; rows that repeat id and
+Defined results: a null text is empty and has one token, its end; a very long text spans
+chunks and keys like any other tokens, and its sums are added up; rows that repeat id and
 text are counted as often as they occur and scored alike; rows that share an id with other
 texts, or have none, are scored by themselves (a null id's fold is that of the empty
 text); without training texts every score is 0; an empty table gives no rows; extra
@@ -48,8 +50,6 @@ FOLDS, HELD_OUT = 5, 1
 TRAIN = (0, 2, 3, 4)
 #: Words whose counts are broadcast, at most.
 FREQUENT = 65_000
-#: With a number, contexts beyond that many words are counted as one class.
-CONTEXTS: int | None = None
 #: Context ids of the start of a text and of all rarer words; those have their hash beside it.
 START, RARE = 65_534, 65_535
 #: The end of a text, a token like a word.
@@ -59,9 +59,11 @@ CHUNK_ROWS = 60_000
 KEY_TOKENS = 3_000_000
 #: Chunks and keys grow with the square root of the corpus where a chunk would have fewer
 #: tokens of a key than this, so the pieces of all chunks stay in proportion to the corpus.
-MIN_PIECE = 500
+MIN_PIECE = 25
 #: A word with more than this share of a key's tokens is dealt by (context, word).
 SPREAD = 0.1
+#: A pair with more than this share of a key's tokens is dealt by chunk, too.
+SPREAD_PAIR = 0.2
 #: Of the 64 bits by which a chunk is sorted; 32 are the context and the text's place.
 KEY_BITS = 20
 BUCKETS = 64
@@ -134,9 +136,12 @@ class Vocabulary:
     total: np.ndarray  # tokens of each fold
     size: int  # V
     keys: int
+    key: int  # tokens of a key
     chunk: int  # tokens
     spread: np.ndarray  # of each frequent word, whether it is dealt by (context, word)
-    pooled: bool  # whether rarer contexts are one class
+    #: Pairs dealt by chunk, context << 16 | word by their ids, sorted; their counts.
+    pairs: np.ndarray
+    pair_counts: np.ndarray
 
     @property
     def uniform(self) -> float:
@@ -147,6 +152,53 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
         return np.where(self.frequent[at] == h, at, RARE)
 
+    def contexts(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Ids of the tokens before."""
+        out = np.empty(len(word), np.uint64)
+        out[1:] = word[:-1]
+        out[first] = START
+        return out
+
+    def hot_pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places among the pairs dealt by chunk, -1 for others."""
+        if not len(self.pairs):
+            return np.full(len(word), -1)
+        pair = context.astype(np.int64) << 16 | word.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, at, -1)
+
+
+def with_pairs(rows: DataFrame, model: Vocabulary) -> Vocabulary:
+    """The model with the counts of frequent pairs: their words are frequent, too, so only
+    pairs of such words are counted. At most keys / SPREAD_PAIR of them are left."""
+    often = np.append(model.spread, False)
+    shared = rows.sparkSession.sparkContext.broadcast((model, often))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, often = shared.value
+        held = [(np.zeros(0, np.int64), np.zeros((0, len(TRAIN)), np.int64))]
+        for batch in batches:
+            part, times = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for a, b, h, row, first in texts(batch):
+                word = model.ids(h)
+                context = model.contexts(word, first).astype(np.int64)
+                two = often[np.minimum(word, len(often) - 1)]
+                two &= (context == START) | often[np.minimum(context, len(often) - 1)]
+                two = np.flatnonzero(two)
+                n = np.stack([np.where(part[a:b] == j, times[a:b], 0)[row[two]] for j in TRAIN], 1)
+                held.append(summed(context[two] << 16 | word[two], n))
+            if len(held) > 64:
+                held = [summed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))]
+        pair, n = summed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(pair), *[pa.array(c) for c in n.T]], ["pair", "n0", "n1", "n2", "n3"])
+
+    counted = rows.where(F.col("part") != HELD_OUT).mapInArrow(tidy(run), "pair bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+    counted = counted.groupBy("pair").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(TRAIN))])
+    found = counted.where(F.expr("n0 + n1 + n2 + n3") > SPREAD_PAIR * model.key).orderBy("pair").collect()
+    model.pairs = np.array([r.pair for r in found], np.int64)
+    model.pair_counts = np.array([[r.n0, r.n1, r.n2, r.n3] for r in found], np.int64).reshape(-1, len(TRAIN))
+    return model
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: as from word_counts."""
@@ -154,12 +206,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     columns = [F.sum(f"n{k}") for k in range(len(TRAIN))]
     size, *total = counts.agg(F.count(F.lit(1)), *columns).first()
     total = np.array([x or 0 for x in total], np.int64)
-    limit = FREQUENT if CONTEXTS is None else min(FREQUENT, CONTEXTS)
-    # The lowest count at which no more than limit words are left, by sixteenths of octaves.
+    # The lowest count at which no more than FREQUENT words are left, by sixteenths of octaves.
     level = F.floor(F.log2(n) * 16)
     words, least = 0, None
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if words + r["count"] > limit - 1:
+        if words + r["count"] > FREQUENT - 1:
             break
         words, least = words + r["count"], r.level
     top = counts.where(level >= least).collect() if least is not None else []
@@ -176,7 +227,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens = int(total.sum()) * FOLDS // len(TRAIN)
     root = int((tokens * MIN_PIECE) ** 0.5)
     key = max(KEY_TOKENS, root, tokens >> KEY_BITS - 1)
-    return Vocabulary(frequent, own, context, total, size, -(-tokens // key) or 1, max(CHUNK_TOKENS, root), own.sum(1) > SPREAD * key, CONTEXTS is not None)
+    keys, often = -(-tokens // key) or 1, own.sum(1) > SPREAD * key
+    none = np.zeros(0, np.int64), np.zeros((0, len(TRAIN)), np.int64)
+    return Vocabulary(frequent, own, context, total, size, keys, key, max(CHUNK_TOKENS, root), often, *none)
 
 
 PACK = ("ids", "part", "times", "v", "run", "context", "row", "n", "far")
@@ -197,6 +250,8 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         out[k] = np.frombuffer(data, _TYPES[k], n, at)
         at += n * np.dtype(_TYPES[k]).itemsize
     out["ids"] = np.cumsum(out["ids"])
+    if not len(out["times"]):
+        out["times"] = np.ones(len(out["ids"]), np.uint32)
     return out
 
 
@@ -210,18 +265,18 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         row = np.concatenate([p[4] + b for p, b in zip(parts, base)]).astype(np.uint64)
         first = np.concatenate([p[5] for p in parts])
         word = model.ids(h)
-        context = np.empty(len(h), np.uint64)
-        context[1:] = word[:-1]
-        context[first] = START
+        context = model.contexts(word, first)
         # Hashes of the contexts that have no id.
         far = np.zeros(len(h), np.uint64)
-        if not model.pooled:
-            rare = np.flatnonzero(context == RARE)
-            far[rare] = h[rare - 1]
+        rare = np.flatnonzero(context == RARE)
+        far[rare] = h[rare - 1]
+        name = K.mix(ids[:1].view(np.uint64) + np.uint64(len(ids)))
         mixed = K.mix(h)
         key = mixed % np.uint64(model.keys)
         hot = np.flatnonzero(np.append(model.spread, False)[np.minimum(word, len(model.spread))])
-        key[hot] = K.mix(h[hot] ^ (context[hot] + far[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(model.keys)
+        dealt = h[hot] ^ (context[hot] + far[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)
+        dealt[model.hot_pairs(context[hot], word[hot]) >= 0] += name
+        key[hot] = K.mix(dealt) % np.uint64(model.keys)
         # By key, word, context and text; of the word only some bits, as runs are told apart by all.
         rank = key << np.uint64(64 - KEY_BITS) | mixed >> np.uint64(32 + KEY_BITS) << np.uint64(32) | context << np.uint64(16) | row
         order = np.argsort(rank)
@@ -237,7 +292,6 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         h, key, rank, far = h[at], key[at], rank[at], far[at]
         context = (rank >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
         row = (rank & np.uint64(0xFFFF)).astype(np.int64)
-        name = int(K.mix(ids[:1].view(np.uint64) + np.uint64(len(ids)))[0].view(np.int64))
         edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:]):
             used = np.zeros(len(ids), bool)
@@ -245,12 +299,13 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
             local = np.cumsum(used) - 1
             start = np.flatnonzero(np.concatenate(([True], h[a + 1 : b] != h[a : b - 1])))
             data = pack({
-                "ids": np.diff(ids[used], prepend=0), "part": fold_[used], "times": times[used],
+                "ids": np.diff(ids[used], prepend=0), "part": fold_[used],
+                "times": times[used] if (times[used] != 1).any() else times[:0],
                 "v": h[a:b][start], "run": np.diff(np.append(start, b - a)).astype(np.uint32),
                 "context": context[a:b], "row": local[row[a:b]].astype(np.uint16), "n": n[a:b].astype(np.uint16),
-                "far": far[a:b][context[a:b] == RARE] if not model.pooled else far[:0],
+                "far": far[a:b][context[a:b] == RARE],
             })
-            yield int(key[a]), name, data
+            yield int(key[a]), int(name[0].view(np.int64)), data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocab.value
@@ -321,14 +376,13 @@ class Pairs:
         context = np.concatenate([p["context"] for p in parts]).astype(np.int64)
         #: Counts of contexts by id, those without one by their place after the ids.
         self.context = model.context
-        if not model.pooled:
-            hashes, at = np.unique(np.concatenate([p["far"] for p in parts]), return_inverse=True)
-            context[context == RARE] = len(model.context) + at
-            own = np.zeros((len(hashes), len(TRAIN)), np.int64)
-            at = np.searchsorted(hashes, far["h"].to_numpy().view(np.uint64))
-            own[at] = np.stack([far[f"n{k}"].to_numpy() for k in range(len(TRAIN))], 1)
-            self.context = np.concatenate((model.context, own))
-            del hashes, at
+        hashes, at = np.unique(np.concatenate([p["far"] for p in parts]), return_inverse=True)
+        context[context == RARE] = len(model.context) + at
+        own = np.zeros((len(hashes), len(TRAIN)), np.int64)
+        at = np.searchsorted(hashes, far["h"].to_numpy().view(np.uint64))
+        own[at] = np.stack([far[f"n{k}"].to_numpy() for k in range(len(TRAIN))], 1)
+        self.context = np.concatenate((model.context, own))
+        del hashes, at
         fold_, times = (np.concatenate([p[k] for p in parts]) for k in ("part", "times"))
         words, run = np.unique(np.concatenate([p["v"] for p in parts]), return_inverse=True)
         self.word = np.repeat(run.astype(np.int32), np.concatenate([p["run"] for p in parts]))
@@ -347,6 +401,10 @@ class Pairs:
         common = model.ids(words)
         known = common != RARE
         self.c1[known] = model.counts[common[known]]
+        #: What this key has of a pair, and what the corpus has.
+        self.here, self.c2 = self.c2, self.c2.copy()
+        hot = model.hot_pairs(self.pair_context, common[self.pair_word])
+        self.c2[hot >= 0] = model.pair_counts[hot[hot >= 0]]
 
 
 def share(count: np.ndarray, total: np.ndarray | float) -> np.ndarray:
@@ -362,10 +420,10 @@ def deleted_cells(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table
     t = Pairs(table, far, model)
     cells, values = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
     for k in range(len(TRAIN)):
-        seen = np.flatnonzero(t.c2[:, k])
-        w = t.c2[seen, k]
+        seen = np.flatnonzero(t.here[:, k])
+        w = t.here[seen, k]
         u = (t.context.sum(1) - t.context[:, k])[t.pair_context[seen]]
-        p2 = share(t.c2[seen].sum(1) - w, u)
+        p2 = share(t.c2[seen].sum(1) - t.c2[seen, k], u)
         p1 = share((t.c1.sum(1) - t.c1[:, k])[t.pair_word[seen]], float(model.total.sum() - model.total[k]))
         level = []
         for p in (p2, p1):
@@ -468,7 +526,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows = rows.withColumn("uid", F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.col("id").isNull(), "text"))
         units = rows.groupBy("uid").agg(F.first("text").alias("text"), F.first("part").alias("part"), F.count(F.lit(1)).cast("int").alias("times"))
     counts = written(word_counts(units), "words")
-    model = vocabulary(counts)
+    model = with_pairs(units, vocabulary(counts))
     shared = spark.sparkContext.broadcast(model)
     # One plan: the weights are a subquery over the same exchange, which is made once.
     arrays = packed(units, shared).repartition("key")
@@ -476,11 +534,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     weighted = arrays.withColumn("weights", learned(arrays, far, shared).scalar())
     sums = weighted.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda t, f: text_sums(t, f, shared.value), "chunk bigint, data binary")
     out = sums.groupBy("chunk").applyInArrow(added_up, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    # A text of two chunks, or of a chunk that was made again from other rows, comes in parts.
+    out = out.groupBy("uid").agg(*[F.sum(c).alias(c) for c in out.columns[1:]])
     if unique:
         out = out.withColumnRenamed("uid", id_col)
     else:
-        # Chunks of one name are possible here, so a text's sums may come in parts.
-        out = out.groupBy("uid").agg(*[F.sum(c).alias(c) for c in out.columns[1:]])
         out = rows.select(F.col("id").alias(id_col), "uid").join(out, "uid").drop("uid")
     return out.withColumn("train_tokens", F.lit(int(model.total.sum())).cast("bigint"))
 

@@ -164,51 +164,89 @@ def test_lm_scores(spark):
         assert r.held_out == (brute.fold(i, 5) == 1)
 
 
+def bigram_counts(docs):
+    """Counts of words, pairs and contexts by training fold."""
+    c1, c2, cu = Counter(), Counter(), Counter()
+    for i, t in docs:
+        k = brute.fold(i, 5)
+        if k != 1:
+            ws = ["<s>", *brute.words(t), "</s>"]
+            for u, w in zip(ws, ws[1:]):
+                for key in (k, None):
+                    c1[w, key] += 1
+                    c2[u, w, key] += 1
+                    cu[u, key] += 1
+    return c1, c2, cu
+
+
+def bigram_weights(c1, c2, cu, rounds=100):
+    """Bucket -> (l2, l1, l0) by EM on each fold's pairs, predicted from the other folds."""
+    v = len({w for w, k in c1 if k is None})
+    total = {k: sum(n for (_, j), n in c1.items() if j == k) for k in (None, 0, 2, 3, 4)}
+    seen = {}
+    for (u, w, k), n in c2.items():
+        if k is not None:
+            rest = cu[u, None] - cu[u, k]
+            p2 = (c2[u, w, None] - n) / rest if rest else 0
+            p1 = (c1[w, None] - c1[w, k]) / (total[None] - total[k])
+            seen.setdefault(int(np.floor(np.log2(rest + 1))), []).append((n, p2, p1, 1 / (v + 1)))
+    out = {}
+    for b, rows in seen.items():
+        rows = np.array(rows)
+        n, p, lam = rows[:, 0], rows[:, 1:], np.full(3, 1 / 3)
+        for _ in range(rounds):
+            part = p * lam
+            lam = (part * (n / part.sum(1))[:, None]).sum(0) / n.sum()
+        out[b] = lam, n.sum()
+    return out
+
+
 @pytest.mark.parametrize("chunk", [2_000_000, 500])
 def test_lm_model(spark, monkeypatch, chunk):
-    """The mixture, with its counts and EM weights, in plain Python."""
+    """The mixture, with its counts and EM weights, in plain Python; one pair is in every text."""
     monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(lm_scoring, "MIN_PIECE", 1)
     monkeypatch.setattr(lm_scoring, "KEY_TOKENS", 900)
-    monkeypatch.setattr(lm_scoring, "CONTEXTS", 40)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 40)
     docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()][:60]
-    docs = [(i, " ".join((t or "").split()[:80])) for i, t in docs] + [(9001, None), (9002, "the of the")]
+    docs = [(i, " ".join((t or "").split()[:80]) + " of the" * 4) for i, t in docs] + [(9001, None), (9002, "the of the")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
     seen = {}
     learned = lm_scoring.learned
     monkeypatch.setattr(lm_scoring, "learned", lambda *a: seen.setdefault("w", learned(*a)))
-    vocab = lm_scoring.vocabulary
-    monkeypatch.setattr(lm_scoring, "vocabulary", lambda rows: seen.setdefault("m", vocab(rows)))
+    paired = lm_scoring.with_pairs
+    monkeypatch.setattr(lm_scoring, "with_pairs", lambda *a: seen.setdefault("m", paired(*a)))
+    packed = lm_scoring.packed
+    monkeypatch.setattr(lm_scoring, "packed", lambda *a: seen.setdefault("p", packed(*a)))
     got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
     model, lam = seen["m"], np.frombuffer(seen["w"].first()[0]).reshape(-1, 3)
-    assert model.keys > 1 and 1 < len(model.frequent) <= 41
-    frequent = set(model.frequent.tolist())
-
-    def ctx(w):
-        h = K.word_hash(w.encode())
-        return w if h in frequent else "<rare>"
-
-    tokens = {i: brute.words(t) + ["</s>"] for i, t in docs}
-    pairs = {i: list(zip(["<s>"] + [ctx(w) for w in ws[:-1]], ws)) for i, ws in tokens.items()}
-    c1, c2, cu = {}, {}, {}
-    for i, ps in pairs.items():
-        if brute.fold(i, 5) != 1:
-            for u, w in ps:
-                c1[w] = c1.get(w, 0) + 1
-                c2[u, w] = c2.get((u, w), 0) + 1
-                cu[u] = cu.get(u, 0) + 1
-    n, v = sum(c1.values()), len(c1)
-    for i, ps in pairs.items():
-        s = 0.0
-        for u, w in ps:
-            k = int(np.floor(np.log2(cu.get(u, 0) + 1)))
-            p2 = c2.get((u, w), 0) / cu[u] if cu.get(u) else 0
-            s += np.log10(lam[k][0] * p2 + lam[k][1] * c1.get(w, 0) / n + lam[k][2] / (v + 1))
+    assert model.keys > 1 and 1 < len(model.frequent) <= 40
+    assert len(model.pairs) == 1  # of the
+    if chunk == 500:  # dealt over the keys
+        word = K.word_hash(b"the")
+        assert len({r.key for r in seen["p"].collect() if word in lm_scoring.unpack(r.data)["v"].tolist()}) > 4
+    c1, c2, cu = bigram_counts(docs)
+    want = bigram_weights(c1, c2, cu)
+    assert len(want) > 4
+    for b, (weights, n) in want.items():
+        if n > 300:
+            assert lam[b] == pytest.approx(weights, abs=0.03)
+    n, v = sum(x for (_, k), x in c1.items() if k is None), len({w for w, k in c1 if k is None})
+    for i, t in docs:
+        ws, s, brute_score = ["<s>", *brute.words(t), "</s>"], 0.0, 0.0
+        for u, w in zip(ws, ws[1:]):
+            k = int(np.floor(np.log2(cu[u, None] + 1)))
+            p = [c2[u, w, None] / cu[u, None] if cu[u, None] else 0, c1[w, None] / n, 1 / (v + 1)]
+            s += np.log10(sum(x * y for x, y in zip(lam[k], p)))
+            brute_score += np.log10(sum(x * y for x, y in zip(want[k][0] if k in want else lam[k], p)))
         assert close(got[i], s)
+        assert got[i] == pytest.approx(brute_score, rel=0.02)
     # A distribution: over the vocabulary and one unknown word it adds up to 1.
-    for u in cu:
-        k = int(np.floor(np.log2(cu[u] + 1)))
-        total = lam[k][2] / (v + 1) + sum(lam[k][0] * c2.get((u, w), 0) / cu[u] + lam[k][1] * c1[w] / n + lam[k][2] / (v + 1) for w in c1)
+    for u in {u for u, k in cu if k is None}:
+        k = int(np.floor(np.log2(cu[u, None] + 1)))
+        total = lam[k][2] / (v + 1)
+        for w in {w for w, j in c1 if j is None}:
+            total += lam[k][0] * c2[u, w, None] / cu[u, None] + lam[k][1] * c1[w, None] / n + lam[k][2] / (v + 1)
         assert total == pytest.approx(1)
 
 
