@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold, prepare, tidy, written
+from tarnfall.llm.common import fold, prepare, release_memory, tidy, written
 
 FOLDS, HELD_OUT = 5, 1
 TRAIN = (0, 2, 3, 4)
@@ -56,7 +56,7 @@ START, RARE = 65_534, 65_535
 END = np.uint64(1)
 CHUNK_TOKENS = 2_000_000
 CHUNK_ROWS = 60_000
-KEY_TOKENS = 3_000_000
+KEY_TOKENS = 2_500_000
 #: Chunks and keys grow with the square root of the corpus where a chunk would have fewer
 #: tokens of a key than this, so the pieces of all chunks stay in proportion to the corpus.
 MIN_PIECE = 25
@@ -391,20 +391,31 @@ class Pairs:
         self.pair = pair.astype(np.int32)
         del pair, context
         self.pair_word, self.pair_context = pairs >> 32, pairs & 0xFFFFFFFF
-        self.c2 = np.zeros((len(pairs), len(TRAIN)))
+        #: What this key has of each pair, by training fold.
+        self.here = np.zeros((len(pairs), len(TRAIN)), np.uint32)
         self.c1 = np.zeros((len(words), len(TRAIN)))
         for k, j in enumerate(TRAIN):
             of = np.flatnonzero(fold_[self.row] == j)
             w = self.n[of] * times[self.row[of]].astype(np.float64)
-            self.c2[:, k] = np.bincount(self.pair[of], w, len(pairs))
+            found = np.bincount(self.pair[of], w, len(pairs))
+            if found.max(initial=0) >= 1 << 32:
+                self.here = self.here.astype(np.float64)
+            self.here[:, k] = found
             self.c1[:, k] = np.bincount(self.word[of], w, len(words))
+        del found, of, w
         common = model.ids(words)
         known = common != RARE
         self.c1[known] = model.counts[common[known]]
-        #: What this key has of a pair, and what the corpus has.
-        self.here, self.c2 = self.c2, self.c2.copy()
+        # Pairs dealt over all keys, and their counts in the corpus.
         hot = model.hot_pairs(self.pair_context, common[self.pair_word])
-        self.c2[hot >= 0] = model.pair_counts[hot[hot >= 0]]
+        self.hot = np.flatnonzero(hot >= 0)
+        self.hot_counts = model.pair_counts[hot[self.hot]]
+
+    def c2(self, fold_: int | None = None) -> np.ndarray:
+        """Counts of the pairs in the corpus, or in one fold."""
+        out = self.here.sum(1, dtype=np.float64) if fold_ is None else self.here[:, fold_].astype(np.float64)
+        out[self.hot] = self.hot_counts.sum(1) if fold_ is None else self.hot_counts[:, fold_]
+        return out
 
 
 def share(count: np.ndarray, total: np.ndarray | float) -> np.ndarray:
@@ -419,11 +430,12 @@ def deleted_cells(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table
     """A histogram of the pairs of each training fold by what the other folds predict."""
     t = Pairs(table, far, model)
     cells, values = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
+    c2 = t.c2()
     for k in range(len(TRAIN)):
         seen = np.flatnonzero(t.here[:, k])
-        w = t.here[seen, k]
+        w = t.here[seen, k].astype(np.float64)
         u = (t.context.sum(1) - t.context[:, k])[t.pair_context[seen]]
-        p2 = share(t.c2[seen].sum(1) - t.c2[seen, k], u)
+        p2 = share((c2 - t.c2(k))[seen], u)
         p1 = share((t.c1.sum(1) - t.c1[:, k])[t.pair_word[seen]], float(model.total.sum() - model.total[k]))
         level = []
         for p in (p2, p1):
@@ -433,6 +445,8 @@ def deleted_cells(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table
         values.append(np.stack([w, w * p2, w * p1], 1))
     cell, at = np.unique(np.concatenate(cells), return_inverse=True)
     sums = [np.bincount(at, c, len(cell)) for c in np.concatenate(values).T]
+    del t, c2
+    release_memory()
     return pa.table({"cell": cell, "w": sums[0], "w2": sums[1], "w1": sums[2]})
 
 
@@ -468,7 +482,7 @@ def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
     t = Pairs(table, far, model)
     total, c1, u = float(model.total.sum()), t.c1.sum(1), t.context.sum(1)
     lam = weights[bucket(u[t.pair_context])]
-    p = lam[:, 0] * share(t.c2.sum(1), u[t.pair_context]) + lam[:, 1] * share(c1, total)[t.pair_word] + lam[:, 2] * model.uniform
+    p = lam[:, 0] * share(t.c2(), u[t.pair_context]) + lam[:, 1] * share(c1, total)[t.pair_word] + lam[:, 2] * model.uniform
     base = np.log10((c1 + 0.5) / (total + 0.5 * (model.size + 1)))
     n = len(t.ids)
     sums = np.stack([
@@ -481,6 +495,8 @@ def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
         head = np.diff(t.ids[at : at + size], prepend=0).tobytes() + part[:2].astype(np.uint32).tobytes()
         out.append((chunk, head + part[2:].tobytes()))
         at += size
+    del t, sums, lam, p, base
+    release_memory()
     chunks, data = zip(*out)
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array(data, pa.binary())})
 
