@@ -419,15 +419,40 @@ def test_warc_plain_and_foreign_files(tmp_path):
 
 
 def test_language_pieces():
+    """Of whole texts: of several segments, with passages of the training text, unknown letters."""
     rng = random.Random(5)
-    texts = {lang: "".join(rng.choice(a) for _ in range(3000)).encode() for lang, a in (("x", "abc de"), ("y", "cdefé g"))}
-    model = language_id.Model(texts)
-    docs = ["abc cab", "", "gfe dcé", "ZZ", "".join(rng.choice("abcdefg é") for _ in range(400))]
+    texts = {lang: "".join(rng.choice(a) for _ in range(6000)).encode() for lang, a in (("x", "abc de"), ("y", "cdefé g"), ("z", "a"))}
+    model = language_id.Model(language_id.Language(lang, t) for lang, t in texts.items())
+    some = lambda n, a="abcdefg é": "".join(rng.choice(a) for _ in range(n))
+    docs = ["abc cab", "", "gfe dcé", "ZZ", some(400), some(512, "abc"), some(513, "abc"), some(5000), some(5000, "zq"), "a" * 3000]
+    docs += [texts["x"][700:3600].decode(), some(100) + texts["x"][:5000].decode() + some(1000), some(511) + texts["y"][1000:4000].decode("utf-8", "ignore")]
+    docs += [some(300) + texts["x"][k : k + 1300].decode() + some(40, "zz") for k in range(0, 4000, 500)]
     at, raw = offsets(docs)
     got = model.pieces(at, raw)
     for k, t in enumerate(docs):
         for j, lang in enumerate(model.languages):
             assert got[k, j] == brute.greedy_pieces(language_id.LETTERS[np.frombuffer(t.encode(), np.uint8)].tobytes(), texts[lang])
+    assert got[10, 0] == 1
+    old = language_id.GROUP_BYTES
+    try:
+        language_id.GROUP_BYTES = 1  # a language at a time
+        assert (model.pieces(at, raw) == got).all()
+    finally:
+        language_id.GROUP_BYTES = old
+
+
+def test_many_languages(spark):
+    """Each of 250 languages is learned from as much text, and predicted, in one pass or three."""
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñøк") for _ in range(5)) for _ in range(30)] for k in range(250)}
+    rows = [(i, " ".join(rng.choice(words[i % 250]) for _ in range(25)), f"l{i % 250:03}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    languages = language_id.learn(df, "doc_id", "text", "lang")
+    assert len(languages) == 250 and min(x.size for x in languages) > 500
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df, languages).collect()}
+    assert all(found[i][0] == lang for i, _, lang in rows)
+    for i, (lang, score) in ((r.doc_id, (r.lang_pred, r.score)) for r in language_id.identify(df, languages, most=100).collect()):
+        assert found[i] == (lang, pytest.approx(score))
 
 
 def test_language_accuracy(spark):
