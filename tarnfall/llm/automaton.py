@@ -8,10 +8,10 @@ from collections.abc import Iterable, Iterator
 class Automaton:
     """The suffix automaton of some sequences: every state is a set of their pieces that end
     at the same places. ``step``: transitions; ``link``: the state of the longest suffix that
-    ends at more places; ``length``: of a state's longest piece; ``ends``: of each sequence
-    that has the state's pieces, the places where they end."""
+    ends at more places; ``length``: of a state's longest piece; ``ends``: of states with pieces
+    of ``least`` or more, all (sequence, place) where they end."""
 
-    def __init__(self, sequences: Iterable[Iterable[int]], ends: bool = False):
+    def __init__(self, sequences: Iterable[Iterable[int]], least: int | None = None):
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         last_of: list[tuple[int, int, int]] = []
@@ -21,12 +21,12 @@ class Automaton:
                 last = self._extend(last, c)
                 last_of.append((last, which, end))
         self.ends: list[list[tuple[int, int]]] = []
-        if ends:
+        if least is not None:
             self.ends = [[] for _ in self.step]
             for state, which, end in last_of:
                 self.ends[state].append((which, end))
             for state in sorted(range(1, len(self.step)), key=lambda s: -self.length[s]):
-                if self.link[state]:  # every place is the root's
+                if self.length[self.link[state]] >= least:
                     self.ends[self.link[state]] += self.ends[state]
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:

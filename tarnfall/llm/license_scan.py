@@ -3,14 +3,19 @@
 Words of a text stream through the automaton of all templates, which gives for
 each word the longest piece of any template that ends there (matching
 statistics). Long maximal pieces are chained, in order and with short gaps, into
-spans of a template; a span that covers enough of it gives the template's label.
+spans of a template; a span that covers enough of it gives the template's label. A piece
+is tried at every place of a template where it stands. Of spans that lie mostly on words
+of a better span, as licenses share sentences, only that one counts.
 Named phrases ("mit license", ...) are found wherever their words stand.
 
+A chain is open for MAX_GAP words after its end, so the work is in proportion to the text,
+however often a license is repeated in it.
+
 Only stretches whose every three consecutive words occur in a template enter the
 automaton. This loses nothing: a piece of MIN_PIECE >= 3 words lies in one stretch.
 
-Defined results: a null text is empty and has no matches; ties between spans go
-to the longer, then the earlier; repeated rows get equal results; an empty table
+Defined results: a null text is empty and has no matches; a very long text is scanned whole;
+ties between spans go to the longer, then the earlier, then the first template; repeated rows get equal results; an empty table
 gives no rows; extra columns stay outside.
 """
 
@@ -24,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnfall.llm import tokens as K
+from tarnfall.llm.automaton import Automaton
 from tarnfall.llm.common import prepare
 from tarnfall.llm.license_texts import PHRASES, TEMPLATES
 
@@ -33,7 +39,7 @@ MAX_GAP = 8
 #: A span has so many matched words, unless the template is shorter, and ...
 MIN_WORDS = 5
 #: ... this share of the template, or LONG_WORDS whatever the share.
-MIN_COVER, LONG_WORDS = 0.6, 16
+MIN_COVER, LONG_WORDS = 0.6, 20
 
 
 def words_of(text: str) -> np.ndarray:
@@ -51,63 +57,6 @@ class Span:
     cover: float
 
 
-class Automaton:
-    """A generalised suffix automaton; each state keeps a template and an end position."""
-
-    def __init__(self, sequences: list[list[int]]):
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        #: Of each state: every template that has its strings, with one end position.
-        self.ends: list[dict[int, int]] = [{}]
-        for which, sequence in enumerate(sequences):
-            last = 0
-            for end, c in enumerate(sequence, 1):
-                last = self._extend(last, c)
-                self.ends[last].setdefault(which, end)
-        for state in sorted(range(1, len(self.step)), key=lambda s: -self.length[s]):
-            for which, end in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(which, end)
-
-    def _new(self, length: int, step: dict[int, int], link: int) -> int:
-        self.step.append(step)
-        self.length.append(length)
-        self.link.append(link)
-        self.ends.append({})
-        return len(self.step) - 1
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        copy = self._new(self.length[p] + 1, dict(self.step[q]), self.link[q])
-        while p >= 0 and self.step[p].get(c) == q:
-            self.step[p][c] = copy
-            p = self.link[p]
-        self.link[q] = copy
-        return copy
-
-    def _extend(self, last: int, c: int) -> int:
-        if (q := self.step[last].get(c)) is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        new = self._new(self.length[last] + 1, {}, 0)
-        p = last
-        while p >= 0 and c not in self.step[p]:
-            self.step[p][c] = new
-            p = self.link[p]
-        if p >= 0:
-            q = self.step[p][c]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
-        return new
-
-    def statistics(self, ids: Iterable[int]) -> Iterator[tuple[int, int]]:
-        """(length, state) of the longest match that ends at each position."""
-        state, n = 0, 0
-        for c in ids:
-            while state and c not in self.step[state]:
-                state = self.link[state]
-                n = self.length[state]
-            if (to := self.step[state].get(c)) is not None:
-                state, n = to, n + 1
-            yield n, state
-
-
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = PHRASES):
         self.labels = [label for label in sorted(templates) for _ in templates[label]]
@@ -116,7 +65,7 @@ class Scanner:
         self.vocabulary = np.unique(np.concatenate([*hashed, *named.values()]))
         sequences = [np.searchsorted(self.vocabulary, h) for h in hashed]
         self.sizes = [len(s) for s in sequences]
-        self.automaton = Automaton([s.tolist() for s in sequences])
+        self.automaton = Automaton([s.tolist() for s in sequences], MIN_PIECE)
         v = self.base = len(self.vocabulary) + 1
         triples = [(s[:-2] * v + s[1:-1]) * v + s[2:] for s in sequences if len(s) > 2]
         self.triples = np.unique(np.concatenate([*triples, np.zeros(0, np.int64)]))
@@ -158,28 +107,52 @@ class Scanner:
         found = list(self.automaton.statistics(ids))
         for k, (n, state) in enumerate(found):
             if n >= MIN_PIECE and (k + 1 == len(found) or found[k + 1][0] <= n):
-                for which, end in self.automaton.ends[state].items():
+                for which, end in self.automaton.ends[state]:
                     yield which, end - n, start + k + 1 - n, n
 
-    def chain(self, pieces: list[tuple[int, int, int, int]]) -> list[Span]:
-        """Accepted spans of one text's pieces."""
-        out = []
+    def chain(self, pieces: Iterable[tuple[int, int, int, int]]) -> list[Span]:
+        """Chains of one text's pieces that cover enough of a template."""
+        chains: list[tuple[int, list[int]]] = []
         by_template: dict[int, list[list[int]]] = {}  # open chains: text start, text end, template end, matched
-        for which, at, text, n in sorted(pieces, key=lambda p: (p[0], p[2], p[1])):
-            chains = by_template.setdefault(which, [])
-            for c in reversed(chains):
-                if 0 <= text - c[1] <= MAX_GAP and 0 <= at - c[2] <= MAX_GAP:
-                    c[1], c[2], c[3] = text + n, at + n, c[3] + n
-                    break
+        for which, at, text, n in sorted(pieces, key=lambda p: (p[2], p[0], p[1])):
+            still = [c for c in by_template.get(which, ()) if text - c[1] <= MAX_GAP]
+            best = None
+            for c in still:
+                # Pieces may overlap, as when a word of an edit also fits the template elsewhere.
+                skip = max(0, c[1] - text, c[2] - at)
+                if skip < n and text + skip - c[1] <= MAX_GAP and at + skip - c[2] <= MAX_GAP:
+                    rank = c[3] + n - skip, -c[0]
+                    if best is None or rank > best[0]:
+                        best = rank, c, skip
+            if best:
+                c, skip = best[1:]
+                c[1], c[2], c[3] = text + n, at + n, c[3] + n - skip
             else:
-                chains.append([text, text + n, at + n, n])
-        for which, chains in by_template.items():
+                still.append(c := [text, text + n, at + n, n])
+                chains.append((which, c))
+            by_template[which] = still
+        out = []
+        for which, (start, end, _, matched) in chains:
             size = self.sizes[which]
-            for start, end, _, matched in chains:
-                if matched >= min(MIN_WORDS, size) and (matched >= MIN_COVER * size or matched >= LONG_WORDS):
-                    out.append(Span(self.labels[which], which, start, end, matched, min(1.0, matched / size)))
+            if matched >= min(MIN_WORDS, size) and (matched >= MIN_COVER * size or matched >= LONG_WORDS):
+                out.append(Span(self.labels[which], which, start, end, matched, min(1.0, matched / size)))
         return sorted(out, key=lambda s: (-s.matched, s.start, s.template))
 
+    @staticmethod
+    def best(spans: list[Span]) -> list[Span]:
+        """Without those of which more than half lies in better ones."""
+        if len(spans) < 2:
+            return spans
+        low = min(s.start for s in spans)
+        taken = bytearray(max(s.end for s in spans) - low)
+        out = []
+        for s in spans:
+            a, b = s.start - low, s.end - low
+            if 2 * taken.count(1, a, b) <= b - a:
+                taken[a:b] = b"\1" * (b - a)
+                out.append(s)
+        return out
+
     def scan(self, column: pa.Array) -> Iterator[tuple[int, list[tuple[int, str]], list[Span]]]:
         """(words, named places, spans) of each text."""
         offsets, raw = K.utf8(column)
@@ -196,7 +169,7 @@ class Scanner:
                     r = int(w.row[start])
                     pieces.setdefault(r, []).extend(self.pieces(ids[start:end].tolist(), start - int(w.first[r])))
             for r, n in enumerate(w.counts().tolist()):
-                yield n, named.get(r, []), self.chain(pieces[r]) if r in pieces else []
+                yield n, named.get(r, []), self.best(self.chain(pieces[r])) if r in pieces else []
 
 
 COLUMNS = {
