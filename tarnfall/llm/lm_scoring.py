@@ -122,7 +122,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    counted = rows.where(F.col("part") != HELD_OUT).mapInArrow(run, "h bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+    counted = rows.where(F.col("part") != HELD_OUT).mapInArrow(tidy(run), "h bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
     return counted.groupBy("h").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(TRAIN))])
 
 
@@ -264,6 +264,7 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         base = np.cumsum([0] + [len(p[0]) for p in parts])[:-1]
         row = np.concatenate([p[4] + b for p, b in zip(parts, base)]).astype(np.uint64)
         first = np.concatenate([p[5] for p in parts])
+        parts.clear()  # from here on nothing is kept longer than it is used
         word = model.ids(h)
         context = model.contexts(word, first)
         # Hashes of the contexts that have no id.
@@ -278,9 +279,19 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         dealt[model.hot_pairs(context[hot], word[hot]) >= 0] += name
         key[hot] = K.mix(dealt) % np.uint64(model.keys)
         # By key, word, context and text; of the word only some bits, as runs are told apart by all.
-        rank = key << np.uint64(64 - KEY_BITS) | mixed >> np.uint64(32 + KEY_BITS) << np.uint64(32) | context << np.uint64(16) | row
+        rank = key << np.uint64(64 - KEY_BITS)
+        mixed >>= np.uint64(32 + KEY_BITS)
+        mixed <<= np.uint64(32)
+        context <<= np.uint64(16)
+        for x in (mixed, context, row):
+            rank |= x
+        del word, first, mixed, context, row, x
         order = np.argsort(rank)
-        rank, h, key, far = rank[order], h[order], key[order].astype(np.int64), far[order]
+        rank = rank[order]
+        h = h[order]
+        key = key[order].astype(np.int64)
+        far = far[order]
+        del order
         new = np.ones(len(h), bool)
         new[1:] = (rank[1:] != rank[:-1]) | (h[1:] != h[:-1]) | (far[1:] != far[:-1])
         at = np.flatnonzero(new)
@@ -290,6 +301,7 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
             at, n = np.insert(at, big + 1, at[big]), np.insert(n, big + 1, n[big] - 65_535)
             n[big + np.arange(len(big))] = 65_535
         h, key, rank, far = h[at], key[at], rank[at], far[at]
+        del new, at
         context = (rank >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
         row = (rank & np.uint64(0xFFFF)).astype(np.int64)
         edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
@@ -333,7 +345,7 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         if parts:
             yield from out()
 
-    return rows.mapInArrow(run, "key bigint, chunk bigint, data binary")
+    return rows.mapInArrow(tidy(run), "key bigint, chunk bigint, data binary")
 
 
 def far_counts(arrays: DataFrame, counts: DataFrame) -> DataFrame:
