@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
 from tarnfall.llm.automaton import Automaton
-from tarnfall.llm.common import fold, prepare, tidy, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, fold, prepare, tidy, written
 
 #: Rows of each language that are sampled, about, and the characters that each gives.
 SAMPLE_ROWS, ROW_CHARS = 200, 150
@@ -200,7 +200,9 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
     usable = labelled.select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit(10)).alias("h"), F.col(text_col).alias("text")
     ).where("lang IS NOT NULL AND length(text) > 0")
-    counts = usable.groupBy("lang").count()
+    # A row a language, counted before it is broadcast, so that no text is dealt by language.
+    counts = written(usable.groupBy("lang").count(), "languages-counted")
+    counts = F.broadcast(counts) if counts.count() <= MAX_BROADCAST_IDS else counts
     sample = usable.join(counts, "lang").where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < rows)
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
     sample = sample.select("lang", "h", F.substr("text", place, F.lit(chars)).alias("text"))
