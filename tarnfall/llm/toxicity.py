@@ -1,24 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 A model of toxic text and one of ordinary text give each word a probability after its
-predecessor: a bigram estimate, interpolated with the class's probability of the word,
-which is spelled letter by letter, each letter after the word's beginning so far. At the
-bottom both classes share one distribution of continuations. Expressions, words and
-beginnings in fewer than MIN_DOCS learning texts have no counts of their own: they are
-smoothed through the shared counts, so a new word is judged by its stem and a rare one
-says next to nothing. A text's log-likelihood ratio is normalised by length, over the
-whole text and over its most toxic windows of 1 and 4 words, and logistic regression on
-those three figures, of texts that the models haven't seen, gives the probability.
-
-Bounds: learning takes about MAX_ROWS rows of each class, sampled by a hash of the id,
-of at most MAX_TEXT bytes each; of near copies among them one counts. All texts are
-scored whole.
-
-Defined results: a null text is empty; an empty text has the ratio 0; without labelled
-texts of both classes every score is 0; repeated rows get equal scores; a doc_id labelled
-twice counts as toxic if any label says so; null labels and ids teach nothing; an empty
-table gives no rows; extra columns are carried untouched by ``clean`` and stay outside
-otherwise.
+predecessor: a discounted bigram estimate, interpolated with Kneser-Ney's lower order, which
+counts how many words a word follows in the class. That order is spelled letter by letter,
+each letter after the word's beginning so far. At the bottom both classes share one
+distribution of continuations, by the number of words of either class. Expressions, words
+and beginnings in fewer learning texts than MIN_DOCS or MIN_SHARE of them have no counts of
+their own: they are smoothed through the shared counts, so a new word is judged by its stem
+and a rare one says next to nothing. A text's log-likelihood ratio is normalised by
+length, over the whole text and over its most toxic windows of 1 and 4 words, and logistic
+regression on those three figures, of texts that the models haven't seen, gives the
+probability.
+
+Bounds: learning takes about MAX_ROWS rows of each class, sampled by a hash of the id, or
+fewer, so that they have about MAX_BYTES; of near copies among them one counts. Their texts
+are learned whole, and all texts are scored whole.
+
+Defined results: a null text is empty; an empty text has the ratio 0; a very long text is
+scored by its mean and its most toxic windows like any other, and teaches if it is no longer
+than MAX_BYTES; a score of exactly 0.5 counts as toxic; without labelled texts of both
+classes every score is 0; repeated rows get equal scores; a doc_id labelled twice counts as
+toxic if any label says so; null labels and ids teach nothing; an empty table gives no rows;
+extra columns are carried untouched by ``clean`` and stay outside otherwise.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfall.llm import tokens as K
-from tarnfall.llm.common import fold, prepare, tidy
+from tarnfall.llm.common import fold, prepare, tidy, written
 
 MAX_ROWS = 4000
-MAX_TEXT = 1 << 15
-MIN_DOCS = 10
+MAX_BYTES = 64 << 20
+#: Learning texts that an expression must stand in, and their share of all.
+MIN_DOCS, MIN_SHARE = 8, 1 / 400
 #: Bytes of a word's beginning that are spelled; what follows is one step.
 STEM = 8
 DISCOUNT = 0.75
@@ -68,8 +72,10 @@ def spelled(w: K.Words, h: np.ndarray) -> np.ndarray:
 class Spelling:
     """Probabilities of words in both classes, spelled along their beginnings."""
 
-    def __init__(self, steps: np.ndarray, count: np.ndarray):
-        """steps: as from spelled, of distinct words; count: words x (toxic, ordinary) texts.
+    def __init__(self, steps: np.ndarray, count: np.ndarray, docs: np.ndarray, least: float):
+        """steps: as from spelled, of distinct words; count: words x (toxic, ordinary)
+        continuations, the words that they follow; docs: learning texts of each word. A
+        beginning in fewer than ``least`` has no counts of its own.
 
         Level by level: the children of a beginning are its continuations by one byte and
         its end as a word. Only words whose beginning has counts of its own go on."""
@@ -88,7 +94,7 @@ class Spelling:
             up, m = parent[first], len(above)
             total = np.stack([np.bincount(up, n[:, c], m) for c in (0, 1)], 1)
             shared = types / np.bincount(up, types, m)[up]
-            keep = n.sum(1) >= MIN_DOCS
+            keep = np.bincount(at, docs[alive], len(node)) >= least
             held = np.where(keep[:, None], np.maximum(n - DISCOUNT, 0), 0) / np.maximum(total[up], 1)
             back = np.maximum(1 - np.stack([np.bincount(up, held[:, c], m) for c in (0, 1)], 1), 1e-9)
             path = above[up] + np.log(held + back[up] * shared[:, None])
@@ -132,8 +138,18 @@ class KneserNey:
         docs = np.stack([np.bincount(at[side == c], minlength=len(vocabulary)) for c in (True, False)], 1).astype(float)
         del once, at, side
         steps = spelling["steps"][np.searchsorted(spelling["word"], vocabulary)]
-        self.spelling = Spelling(steps, docs)
-        often = docs.sum(1) >= MIN_DOCS
+        least = self.least = max(MIN_DOCS, MIN_SHARE * len(words))
+        # Kneser-Ney's counts of a word in the lower order: how many words it follows.
+        follows = np.zeros((len(vocabulary), 2))
+        for c, cls in enumerate((True, False)):
+            parts = [np.zeros(0, np.int64)]
+            for w, t in zip(words, toxic):
+                if t == cls and len(w):
+                    i = np.searchsorted(vocabulary, w)
+                    parts.append(np.concatenate(([len(vocabulary)], i[:-1])) * len(vocabulary) + i)
+            follows[:, c] = np.bincount(np.unique(np.concatenate(parts)) % max(len(vocabulary), 1), minlength=len(vocabulary))
+        self.spelling = Spelling(steps, follows, docs.sum(1), least)
+        often = docs.sum(1) >= least
         self.vocabulary = vocabulary[often]
         p = np.exp(self.spelling.log_probability(steps[often])).T
         n = self.size = len(self.vocabulary)  # n: any rarer word; n + 1: before the first
@@ -148,7 +164,7 @@ class KneserNey:
         side = np.concatenate(side)
         count = np.stack([np.bincount(at[side == c], minlength=len(pairs)) for c in (True, False)]).astype(float)
         u, w = pairs // (n + 2), pairs % (n + 2)
-        kept = (count.sum(0) >= MIN_DOCS) & (w < n)
+        kept = (count.sum(0) >= least) & (w < n)
         after, own = [], []
         for c, p_c in zip(count, p):
             contexts = np.bincount(u, c, n + 2)
@@ -304,7 +320,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     limit = F.when(F.col("toxic") == 1, MAX_ROWS / max(population[0], 1)).otherwise(MAX_ROWS / max(population[1], 1))
     sample = F.broadcast(labels.where(share < limit))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id")
-    rows = rows.where(F.octet_length("text") <= MAX_TEXT).select("text", "toxic")
+    size = F.octet_length("text")
+    rows = written(rows.where(size <= MAX_BYTES).select("text", "toxic", F.xxhash64("id", F.lit(7)).alias("h")), "toxic-sample")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    if total > MAX_BYTES:
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) * (total / (1 << 30)) < MAX_BYTES)
+    rows = rows.select("text", "toxic")
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)

@@ -109,3 +109,77 @@ def mix_targets(sizes, weights=(5, 2, 1), cap=3):
             left -= cap * sizes[s]
             open_.discard(s)
     return out
+
+
+class KneserNey:
+    """Log-likelihood ratios of words after their predecessors, over dictionaries."""
+
+    def __init__(self, texts, toxic, least, stem=8, discount=0.75):
+        self.stem, self.discount, self.least = stem, discount, least
+        tokens = [plain_words(t) for t in texts]
+        self.docs = Counter(w for ws in tokens for w in set(ws))
+        follows = Counter((w, c) for w, _, c in {(w, u, c) for ws, c in zip(tokens, toxic) for u, w in zip([None, *ws], ws)})
+        self.level, self.back = {}, {}
+        self._spell("", {w: w.encode() for w in self.docs}, follows, (0.0, 0.0))
+        pairs = Counter((u, w, c) for ws, c in zip(tokens, toxic) for u, w in {*zip(["<s>", *map(self._known, ws)], map(self._known, ws))})
+        context = Counter()
+        for (u, _, c), n in pairs.items():
+            context[u, c] += n
+        kept = {(u, w) for u, w, _ in pairs if w != "<rare>" and pairs[u, w, True] + pairs[u, w, False] >= least}
+        self.held = {(u, w, c): max(pairs[u, w, c] - discount, 0) / max(context[u, c], 1) for u, w in kept for c in (True, False)}
+        self.after = {}
+        for u in {u for u, _, _ in pairs} | {"<s>", "<rare>"}:
+            for c in (True, False):
+                self.after[u, c] = max(1 - sum(self.held[x, w, c] for x, w in kept if x == u), 1e-9)
+
+    def _known(self, w):
+        return w if self.docs[w] >= self.least else "<rare>"
+
+    def _spell(self, at, words, follows, path):
+        """words: those that begin with the bytes at, which has counts of its own."""
+        children = defaultdict(list)
+        for w, b in words.items():
+            n = len(at)
+            children[at + chr(b[n]) if n < min(len(b), self.stem) else ("end", w)].append(w)
+        total = [sum(follows[w, c] for w in words) for c in (True, False)]
+        held = {}
+        for child, ws in children.items():
+            if sum(self.docs[w] for w in ws) >= self.least:
+                held[child] = [max(sum(follows[w, c] for w in ws) - self.discount, 0) / max(t, 1) for c, t in zip((True, False), total)]
+        back = [max(1 - sum(h[k] for h in held.values()), 1e-9) for k in (0, 1)]
+        self.back[at] = back
+        for child, h in held.items():
+            p = tuple(path[k] + math.log(h[k] + back[k] * len(children[child]) / len(words)) for k in (0, 1))
+            self.level[child] = p
+            if isinstance(child, str):
+                self._spell(child, {w: words[w] for w in children[child]}, follows, p)
+
+    def word(self, w):
+        """Log probabilities (toxic, ordinary), up to a term that both share."""
+        b, at, out = w.encode(), "", tuple(math.log(x) for x in self.back[""])
+        while True:
+            n = len(at)
+            child = at + chr(b[n]) if n < min(len(b), self.stem) else ("end", w)
+            if child not in self.level:
+                return out
+            out = self.level[child]
+            if not isinstance(child, str):
+                return out
+            at, out = child, tuple(x + math.log(y) for x, y in zip(out, self.back[child]))
+
+    def ratios(self, text):
+        ws, out = plain_words(text), []
+        for u, w in zip(["<s>", *map(self._known, ws)], ws):
+            p = [self.after[u, c] * math.exp(x) if (u, c) in self.after else math.exp(x) for c, x in zip((True, False), self.word(w))]
+            k = self._known(w)
+            if (u, k, True) in self.held:
+                p = [self.held[u, k, c] + x for c, x in zip((True, False), p)]
+            out.append(math.log(p[0]) - math.log(p[1]))
+        return out
+
+    def features(self, text, windows=(1, 4)):
+        r = self.ratios(text)
+        if not r:
+            return [0.0] * (1 + len(windows))
+        best = [max(sum(r[max(0, k + 1 - n) : k + 1]) / len(r[max(0, k + 1 - n) : k + 1]) for k in range(len(r))) for n in windows]
+        return [sum(r) / len(r), *best]

@@ -492,6 +492,43 @@ def test_kneser_ney_is_a_distribution():
     assert np.isfinite(kn.own).all() and np.isfinite(kn.context).all()
 
 
+@pytest.mark.parametrize("share", [1e-9, 1 / 20])
+def test_toxicity_is_that_of_plain_kneser_ney(monkeypatch, share):
+    """Features and scores of whole texts, with new words, stems, bytes beyond ASCII and long words."""
+    monkeypatch.setattr(toxicity, "MIN_SHARE", share)
+    rng = random.Random(4)
+    stems = ["ab", "abc", "abd", "é", "longerthanstem", "longerthanother", "x"]
+    word = lambda: rng.choice(stems) + rng.choice(["", "", "a", "ing", str(rng.randrange(40))])
+    some = lambda bad, n=25: " ".join("grob" + word() if bad and rng.random() < 0.1 else word() for _ in range(n))
+    toxic = np.array([k % 3 == 0 for k in range(150)])
+    texts = [some(bad) for bad in toxic]
+    kn, _ = toxic_model(texts, toxic)
+    plain = brute.KneserNey(texts, toxic.tolist(), max(toxicity.MIN_DOCS, share * len(texts)))
+    news = [*texts[:20], some(True, 300), some(False, 900), "", "grobnew ab", "ab", "longerthanstemx é", "unseen words"]
+    want = np.array([plain.features(t) for t in news])
+    got = []
+    for w, h in toxicity.split_words(pa.array(news, pa.large_string())):
+        _, steps, at = toxicity.distinct_steps(w, h)
+        got.append(kn.features(h, w.first, steps, at))
+    assert np.concatenate(got) == pytest.approx(want, abs=1e-9)
+    model = toxicity.Model(kn, np.array([0.3, 0.7, 1.1, -2.0]))
+    z = want @ model.weights[:3] + model.weights[3]
+    assert model.score(pa.array(news, pa.large_string())) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_long_texts_teach(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(300)}"
+    docs = [(k, " ".join(word() for _ in range(6000)) + (" grob" if k % 2 else "") + " end") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    model = toxicity.learn(df, labels)
+    assert model.score(pa.array([docs[0][1], docs[1][1]])).round().tolist() == [0, 1]
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 300_000)
+    few = toxicity.learn(df, labels)
+    assert few.kn is None or few.kn.spelling is not None
+
+
 def test_new_words_are_judged_by_their_stems():
     rng = random.Random(2)
     plain = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
