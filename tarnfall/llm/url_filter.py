@@ -4,13 +4,15 @@ A rule is a host with a path prefix and a verdict. It fits its host and every
 subdomain when the url's path starts with the rule's. The longest match wins:
 more host labels first, then the longer path, and of equal rules block.
 
-Only the url column is read, and nothing is shuffled. The trie goes to the
-executors with the function, so its rules are checked against MAX_RULE_BYTES; a
-longer list is applied in blocks of that size, keeping the longest match so far.
+Only the url column is read, and nothing is shuffled. The rules are broadcast, checked
+against MAX_RULE_BYTES, and become a trie once in each Python worker; a longer list is
+applied in blocks of that size, keeping the longest match so far. A look-up takes a step
+for each label and segment, and at a rule's open last segment one for each length that
+occurs there, however many rules a host has.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and fits no rule; where no rule fits, the verdict is ``default``; repeated rows and
-empty tables pass through; extra columns stay outside.
+and fits no rule; where no rule fits, the verdict is ``default``; a very long url is matched
+whole; repeated rows and empty tables pass through; extra columns stay outside.
 """
 
 from __future__ import annotations
@@ -43,14 +45,28 @@ class Node:
     #: Rules at this host, by complete path segments and then the last, open one.
     paths: "Node | None" = None
     ends: dict[str, Rule] = field(default_factory=dict)
+    #: Lengths of the ends, longest first.
+    lengths: tuple[int, ...] = ()
 
 
 class Trie:
-    """match() gives the longest rule that fits, with its rank."""
+    """match() gives the longest rule that fits, with its rank. Pickled as its rules."""
 
     def __init__(self, rules: Iterable[Rule]):
+        self.rules = tuple(rules)
+        self._build()
+
+    def __getstate__(self) -> tuple[Rule, ...]:
+        return self.rules
+
+    def __setstate__(self, rules: tuple[Rule, ...]) -> None:
+        self.rules = rules
+        self._build()
+
+    def _build(self) -> None:
         self.root = Node()
-        for rule in rules:
+        leaves = []
+        for rule in self.rules:
             if rule.verdict not in ("allow", "block"):
                 raise ValueError(f"a verdict is allow or block, not {rule.verdict!r}")
             node = self.root
@@ -64,6 +80,10 @@ class Trie:
             old = node.ends.get(last)
             if old is None or rule.verdict == "block":
                 node.ends[last] = rule
+            leaves.append(node)
+        for node in leaves:
+            if not node.lengths:
+                node.lengths = tuple(sorted({len(end) for end in node.ends}, reverse=True))
 
     def match(self, host: str, path: str) -> tuple[tuple[int, int], Rule] | None:
         best, node, depth = None, self.root, 0
@@ -80,11 +100,13 @@ class Trie:
     def _path(node: Node, path: str) -> Rule | None:
         best, at = None, 0
         while True:
-            # Longer than what was found before, as it lies at least as deep.
-            fits = [end for end in node.ends if path.startswith(end, at)]
-            if fits:
-                best = node.ends[max(fits, key=len)]
             cut = path.find("/", at)
+            room = (len(path) if cut < 0 else cut) - at
+            # Longer than what was found before, as it lies at least as deep.
+            for n in node.lengths:
+                if n <= room and (rule := node.ends.get(path[at : at + n])) is not None:
+                    best = rule
+                    break
             if cut < 0 or (node := node.labels.get(path[at:cut])) is None:
                 return best
             at = cut + 1
@@ -127,10 +149,11 @@ def judge(
     kinds = f"{id_col} {id_type}, host string, path string, rule string, verdict string, labels int, length int"
     out = None
     for block in list(blocks(rules, most)) or [[]]:
-        trie = Trie(block)
+        shared = pages.sparkSession.sparkContext.broadcast(Trie(block))
         again = out is not None
 
-        def run(batches: Iterable[pa.RecordBatch], trie=trie, again=again) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, again=again) -> Iterator[pa.RecordBatch]:
+            trie = shared.value
             for b in batches:
                 if again:
                     rows = [list(r) for r in zip(*[c.to_pylist() for c in b.columns[1:]])]
