@@ -5,7 +5,8 @@ small ones into partitions. Predicates on the record type and the named headers
 are pushed down; a record's headers are parsed first, and the payload of a record
 that no predicate wants, or of any record with the option ``payload=false``, isn't
 decoded: plain files are skipped ahead, and a gzip member that tells its length
-in the ``sl`` extra field is passed over without inflating it.
+in the ``sl`` extra field is passed over without inflating it. A file is never split, as
+only reading it tells where its records begin; the writer's files have a partition's size.
 
 Writing: ``df.write.format("warc").mode("append").save(path)``, one gzip member for each
 record. Tasks write under temporary names which the driver renames on commit, so
@@ -13,7 +14,10 @@ lost or repeated tasks leave no records behind.
 
 Defined results: a null payload is empty; a null url has no WARC-Target-URI; line
 breaks in header values are percent-encoded; truncated files raise; a missing or
-empty folder has no records.
+empty folder has no records. ``with_revisits``: payloads are equal if their SHA-1, length and
+a 64-bit hash are; of rows that tie for the largest id all are responses; rows that repeat
+an id are records of their own; a very long payload is one record, and in memory once as
+it is written or read; extra columns stay outside, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tarnfall.llm.common import MAX_BROADCAST_IDS, new_path, prepare, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, new_path, prepare, spread_join, written
 
 #: Columns that come straight from headers.
 HEADERS = {
@@ -59,9 +63,10 @@ HEADERS = {
 }
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", content_length bigint, headers map<string,string>, payload binary"
 #: A writer starts another file beyond this; a reader packs smaller files up to this.
-FILE_BYTES = 64 << 20
-PARTITION_BYTES = 32 << 20
+FILE_BYTES = PARTITION_BYTES = 32 << 20
 READ_BYTES = 1 << 20
+#: Bytes that are inflated at once where a member's length isn't told.
+PIECE = 1 << 16
 BATCH_BYTES = 8 << 20
 MAX_HEADER = 1 << 20
 
@@ -97,72 +102,76 @@ def http_block(payload: bytes, kind: str = "text/html; charset=utf-8") -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
-class Plain:
-    """Bytes of an uncompressed file."""
+class Source:
+    """Plain bytes of a file behind a position; more of them are read as they are needed."""
 
     def __init__(self, stream):
-        self.stream, self.buffer = stream, b""
+        self.stream, self.plain, self.at = stream, b"", 0
+
+    def _add(self, data: bytes) -> None:
+        self.plain, self.at = self.plain[self.at :] + data if self.at < len(self.plain) else data, 0
 
     def _more(self) -> bool:
         data = self.stream.read(READ_BYTES)
-        self.buffer += data
+        self._add(data)
         return bool(data)
 
     def header(self) -> bytes | None:
         while True:
-            start = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
-            if (end := self.buffer.find(b"\r\n\r\n", start)) >= 0:
-                out, self.buffer = self.buffer[start:end], self.buffer[end + 4 :]
+            while self.plain[self.at : self.at + 1] in (b"\r", b"\n"):
+                self.at += 1
+            if (end := self.plain.find(b"\r\n\r\n", self.at)) >= 0:
+                out, self.at = self.plain[self.at : end], end + 4
                 return out
-            if len(self.buffer) > MAX_HEADER:
+            if len(self.plain) - self.at > MAX_HEADER:
                 raise ValueError("a record's header doesn't end")
             if not self._more():
-                if self.buffer.strip(b"\r\n"):
+                if self.at < len(self.plain):
                     raise ValueError("the file ends inside a record's header")
                 return None
 
     def block(self, size: int) -> bytes:
-        parts, got = [self.buffer[:size]], min(size, len(self.buffer))
-        self.buffer = self.buffer[size:]
+        parts, got = [], 0
         while got < size:
-            data = self.stream.read(size - got)
-            if not data:
+            if self.at == len(self.plain) and not self._more():
                 raise ValueError("the file ends inside a record")
-            parts.append(data)
-            got += len(data)
-        return b"".join(parts)
+            parts.append(self.plain[self.at : self.at + size - got])
+            self.at += len(parts[-1])
+            got += len(parts[-1])
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
     def skip(self, size: int) -> None:
-        here = min(size, len(self.buffer))
-        self.buffer = self.buffer[here:]
-        while size > here:
-            data = self.stream.read(min(READ_BYTES, size - here))
-            if not data:
+        while size:
+            if self.at == len(self.plain) and not self._more():
                 raise ValueError("the file ends inside a record")
-            here += len(data)
+            here = min(size, len(self.plain) - self.at)
+            self.at += here
+            size -= here
 
 
-class Gzip:
+class Gzip(Source):
     """Records in gzip members, one each (or several, in files of other writers)."""
 
     def __init__(self, stream):
-        self.stream, self.raw = stream, b""
-        self.inflate, self.plain, self.left = None, b"", None
+        super().__init__(stream)
+        self.raw, self.pos = b"", 0
+        self.inflate, self.left = None, None
 
-    def _raw(self, n: int) -> bool:
-        while len(self.raw) < n:
+    def _have(self, n: int) -> bool:
+        """Whether n compressed bytes are there."""
+        while len(self.raw) - self.pos < n:
             data = self.stream.read(READ_BYTES)
             if not data:
                 return False
-            self.raw += data
+            self.raw, self.pos = self.raw[self.pos :] + data, 0
         return True
 
     def _open(self) -> bool:
-        if not self._raw(1):
+        if not self._have(1):
             return False
         self.left = None
-        if self._raw(24) and self.raw[3] & 4 and self.raw[12:16] == b"sl\x08\0":
-            self.left = struct.unpack_from("<I", self.raw, 16)[0]
+        if self._have(24) and self.raw[self.pos + 3] & 4 and self.raw[self.pos + 12 : self.pos + 16] == b"sl\x08\0":
+            self.left = struct.unpack_from("<I", self.raw, self.pos + 16)[0]
         self.inflate = zlib.decompressobj(31)
         return True
 
@@ -170,62 +179,30 @@ class Gzip:
         """More plain bytes, from the next member if this one is over."""
         if self.inflate is None and not self._open():
             return False
-        if not self.raw and not self._raw(1):
+        if not self._have(1):
             raise ValueError("the file ends inside a gzip member")
-        take = self.raw[:READ_BYTES]
-        self.raw = self.raw[len(take) :]
-        self.plain += self.inflate.decompress(take, READ_BYTES)
+        # Only this member's bytes, so that none come back.
+        take = min(len(self.raw) - self.pos, PIECE if self.left is None else max(self.left, 1))
+        self._add(self.inflate.decompress(memoryview(self.raw)[self.pos : self.pos + take], READ_BYTES))
         rest = self.inflate.unconsumed_tail if not self.inflate.eof else self.inflate.unused_data
+        self.pos += take - len(rest)
         if self.left is not None:
-            self.left -= len(take) - len(rest)
-        self.raw = rest + self.raw
+            self.left -= take - len(rest)
         if self.inflate.eof:
             self.inflate = None
         return True
 
-    def header(self) -> bytes | None:
-        while True:
-            start = len(self.plain) - len(self.plain.lstrip(b"\r\n"))
-            if (end := self.plain.find(b"\r\n\r\n", start)) >= 0:
-                out, self.plain = self.plain[start:end], self.plain[end + 4 :]
-                return out
-            if len(self.plain) > MAX_HEADER:
-                raise ValueError("a record's header doesn't end")
-            if self.inflate is None:
-                self.plain = self.plain[start:]
-            elif not start < len(self.plain) and start:
-                self.plain = b""
-            if not self._more():
-                if self.plain.strip(b"\r\n"):
-                    raise ValueError("the file ends inside a record's header")
-                return None
-
-    def block(self, size: int) -> bytes:
-        parts, got = [], 0
-        while True:
-            parts.append(self.plain[: size - got])
-            got += len(parts[-1])
-            self.plain = self.plain[len(parts[-1]) :]
-            if got == size:
-                return b"".join(parts)
-            if not self._more():
-                raise ValueError("the file ends inside a record")
-
     def skip(self, size: int) -> None:
-        if self.inflate is not None and self.left is not None:
-            while self.left > len(self.raw):
-                self.left -= len(self.raw)
-                self.raw = b""
-                if not self._raw(1):
-                    raise ValueError("the file ends inside a gzip member")
-            self.raw, self.plain, self.inflate = self.raw[self.left :], b"", None
+        if self.inflate is None or self.left is None:
+            super().skip(size)
             return
-        while size:
-            if not self.plain and not self._more():
-                raise ValueError("the file ends inside a record")
-            here = min(size, len(self.plain))
-            self.plain = self.plain[here:]
-            size -= here
+        while self.left > len(self.raw) - self.pos:
+            self.left -= len(self.raw) - self.pos
+            self.raw, self.pos = b"", 0
+            if not self._have(1):
+                raise ValueError("the file ends inside a gzip member")
+        self.pos += self.left
+        self.plain, self.at, self.inflate = b"", 0, None
 
 
 def parse_header(data: bytes) -> dict[str, str]:
@@ -302,7 +279,7 @@ class WarcReader(DataSourceReader):
 
     def records(self, path: str, fs: pafs.FileSystem) -> Iterator[tuple[dict[str, str], bytes | None]]:
         with fs.open_input_stream(path, compression=None) as stream:
-            source = (Gzip if path.endswith(".gz") else Plain)(stream)
+            source = (Gzip if path.endswith(".gz") else Source)(stream)
             while (head := source.header()) is not None:
                 headers = parse_header(head)
                 size = int(headers.get("content-length", 0))
@@ -405,19 +382,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date: str) -> DataFrame:
-    """Writer rows of pages. Of equal payloads (by SHA-1) the largest id is the response
-    and the others refer to it; rows that share that id are all responses. The digests
-    that occur twice are counted: if they are few they are broadcast and no payload is
-    moved, else payloads are shuffled by digest."""
+def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date: str, most: int = MAX_BROADCAST_IDS // 4) -> DataFrame:
+    """Writer rows of pages. Of equal payloads the largest id is the response and the others
+    refer to it; rows that share that id are all responses. The payloads that occur twice
+    are counted: if they are few they are broadcast and no payload is moved, else their
+    ids are found first, salted by payload, and payloads are shuffled by id."""
     row = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"),
         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    again = row.groupBy(F.col("sha").alias("again")).agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = written(again.select("again", "keep"), "revisits")
-    few = again.count() <= MAX_BROADCAST_IDS // 4
-    row = row.join(F.broadcast(again) if few else again, F.col("sha") == F.col("again"), "left")
+    same = F.concat_ws("-", "sha", F.hex(F.xxhash64("payload")), F.octet_length("payload"))
+    row = row.withColumn("same", same)
+    again = row.groupBy("same").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(again, "revisits")
+    if again.count() <= most:
+        again = again.select(F.col("same").alias("again"), "keep")
+        row = row.join(F.broadcast(again), F.col("same") == F.col("again"), "left")
+    else:
+        marks = spread_join(row.select("same", "id"), again, ["same"], "n", F.xxhash64("id"))
+        marks = written(marks.select(F.col("same").alias("again"), F.col("id").alias("of"), "keep").distinct(), "revisits")
+        row = row.join(marks, (F.col("same") == F.col("again")) & F.col("id").eqNullSafe(F.col("of")), "left")
     revisit = F.col("again").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return row.select(
