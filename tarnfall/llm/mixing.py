@@ -12,12 +12,12 @@ size stops there and the excess is dealt again until none is above. With sources
 in the order of cap / weight this has a closed form: the first source that its
 share of what is left doesn't exceed gives the level of all that follow.
 
-Defined results: a null text has size 0; null is a source of its own, last in
+Defined results: a null text has size 0; a very long text counts whole; null is a source of its own, last in
 order; documents with one id share their fate; a table without words takes
 nothing; an empty table gives no rows; extra columns are carried untouched.
 Skew: all sums are pre-aggregated by source and bucket, so no source is ever in
 one task; what is windowed are histograms of at most 4096 rows a source and one row
-a source.
+a source. The sources' rows are broadcast if they are few, else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnfall.llm.common import WORD, written
+from tarnfall.llm.common import MAX_BROADCAST_IDS, WORD, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -50,6 +50,11 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     )
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast, if its written rows are few."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS // 4 else df
+
+
 def targets(sized: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     """A row for each source: source_size, target, copies (whole ones), rest (words)."""
     by_name = Window.orderBy(F.col("source").isNull(), "source")
@@ -80,7 +85,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         shift = BITS * (LEVELS - 1 - level)
         at = sized.withColumnRenamed("source", "s")
         at = at.join(
-            state.select("source", "prefix", "open"),
+            small(state.select("source", "prefix", "open")),
             F.col("s").eqNullSafe(F.col("source")) & F.col("open") & (F.shiftright("h", shift + BITS) == F.col("prefix")),
         )
         hist = at.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
@@ -121,7 +126,7 @@ def taken_copies(cap: int):
 def mix(docs: DataFrame, cap: int = CAP, **options) -> DataFrame:
     """A row for each document: id, source, size, source_size, target and copies."""
     sized, marks = plan(docs, cap=cap, **options)
-    out = sized.join(marks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    out = sized.join(small(marks).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     return out.select("id", "source", "size", "source_size", "target", taken_copies(cap).alias("copies"))
 
 
@@ -133,7 +138,7 @@ def mixed(docs: DataFrame, cap: int = CAP, id_col: str = "doc_id", source_col: s
     _, marks = plan(docs, cap=cap, id_col=id_col, source_col=source_col, **options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("row")
     rows = docs.select(row, F.col(source_col).alias("source"), id_hash(id_col).alias("h"))
-    out = rows.join(marks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    out = rows.join(small(marks).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     return out.select("row.*", taken_copies(cap).alias("copies")).where(F.col("copies") > 0)
 
 
@@ -155,7 +160,7 @@ s3 AS (SELECT *, CAST(most AS DOUBLE) / weight AS ratio FROM s2),
 s4 AS (SELECT *, CAST(sum(source_size) OVER () - (sum(most) OVER (ORDER BY ratio, rk ROWS UNBOUNDED PRECEDING) - most)
                  AS DOUBLE) / CAST(sum(weight) OVER (ORDER BY ratio, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
                  AS DOUBLE) AS lv FROM s3),
-s5 AS (SELECT *, (SELECT arg_min(lv, ratio * 1e6 + rk / 1e6) FROM s4 WHERE lv <= ratio) AS level FROM s4),
+s5 AS (SELECT *, (SELECT lv FROM s4 WHERE lv <= ratio ORDER BY ratio, rk LIMIT 1) AS level FROM s4),
 s6 AS (SELECT *, CASE WHEN ratio < level THEN CAST(most AS DOUBLE) ELSE weight * level END AS target FROM s5),
 s7 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM s6),
 m AS (SELECT d.doc_id, d.size, s7.source_size, s7.target, s7.copies,
