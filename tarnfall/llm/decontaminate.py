@@ -18,7 +18,8 @@ for equal words and costs for changed, added and dropped ones.
 The benchmark is the stated query set: it is sent to the executors in blocks of at most
 BLOCK_BYTES, one pass over the corpus for each block, and no text is shuffled.
 
-Defined results: null texts and items are empty and never match; items with fewer than
+Defined results: null texts and items are empty and never match; a very long text is
+searched whole; of alignments with one score that which ends first is told; items with fewer than
 LEAST words are their own seed, and must occur as they are; repeated items count once;
 repeated rows get equal results; an empty benchmark or corpus gives no rows; extra
 columns stay outside, or are carried untouched by ``clean``.
@@ -228,6 +229,7 @@ def prepared(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, it
                 texts = r.n
             else:
                 df[r.seed] = r.n
+        shared.destroy()
         block.switch_off(df, texts)
         yield block
 
@@ -260,7 +262,7 @@ def leaks(
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that hold no copy of any item, with all their columns."""
     at = docs.columns.index(text_col)
-    for block in list(prepared(docs, items, text_col, item_col, item_text)):
+    for block in prepared(docs, items, text_col, item_col, item_text):  # seeds are counted in the docs as given
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Operators against plain Python, round trips and held-out accuracy."""
 
 import gzip
+import pickle
 import random
 from collections import Counter
 
@@ -322,9 +323,10 @@ def test_mixing_caps(spark):
 
 def test_exact_dedup_salts_hot_texts(spark):
     rows = [(i, "hot" if i % 3 else f"t{i % 50}") for i in range(900)] + [(None, "hot"), (899, "hot"), (None, "solo"), (None, None), (-4, "")]
+    rows += [(None, "nameless")] * 40
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     for keep, best in (("max", max), ("min", min)):
-        got = exact_dedup.content_sort(df, keep, hot_share=0.01, salts=8).collect()
+        got = exact_dedup.content_sort(df, keep, hot_rows=5).collect()
         groups = {}
         for i, t in rows:
             groups.setdefault(t or "", []).append(i)
@@ -335,7 +337,7 @@ def test_exact_dedup_salts_hot_texts(spark):
             assert r.keep_id == best([i for i in g if i is not None], default=None)
         assert sum(r.kept for r in got) == len(groups)
         assert all(r.row.doc_id == r.keep_id for r in got if r.kept)
-    assert exact_dedup.dedup(df, hot_share=0.01).count() == len(groups)
+    assert exact_dedup.dedup(df, hot_rows=5).count() == len(groups)
 
 
 def test_exact_dedup_plan(spark):
@@ -362,6 +364,27 @@ def test_url_trie(spark):
         url_filter.Trie([R("maybe", "x")])
 
 
+def test_url_rules_of_one_host(spark):
+    """Many rules of one host, against trying each."""
+    rng = random.Random(6)
+    some = lambda: "/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(7)))
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), rng.choice(["x.org", "org", "a.x.org"]), some()) for _ in range(150)]
+    trie = pickle.loads(pickle.dumps(url_filter.Trie(rules)))
+    for _ in range(300):
+        host, path = rng.choice(["x.org", "b.a.x.org", "y.org"]), some() + rng.choice(["", "a", "/b"])
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        want = max(fits, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "block"), default=None)
+        got = trie.match(host, path)
+        assert (got and got[1]) == want
+    many = url_filter.Trie(url_filter.Rule("block", "x.org", f"/{k}") for k in range(100_000))
+    import time
+
+    began = time.monotonic()
+    for k in range(2000):
+        assert many.match("x.org", f"/{k}z")[1].path == f"/{k}"
+    assert time.monotonic() - began < 2
+
+
 def archive(spark, path, rows):
     warc.register(spark)
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
@@ -385,6 +408,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert names and all(n.startswith("part_") for n in names)
 
 
+def test_warc_revisits_by_shuffle_are_those_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i, f"u{i}", None if i % 3 == 0 else f"t{i % 7}", "x") for i in range(60)] + [(None, "n", "t1", "x"), (59, "again", "t3", "y"), (59, "again", "t3", "y")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha string").repartition(4)
+    df = df.selectExpr("*", "'a' AS again", "1 AS keep", "2 AS same", "3 AS of")
+    one, two = (sorted(map(str, warc.with_revisits(df, "page_id", "url", "html", "d", most=m).collect())) for m in (10**6, 0))
+    assert one == two and len(one) == len(rows)
+    assert sum("revisit" in x for x in one) == len(rows) - 10 and sum("keep" in x for x in one) == 0
+
+
+def test_small_gzip_members_read_in_linear_time(tmp_path):
+    import time
+
+    one = warc.record({"WARC-Type": "response", "Content-Type": "application/http"}, warc.http_block(b"x" * 40))
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(one) * 20_000)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) * 20_000)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(one * 20_000))
+    for name in "abc":
+        reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+        began = time.monotonic()
+        assert sum(1 for _ in reader.records(str(tmp_path / f"{name}.warc.gz"), warc.pafs.LocalFileSystem())) == 20_000
+        assert time.monotonic() - began < 5
+
+
 def test_warc_pushdown_and_skipping(spark, tmp_path):
     rows = [(i, f"http://{'ab'[i % 2]}/{i}", f"text {i // 3}") for i in range(30)]
     path = f"file://{tmp_path}/w"
