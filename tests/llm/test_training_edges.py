@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfall.llm import common, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, registry, toxicity, warc
+from tarnfall.llm import common, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, registry, toxicity, url_filter, warc
 
 LONG = "lorem ipsum dolor " * 60_000
 ROWS = [
@@ -131,6 +131,31 @@ def test_leaks(spark, edge, empty):
     assert decontaminate.leaks(empty, items).count() == 0
 
 
+def test_leaks_in_long_texts(spark):
+    """An edited copy at the end of a long text, another across it, and equal alignments."""
+    item = [f"i{k}" for k in range(40)]
+    edited = " ".join("x" if k % 4 == 3 else w for k, w in enumerate(item))  # a share of 0.64 is left
+    rows = [(1, LONG + edited), (2, edited + " " + LONG), (3, LONG), (4, " ".join(item) + " gap" * 100 + " " + " ".join(item))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(got) == {1, 2, 4}
+    assert (got[1].start_word, got[1].end_word) == (180_000, 180_039) and got[2].start_word == 0
+    assert (got[4].start_word, got[4].end_word, got[4].share) == (0, 40, 1)
+
+
+def test_urls(spark, empty):
+    long = "http://WWW.Example.com/en/" + "a/" * 50_000 + "?q"
+    rows = [(1, long), (1, long), (2, None), (3, "no scheme"), (None, "x://b.net/es/#f"), (4, ""), (5, "http://h" + ".l" * 3000 + ".net/fr/")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string").selectExpr("*", *[f"'c' AS {c}" for c in ("host", "path", "rule", "verdict", "labels", "length")])
+    got = sorted((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict) for r in url_filter.judge(df.repartition(2), url_filter.RULES).collect())
+    assert got[1:3] == [(1, "www.example.com", 100_004, "www.example.com/en/", "allow")] * 2
+    assert got[0] == (0, "b.net", 4, "net/es/", "block") and got[-1][3:] == ("net/fr/", "block")
+    assert got[3] == (2, "", 0, None, "allow") and got[4][1:] == got[5][1:] == ("", 0, None, "allow")
+    assert url_filter.judge(df.where("false"), url_filter.RULES).count() == 0
+    assert {r.verdict for r in url_filter.judge(df, [], default="block").collect()} == {"block"}
+
+
 def test_languages(edge, empty):
     model = language_id.learn(edge, "doc_id", "text", "lang")
     got = language_id.identify(edge, model)
