@@ -1,27 +1,28 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of trigrams.
 
-The model mixes maximum-likelihood estimates of a word after its context, of the word
+The model mixes maximum-likelihood estimates of a word after two words, after one and
 alone, and a uniform one over the vocabulary and one unknown word:
 
-    P(w | u) = l2[b] * c(u, w) / c(u) + l1[b] * c(w) / N + l0[b] / (V + 1)
+    P(w | t u) = l3[b] c(t, u, w) / c(t, u) + l2[b] c(u, w) / c(u) + l1[b] c(w) / N + l0[b] / (V + 1)
 
-b is the context's frequency bucket, floor(log2(c(u) + 1)). The weights are learned by
-expectation-maximisation on held-out counts: each of the four training folds in turn is
-deleted from all counts and predicted from the others. Contexts are all words and the
-start of a text. The counts of the FREQUENT most frequent ones have a fixed bound and are
-broadcast, those of the others are joined by shuffle; pairs (context, word) are counted
-over the whole corpus and never leave the executors.
+b is the pair of the contexts' frequency buckets, floor(log2(c + 1)) of c(t, u) and of c(u).
+The weights are learned by expectation-maximisation on held-out counts: each of the
+four training folds in turn is deleted from all counts and predicted from the others. All
+words are contexts, as is the start of a text. Nothing is cut off: the counts of the
+FREQUENT most frequent words have a fixed bound and are broadcast, those of the others,
+and of n-grams that don't meet in one task, are joined by shuffle.
 
 Plan, for bounded memory at any size:
 1. Words of the training folds are counted (pre-aggregated in each task).
 2. Each task packs its texts' tokens, in chunks of at most CHUNK_TOKENS, into arrays by
-   key: a hash of the word, of (context, word) if the word is frequent, or of (context,
-   word, chunk) if the pair is: those few pairs are counted first and their counts are
-   broadcast, so neither a word nor a pair ever meets in one task. A key holds about
-   KEY_TOKENS tokens of the corpus. Contexts that aren't frequent are kept as 64-bit hashes.
-3. The counts of those contexts are joined from the word counts, for each key that has them.
-4. For each key, the counts of its pairs are local: they give a histogram of deleted
-   probabilities (a bounded number of cells), on which EM runs in one task on an executor ...
+   key: a hash of the middle word u, of (t, u) if u is frequent, or of (t, u, chunk) if the pair
+   is, so neither a word nor a pair nor a passage that many texts share ever meets in one task.
+   A key holds about KEY_TOKENS tokens of the corpus. What stands together in a key is counted
+   there: all but c(w), c(u, w) of frequent u and c(t, u, w) of frequent pairs.
+3. Those are joined for each key that has them, the first from the word counts, the others
+   from counts of such n-grams alone, and return packed by key.
+4. For each key, its trigrams give a histogram of deleted probabilities (a number of cells
+   that the corpus doesn't move), on which EM runs in one task on an executor ...
 5. ... and then, from the same arrays, the sums of log probabilities of each text.
 6. Those return by chunk and are added up for each text.
 
@@ -60,16 +61,36 @@ KEY_TOKENS = 2_500_000
 #: Chunks and keys grow with the square root of the corpus where a chunk would have fewer
 #: tokens of a key than this, so the pieces of all chunks stay in proportion to the corpus.
 MIN_PIECE = 25
-#: A word with more than this share of a key's tokens is dealt by (context, word).
-SPREAD = 0.1
-#: A pair with more than this share of a key's tokens is dealt by chunk, too.
-SPREAD_PAIR = 0.2
-#: Of the 64 bits by which a chunk is sorted; 32 are the context and the text's place.
+#: A word, or a pair, with more than this share of a key's tokens is dealt over keys.
+SPREAD = 0.4
+#: Of the 64 bits by which a chunk is sorted; 32 are two words' ids.
 KEY_BITS = 20
-BUCKETS = 64
-#: Cells of the EM histogram: half octaves of p / uniform.
-LEVELS, OFFSET = 256, 120
+#: Frequency buckets of a context.
+BUCKETS = 32
+#: Cells of the EM histogram: octaves of p / uniform.
+LEVELS, OFFSET = 64, 24
 ROUNDS = 100
+_M = np.uint64(0x9E3779B97F4A7C15)
+#: Hash of the start of a text.
+START_HASH = np.uint64(2)
+
+
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(u + _M) * np.uint64(3) ^ w)
+
+
+def triple_hash(t: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return K.mix(pair_hash(t, u) * np.uint64(5) ^ pair_hash(u, w))
+
+
+def before(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens two places and one before each; starts of texts stand for missing ones."""
+    u, t = np.empty_like(h), np.empty_like(h)
+    u[1:] = h[:-1]
+    u[first] = START_HASH
+    t[1:] = u[:-1]
+    t[first] = START_HASH
+    return t, u
 
 
 def token_arrays(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,19 +149,19 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts that are broadcast: at most FREQUENT words, with one column a training fold."""
+    """Counts that are broadcast: at most FREQUENT words, with one column a training fold,
+    and the pairs that are dealt over keys, at most 1 / SPREAD of the keys' number."""
 
     frequent: np.ndarray  # sorted hashes; the end is among them
     counts: np.ndarray
-    context: np.ndarray  # 65536 x folds: counts of contexts by id
+    start: np.ndarray  # texts of each fold
     total: np.ndarray  # tokens of each fold
     size: int  # V
     keys: int
     key: int  # tokens of a key
     chunk: int  # tokens
-    spread: np.ndarray  # of each frequent word, whether it is dealt by (context, word)
-    #: Pairs dealt by chunk, context << 16 | word by their ids, sorted; their counts.
-    pairs: np.ndarray
+    hot: np.ndarray  # hashes of the middle words that are dealt by (t, u), sorted
+    pairs: np.ndarray  # hashes of the (t, u) that are dealt by chunk, sorted
     pair_counts: np.ndarray
 
     @property
@@ -148,56 +169,83 @@ class Vocabulary:
         return 1.0 / (self.size + 1)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        """Places among the frequent words, RARE for others."""
+        """Places among the frequent words, START, or RARE for others."""
         at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == h, at, RARE)
-
-    def contexts(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Ids of the tokens before."""
-        out = np.empty(len(word), np.uint64)
-        out[1:] = word[:-1]
-        out[first] = START
+        out = np.where(self.frequent[at] == h, at, RARE)
+        out[h == START_HASH] = START
         return out
 
-    def hot_pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places among the pairs dealt by chunk, -1 for others."""
-        if not len(self.pairs):
-            return np.full(len(word), -1)
-        pair = context.astype(np.int64) << 16 | word.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == pair, at, -1)
+    def is_hot(self, u: np.ndarray) -> np.ndarray:
+        return member(self.hot, u)[1]
+
 
+def member(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in a sorted table, whether it is there)."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
 
-def with_pairs(rows: DataFrame, model: Vocabulary) -> Vocabulary:
-    """The model with the counts of frequent pairs: their words are frequent, too, so only
-    pairs of such words are counted. At most keys / SPREAD_PAIR of them are left."""
-    often = np.append(model.spread, False)
-    shared = rows.sparkSession.sparkContext.broadcast((model, often))
+
+COUNTED = "h bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint"
+
+
+def gram_counts(rows: DataFrame, grams, spark_value) -> DataFrame:
+    """h and n0..n3 of the n-grams that grams(model, h, t, u) names as (place, hash)."""
+    shared = rows.sparkSession.sparkContext.broadcast(spark_value)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often = shared.value
-        held = [(np.zeros(0, np.int64), np.zeros((0, len(TRAIN)), np.int64))]
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = summed(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(c) for c in n.T]], ["h", "n0", "n1", "n2", "n3"])
+
         for batch in batches:
             part, times = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for a, b, h, row, first in texts(batch):
-                word = model.ids(h)
-                context = model.contexts(word, first).astype(np.int64)
-                two = often[np.minimum(word, len(often) - 1)]
-                two &= (context == START) | often[np.minimum(context, len(often) - 1)]
-                two = np.flatnonzero(two)
-                n = np.stack([np.where(part[a:b] == j, times[a:b], 0)[row[two]] for j in TRAIN], 1)
-                held.append(summed(context[two] << 16 | word[two], n))
-            if len(held) > 64:
-                held = [summed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))]
-        pair, n = summed(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(pair), *[pa.array(c) for c in n.T]], ["pair", "n0", "n1", "n2", "n3"])
-
-    counted = rows.where(F.col("part") != HELD_OUT).mapInArrow(tidy(run), "pair bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
-    counted = counted.groupBy("pair").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(TRAIN))])
-    found = counted.where(F.expr("n0 + n1 + n2 + n3") > SPREAD_PAIR * model.key).orderBy("pair").collect()
-    model.pairs = np.array([r.pair for r in found], np.int64)
-    model.pair_counts = np.array([[r.n0, r.n1, r.n2, r.n3] for r in found], np.int64).reshape(-1, len(TRAIN))
-    return model
+                at, name = grams(shared.value, h, *before(h, first))
+                n = np.stack([np.where(part[a:b] == j, times[a:b], 0)[row[at]] for j in TRAIN], 1)
+                held.append(summed(name, n))
+                size += len(held[-1][0])
+                if size > 1_000_000:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    counted = rows.where(F.col("part") != HELD_OUT).mapInArrow(tidy(run), COUNTED)
+    return counted.groupBy("h").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(TRAIN))])
+
+
+def hot_bigrams(model: Vocabulary, h: np.ndarray, t: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(model.is_hot(u))
+    return at, pair_hash(u[at], h[at])
+
+
+def hot_trigrams(model: Vocabulary, h: np.ndarray, t: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(model.is_hot(u))
+    at = at[member(model.pairs, pair_hash(t[at], u[at]))[1]]
+    return at, triple_hash(t[at], u[at], h[at])
+
+
+def remote_counts(rows: DataFrame, words: DataFrame, model: Vocabulary) -> DataFrame:
+    """Counts of all that a key may have to ask for; model gets its frequent pairs. As c(t) and c(u)
+    are no less than c(t, u), such a pair is among the bigrams of frequent words, but for the
+    start of a text, which stands twice before the first word."""
+    out = words
+    if len(model.hot):
+        bigrams = written(gram_counts(rows, hot_bigrams, model), "bigrams")
+        out = out.unionByName(bigrams)
+        n = F.expr("n0 + n1 + n2 + n3")
+        found = {r.h % (1 << 64): [r.n0, r.n1, r.n2, r.n3] for r in bigrams.where(n > SPREAD * model.key).collect()}
+        if model.start.sum() > SPREAD * model.key:
+            found[int(pair_hash(np.array([START_HASH]), np.array([START_HASH]))[0])] = model.start.tolist()
+        model.pairs = np.array(sorted(found), np.uint64)
+        model.pair_counts = np.array([found[int(h)] for h in model.pairs], np.int64).reshape(-1, len(TRAIN))
+    if len(model.pairs):
+        out = out.unionByName(written(gram_counts(rows, hot_trigrams, model), "trigrams"))
+    return out
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -219,20 +267,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     table[END] = [ends.n0, ends.n1, ends.n2, ends.n3] if ends else [0, 0, 0, 0]
     frequent = np.array(sorted(table), np.uint64)
     own = np.array([table[h] for h in frequent], np.int64).reshape(-1, len(TRAIN))
-    context = np.zeros((1 << 16, len(TRAIN)), np.int64)
-    context[: len(frequent)] = own
-    context[np.searchsorted(frequent, END)] = 0  # nothing follows an end
-    context[START] = table[END]
-    context[RARE] = total - context.sum(0)
     tokens = int(total.sum()) * FOLDS // len(TRAIN)
     root = int((tokens * MIN_PIECE) ** 0.5)
     key = max(KEY_TOKENS, root, tokens >> KEY_BITS - 1)
-    keys, often = -(-tokens // key) or 1, own.sum(1) > SPREAD * key
-    none = np.zeros(0, np.int64), np.zeros((0, len(TRAIN)), np.int64)
-    return Vocabulary(frequent, own, context, total, size, keys, key, max(CHUNK_TOKENS, root), often, *none)
+    start = np.array(table[END], np.int64)
+    hot = [h for h in frequent[own.sum(1) > SPREAD * key] if h != END] + [START_HASH] * bool(start.sum() > SPREAD * key)
+    none = np.zeros(0, np.uint64), np.zeros((0, len(TRAIN)), np.int64)
+    return Vocabulary(frequent, own, start, total, size, -(-tokens // key) or 1, key, max(CHUNK_TOKENS, root), np.array(sorted(hot), np.uint64), *none)
 
 
-PACK = ("ids", "part", "times", "v", "run", "context", "row", "n", "far")
+PACK = ("ids", "part", "times", "u", "run", "word", "far", "before", "early", "row")
+_TYPES = dict(zip(PACK, (np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint16, np.uint64, np.uint16, np.uint64, np.uint16)))
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -240,10 +285,9 @@ def pack(arrays: dict[str, np.ndarray]) -> bytes:
     return head.tobytes() + b"".join(arrays[k].tobytes() for k in PACK)
 
 
-_TYPES = dict(zip(PACK, (np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint16, np.uint16, np.uint16, np.uint64)))
-
-
 def unpack(data: bytes) -> dict[str, np.ndarray]:
+    """The tokens of a key and chunk: u, of ``run`` tokens each; word and before, ids of w and t, and
+    the hashes of those that have none, far and early; and the place of the text in ids."""
     sizes = np.frombuffer(data, np.int64, len(PACK))
     out, at = {}, 8 * len(PACK)
     for k, n in zip(PACK, sizes.tolist()):
@@ -262,60 +306,45 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         ids, fold_, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
         h = np.concatenate([p[3] for p in parts])
         base = np.cumsum([0] + [len(p[0]) for p in parts])[:-1]
-        row = np.concatenate([p[4] + b for p, b in zip(parts, base)]).astype(np.uint64)
+        row = np.concatenate([(p[4] + b).astype(np.uint16) for p, b in zip(parts, base)])
         first = np.concatenate([p[5] for p in parts])
         parts.clear()  # from here on nothing is kept longer than it is used
-        word = model.ids(h)
-        context = model.contexts(word, first)
-        # Hashes of the contexts that have no id.
-        far = np.zeros(len(h), np.uint64)
-        rare = np.flatnonzero(context == RARE)
-        far[rare] = h[rare - 1]
+        t, u = before(h, first)
         name = K.mix(ids[:1].view(np.uint64) + np.uint64(len(ids)))
-        mixed = K.mix(h)
+        mixed = K.mix(u)
         key = mixed % np.uint64(model.keys)
-        hot = np.flatnonzero(np.append(model.spread, False)[np.minimum(word, len(model.spread))])
-        dealt = h[hot] ^ (context[hot] + far[hot] + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)
-        dealt[model.hot_pairs(context[hot], word[hot]) >= 0] += name
+        hot = np.flatnonzero(model.is_hot(u))
+        dealt = pair_hash(t[hot], u[hot])
+        dealt[member(model.pairs, dealt)[1]] += name
         key[hot] = K.mix(dealt) % np.uint64(model.keys)
-        # By key, word, context and text; of the word only some bits, as runs are told apart by all.
+        word, early = model.ids(h).astype(np.uint16), model.ids(t).astype(np.uint16)
+        # By key, middle word, word and the word before, and by text, as the sort keeps their order;
+        # of the middle word only some bits, as runs are told apart by all.
         rank = key << np.uint64(64 - KEY_BITS)
         mixed >>= np.uint64(32 + KEY_BITS)
         mixed <<= np.uint64(32)
-        context <<= np.uint64(16)
-        for x in (mixed, context, row):
-            rank |= x
-        del word, first, mixed, context, row, x
-        order = np.argsort(rank)
-        rank = rank[order]
-        h = h[order]
-        key = key[order].astype(np.int64)
-        far = far[order]
+        rank |= mixed
+        del mixed, first, hot, dealt, key
+        rank |= word.astype(np.uint64) << np.uint64(16)
+        rank |= early
+        order = np.argsort(rank, kind="stable")
+        key = (rank[order] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+        del rank
+        h, t, u, word, early, row = h[order], t[order], u[order], word[order], early[order], row[order]
         del order
-        new = np.ones(len(h), bool)
-        new[1:] = (rank[1:] != rank[:-1]) | (h[1:] != h[:-1]) | (far[1:] != far[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(h)))
-        while (n > 65_535).any():  # rarer than rare: one text with one pair so often
-            big = np.flatnonzero(n > 65_535)
-            at, n = np.insert(at, big + 1, at[big]), np.insert(n, big + 1, n[big] - 65_535)
-            n[big + np.arange(len(big))] = 65_535
-        h, key, rank, far = h[at], key[at], rank[at], far[at]
-        del new, at
-        context = (rank >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
-        row = (rank & np.uint64(0xFFFF)).astype(np.int64)
         edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:]):
             used = np.zeros(len(ids), bool)
             used[row[a:b]] = True
             local = np.cumsum(used) - 1
-            start = np.flatnonzero(np.concatenate(([True], h[a + 1 : b] != h[a : b - 1])))
+            start = np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
             data = pack({
                 "ids": np.diff(ids[used], prepend=0), "part": fold_[used],
                 "times": times[used] if (times[used] != 1).any() else times[:0],
-                "v": h[a:b][start], "run": np.diff(np.append(start, b - a)).astype(np.uint32),
-                "context": context[a:b], "row": local[row[a:b]].astype(np.uint16), "n": n[a:b].astype(np.uint16),
-                "far": far[a:b][context[a:b] == RARE],
+                "u": u[a:b][start], "run": np.diff(np.append(start, b - a)).astype(np.uint32),
+                "word": word[a:b], "far": h[a:b][word[a:b] == RARE],
+                "before": early[a:b], "early": t[a:b][early[a:b] == RARE],
+                "row": local[row[a:b]].astype(np.uint16),
             })
             yield int(key[a]), int(name[0].view(np.int64)), data
 
@@ -348,8 +377,131 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
     return rows.mapInArrow(tidy(run), "key bigint, chunk bigint, data binary")
 
 
-def far_counts(arrays: DataFrame, counts: DataFrame) -> DataFrame:
-    """key, h and n0..n3 of the contexts without an id that the key's records have."""
+class Grams:
+    """One key's tokens and the counts of its n-grams, by training fold. far: the key's rows of ``asked``."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], model: Vocabulary, far: pa.Table):
+        self.model = model
+        self.sizes = [len(p["ids"]) for p in parts]
+        self.ids = np.concatenate([p["ids"] for p in parts])
+        base = np.cumsum([0] + self.sizes)[:-1]
+        self.row = np.concatenate([p["row"].astype(np.int32) + np.int32(b) for p, b in zip(parts, base)])
+        fold_, times = (np.concatenate([p[k] for p in parts]) for k in ("part", "times"))
+        us, run = np.unique(np.concatenate([p["u"] for p in parts]), return_inverse=True)
+        u = np.repeat(run.astype(np.int32), np.concatenate([p["run"] for p in parts]))
+        words, self.word = self._coded(parts, "word", "far")
+        befores, t = self._coded(parts, "before", "early")
+        parts.clear()
+        # Bigrams (u, w), contexts (t, u) and trigrams, by their places.
+        bigrams, self.bigram = self._distinct(u, self.word)
+        contexts, self.context = self._distinct(u, t)
+        del t, u, run
+        trigrams, self.trigram = self._distinct(self.bigram, self.context)
+        self.of = (trigrams >> 32).astype(np.int32), (trigrams & 0xFFFFFFFF).astype(np.int32)  # bigram, context
+        del trigrams
+        self.bigram_u, self.bigram_w = (bigrams >> 32).astype(np.int32), (bigrams & 0xFFFFFFFF).astype(np.int32)
+        self.context_u = (contexts >> 32).astype(np.int32)
+        # What isn't all here: bigrams of frequent u, trigrams of frequent pairs, and words.
+        hot = model.is_hot(us)
+        self.far_bigrams = np.flatnonzero(hot[self.bigram_u])
+        some = np.flatnonzero(hot[self.context_u])
+        pair, found = member(model.pairs, pair_hash(befores[contexts[some] & 0xFFFFFFFF], us[self.context_u[some]]))
+        self.hot_contexts, pair = some[found], pair[found]
+        frequent = np.zeros(len(contexts), bool)
+        frequent[self.hot_contexts] = True
+        self.far_trigrams = np.flatnonzero(frequent[self.of[1]])
+        common = model.ids(words)
+        self.far_words = np.flatnonzero(common == RARE)
+        b = self.far_bigrams
+        tri_b, tri_c = self.of[0][self.far_trigrams], self.of[1][self.far_trigrams]
+        asks = (
+            words[self.far_words], pair_hash(us[self.bigram_u[b]], words[self.bigram_w[b]]),
+            triple_hash(befores[contexts[tri_c] & 0xFFFFFFFF], us[self.bigram_u[tri_b]], words[self.bigram_w[tri_b]]),
+        )
+        del befores, contexts, bigrams, b, tri_b, tri_c
+        self.here = np.zeros((len(self.of[0]), len(TRAIN)), np.uint32)
+        for k, j in enumerate(TRAIN):
+            at = np.flatnonzero(fold_[self.row] == j)
+            n = np.bincount(self.trigram[at], times[self.row[at]], len(self.here))
+            if n.max(initial=0) >= 1 << 32:
+                self.here = self.here.astype(np.float64)
+            self.here[:, k] = n
+        del at, n
+        replies = [self._reply(far, h) for h in asks]
+        self.c1 = np.zeros((len(words), len(TRAIN)))
+        known = common < START
+        self.c1[known] = model.counts[common[known]]
+        self.c1[self.far_words] = replies[0]
+        self.replies = replies[1:]
+        self.pair = pair
+        at = model.ids(us[hot])
+        self.hot_u = np.flatnonzero(hot)
+        self.hot_u_counts = np.where((at == START)[:, None], model.start, model.counts[np.minimum(at, len(model.counts) - 1)])
+
+    def _coded(self, parts: list[dict[str, np.ndarray]], ids: str, hashes: str) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct hashes, each token's place among them)."""
+        which = np.concatenate([p[ids] for p in parts])
+        rare, at = np.unique(np.concatenate([p[hashes] for p in parts]), return_inverse=True)
+        code = which.astype(np.int32)
+        code[which == RARE] = (1 << 16) + at
+        seen, code = np.unique(code, return_inverse=True)
+        table = np.concatenate((self.model.frequent, np.zeros(max(0, (1 << 16) - len(self.model.frequent)), np.uint64), rare))
+        table[START] = START_HASH
+        return table[seen], code.astype(np.int32)
+
+    @staticmethod
+    def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(high.astype(np.int64) << 32 | low, return_inverse=True)
+        return found, at.astype(np.int32)
+
+    @staticmethod
+    def _reply(far: pa.Table, h: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(h), len(TRAIN)))
+        for data in far["data"].to_pylist():
+            n = len(data) // (8 * (1 + len(TRAIN)))
+            at, found = member(h_sorted := np.frombuffer(data, np.uint64, n), h)
+            counts = np.frombuffer(data, np.int64, n * len(TRAIN), 8 * n).reshape(len(TRAIN), n)
+            out[found] = counts[:, at[found]].T
+        return out
+
+    def counts(self, fold_: int | None = None) -> tuple[np.ndarray, ...]:
+        """c(t, u, w), c(t, u), c(u, w) and c(u) of each trigram in the corpus or in one fold."""
+        pick = (lambda x: x.sum(1, dtype=np.float64)) if fold_ is None else (lambda x: x[:, fold_].astype(np.float64))
+        c3 = pick(self.here)
+        context = np.bincount(self.of[1], c3, len(self.context_u))
+        bigram = np.bincount(self.of[0], c3, len(self.bigram_u))
+        u = np.bincount(self.bigram_u, bigram)
+        bigram[self.far_bigrams] = pick(self.replies[0])
+        c3[self.far_trigrams] = pick(self.replies[1])
+        context[self.hot_contexts] = pick(self.model.pair_counts[self.pair])
+        u[self.hot_u] = pick(self.hot_u_counts)
+        return c3, context[self.of[1]], bigram[self.of[0]], u[self.bigram_u][self.of[0]]
+
+
+def hashes_of(p: dict[str, np.ndarray], ids: str, far: str, model: Vocabulary) -> np.ndarray:
+    which = p[ids].astype(np.int64)
+    out = model.frequent[np.minimum(which, len(model.frequent) - 1)]
+    out[which == START] = START_HASH
+    out[which == RARE] = p[far]
+    return out
+
+
+def asks_of(p: dict[str, np.ndarray], model: Vocabulary) -> np.ndarray:
+    """Hashes of the counts that a piece's tokens need and that may not stand in its key."""
+    out = [p["far"], np.array([END])]  # the end is always counted, so every key has a reply
+    hot = model.is_hot(p["u"])
+    if hot.any():
+        at = np.flatnonzero(np.repeat(hot, p["run"]))
+        u = np.repeat(p["u"][hot], p["run"][hot])
+        w, t = hashes_of(p, "word", "far", model)[at], hashes_of(p, "before", "early", model)[at]
+        out.append(pair_hash(u, w))
+        found = member(model.pairs, pair_hash(t, u))[1]
+        out.append(triple_hash(t[found], u[found], w[found]))
+    return np.unique(np.concatenate(out))
+
+
+def asked(arrays: DataFrame, counts: DataFrame, vocab) -> DataFrame:
+    """key and data: sorted hashes of what the key's tokens ask for and their counts by fold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -362,7 +514,7 @@ def far_counts(arrays: DataFrame, counts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(2)):
-                h = np.unique(unpack(data.as_buffer())["far"])
+                h = asks_of(unpack(data.as_buffer()), vocab.value)
                 held.setdefault(key, []).append(h)
                 size += len(h)
                 if size > 2_000_000:
@@ -370,110 +522,76 @@ def far_counts(arrays: DataFrame, counts: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from out()
 
-    return arrays.mapInArrow(tidy(run), "key bigint, h bigint").join(counts, "h").select("key", *counts.columns)
-
-
-class Pairs:
-    """Counts of one key's words and (context, word) pairs, and its token records.
+    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    far: the key's rows of far_counts."""
+        def out() -> Iterator[pa.RecordBatch]:
+            table = np.concatenate(held, 1)
+            table = table[:, np.lexsort((table[1].view(np.uint64), table[0]))]
+            edges = np.flatnonzero(np.diff(table[0], prepend=table[0, :1] - 1, append=table[0, -1:] + 1))
+            data = [table[1:, a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(table[0, edges[:-1]]), pa.array(data, pa.binary())], ["key", "data"])
+
+        for b in batches:
+            held.append(np.stack([c.to_numpy() for c in b.columns]))
+            size += b.num_rows
+            if size > 500_000:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
 
-    def __init__(self, table: pa.Table, far: pa.Table, model: Vocabulary):
-        parts = [unpack(d) for d in table["data"].to_pylist()]
-        self.sizes = [len(p["ids"]) for p in parts]
-        self.ids = np.concatenate([p["ids"] for p in parts])
-        base = np.cumsum([0] + self.sizes)[:-1]
-        self.row = np.concatenate([p["row"].astype(np.int32) + np.int32(b) for p, b in zip(parts, base)])
-        self.n = np.concatenate([p["n"] for p in parts])
-        context = np.concatenate([p["context"] for p in parts]).astype(np.int64)
-        #: Counts of contexts by id, those without one by their place after the ids.
-        self.context = model.context
-        hashes, at = np.unique(np.concatenate([p["far"] for p in parts]), return_inverse=True)
-        context[context == RARE] = len(model.context) + at
-        own = np.zeros((len(hashes), len(TRAIN)), np.int64)
-        at = np.searchsorted(hashes, far["h"].to_numpy().view(np.uint64))
-        own[at] = np.stack([far[f"n{k}"].to_numpy() for k in range(len(TRAIN))], 1)
-        self.context = np.concatenate((model.context, own))
-        del hashes, at
-        fold_, times = (np.concatenate([p[k] for p in parts]) for k in ("part", "times"))
-        words, run = np.unique(np.concatenate([p["v"] for p in parts]), return_inverse=True)
-        self.word = np.repeat(run.astype(np.int32), np.concatenate([p["run"] for p in parts]))
-        del parts
-        pairs, pair = np.unique(self.word.astype(np.int64) << 32 | context, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        del pair, context
-        self.pair_word, self.pair_context = pairs >> 32, pairs & 0xFFFFFFFF
-        #: What this key has of each pair, by training fold.
-        self.here = np.zeros((len(pairs), len(TRAIN)), np.uint32)
-        self.c1 = np.zeros((len(words), len(TRAIN)))
-        for k, j in enumerate(TRAIN):
-            of = np.flatnonzero(fold_[self.row] == j)
-            w = self.n[of] * times[self.row[of]].astype(np.float64)
-            found = np.bincount(self.pair[of], w, len(pairs))
-            if found.max(initial=0) >= 1 << 32:
-                self.here = self.here.astype(np.float64)
-            self.here[:, k] = found
-            self.c1[:, k] = np.bincount(self.word[of], w, len(words))
-        del found, of, w
-        common = model.ids(words)
-        known = common != RARE
-        self.c1[known] = model.counts[common[known]]
-        # Pairs dealt over all keys, and their counts in the corpus.
-        hot = model.hot_pairs(self.pair_context, common[self.pair_word])
-        self.hot = np.flatnonzero(hot >= 0)
-        self.hot_counts = model.pair_counts[hot[self.hot]]
-
-    def c2(self, fold_: int | None = None) -> np.ndarray:
-        """Counts of the pairs in the corpus, or in one fold."""
-        out = self.here.sum(1, dtype=np.float64) if fold_ is None else self.here[:, fold_].astype(np.float64)
-        out[self.hot] = self.hot_counts.sum(1) if fold_ is None else self.hot_counts[:, fold_]
-        return out
+    found = arrays.mapInArrow(tidy(run), "key bigint, h bigint").join(counts, "h").select("key", *counts.columns)
+    return found.mapInArrow(tidy(together), "key bigint, data binary")
 
 
 def share(count: np.ndarray, total: np.ndarray | float) -> np.ndarray:
     return np.divide(count, total, out=np.zeros(np.broadcast(count, total).shape), where=np.asarray(total) > 0)
 
 
-def bucket(context: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(context + 1)).astype(np.int64)
+def bucket(context: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The place of c(t, u)'s and c(u)'s buckets among the weights."""
+    of = [np.minimum(np.floor(np.log2(c + 1)), BUCKETS - 1).astype(np.int64) for c in (context, one)]
+    return of[0] * BUCKETS + of[1]
 
 
 def deleted_cells(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
-    """A histogram of the pairs of each training fold by what the other folds predict."""
-    t = Pairs(table, far, model)
-    cells, values = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
-    c2 = t.c2()
+    """A histogram of the trigrams of each training fold by what the other folds predict."""
+    t = Grams([unpack(d) for d in table["data"].to_pylist()], model, far)
+    cells, values = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
+    whole, c1, total = t.counts(), t.c1.sum(1), float(model.total.sum())
+    word = t.bigram_w[t.of[0]]
     for k in range(len(TRAIN)):
         seen = np.flatnonzero(t.here[:, k])
         w = t.here[seen, k].astype(np.float64)
-        u = (t.context.sum(1) - t.context[:, k])[t.pair_context[seen]]
-        p2 = share((c2 - t.c2(k))[seen], u)
-        p1 = share((t.c1.sum(1) - t.c1[:, k])[t.pair_word[seen]], float(model.total.sum() - model.total[k]))
-        level = []
-        for p in (p2, p1):
-            x = 2 * np.log2(np.where(p > 0, p / model.uniform, 1))
-            level.append(np.where(p > 0, np.clip(np.floor(x) + OFFSET, 1, LEVELS - 1), 0).astype(np.int64))
-        cells.append((bucket(u) * LEVELS + level[0]) * LEVELS + level[1])
-        values.append(np.stack([w, w * p2, w * p1], 1))
+        c3, context, c2, u = (x[seen] - y[seen] for x, y in zip(whole, t.counts(k)))
+        p = [share(c3, context), share(c2, u), share((c1 - t.c1[:, k])[word[seen]], total - model.total[k])]
+        cell = bucket(context, u)
+        for x in p:
+            level = np.floor(np.log2(np.where(x > 0, x / model.uniform, 1))) + OFFSET
+            cell = cell * LEVELS + np.where(x > 0, np.clip(level, 1, LEVELS - 1), 0).astype(np.int64)
+        cells.append(cell)
+        values.append(np.stack([w, *[w * x for x in p]], 1))
     cell, at = np.unique(np.concatenate(cells), return_inverse=True)
     sums = [np.bincount(at, c, len(cell)) for c in np.concatenate(values).T]
-    del t, c2
+    del t, whole, cells, values
     release_memory()
-    return pa.table({"cell": cell, "w": sums[0], "w2": sums[1], "w1": sums[2]})
+    return pa.table({"cell": cell, "w": sums[0], "w3": sums[1], "w2": sums[2], "w1": sums[3]})
 
 
 def interpolation_weights(cells: list, uniform: float) -> np.ndarray:
-    """BUCKETS x (l2, l1, l0) by EM on the held-out counts of each bucket.
-
-    cells: rows of cell, w, w2 and w1 as from deleted_cells."""
-    weights = np.full((BUCKETS, 3), np.nan)
-    cell, w_, w2, w1 = (np.array([r[k] for r in cells]) for k in ("cell", "w", "w2", "w1"))
-    of = cell.astype(np.int64) // LEVELS**2
-    for b in np.unique(of):
-        at = np.flatnonzero(of == b)
+    """BUCKETS * BUCKETS x (l3, l2, l1, l0) by EM on the held-out counts of each bucket.
+
+    cells: rows of cell, w, w3, w2 and w1 as from deleted_cells."""
+    weights = np.full((BUCKETS * BUCKETS, 4), np.nan)
+    cell, w_, *sums = (np.array([r[k] for r in cells], float) for k in ("cell", "w", "w3", "w2", "w1"))
+    of = cell.astype(np.int64) // LEVELS**3
+    order = np.argsort(of, kind="stable")
+    found, first = np.unique(of[order], return_index=True)
+    for b, at in zip(found, np.split(order, first[1:])):
         w = w_[at]
-        p = np.stack([w2[at] / w, w1[at] / w, np.full(len(at), uniform)], 1)
-        lam = np.full(3, 1 / 3)
+        p = np.stack([*[x[at] / w for x in sums], np.full(len(at), uniform)], 1)
+        lam = np.full(4, 1 / 4)
         for _ in range(ROUNDS):
             part = p * lam
             part *= (w / part.sum(1))[:, None]
@@ -481,25 +599,28 @@ def interpolation_weights(cells: list, uniform: float) -> np.ndarray:
         lam = np.maximum(lam, 1e-6)
         weights[b] = lam / lam.sum()
     # A bucket without held-out tokens takes its nearest neighbour's weights.
-    seen = np.flatnonzero(~np.isnan(weights[:, 0]))
-    if not len(seen):
-        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    near = seen[np.abs(np.arange(BUCKETS)[:, None] - seen[None, :]).argmin(1)]
-    return weights[near]
+    if not len(found):
+        return np.tile([0.0, 0.0, 0.0, 1.0], (BUCKETS * BUCKETS, 1))
+    b = np.arange(BUCKETS * BUCKETS)[:, None]
+    far = np.abs(b // BUCKETS - found // BUCKETS) + np.abs(b % BUCKETS - found % BUCKETS)
+    return weights[found[far.argmin(1)]]
 
 
 def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
     """For each chunk: its texts' sums over this key's tokens."""
-    weights = np.frombuffer(table["weights"][0].as_py(), np.float64).reshape(BUCKETS, 3)
-    t = Pairs(table, far, model)
-    total, c1, u = float(model.total.sum()), t.c1.sum(1), t.context.sum(1)
-    lam = weights[bucket(u[t.pair_context])]
-    p = lam[:, 0] * share(t.c2(), u[t.pair_context]) + lam[:, 1] * share(c1, total)[t.pair_word] + lam[:, 2] * model.uniform
+    # A key without replies means that nothing was learned.
+    weights = np.frombuffer(far["weights"][0].as_py(), np.float64).reshape(-1, 4) if far.num_rows else interpolation_weights([], 1.0)
+    t = Grams([unpack(d) for d in table["data"].to_pylist()], model, far)
+    total, c1 = float(model.total.sum()), t.c1.sum(1)
+    c3, context, c2, u = t.counts()
+    lam = weights[bucket(context, u)]
+    p = lam[:, 0] * share(c3, context) + lam[:, 1] * share(c2, u) + lam[:, 3] * model.uniform
+    p += lam[:, 2] * share(c1, total)[t.bigram_w[t.of[0]]]
     base = np.log10((c1 + 0.5) / (total + 0.5 * (model.size + 1)))
     n = len(t.ids)
     sums = np.stack([
-        np.bincount(t.row, t.n, n), np.bincount(t.row, t.n * (c1 > 0)[t.word], n),
-        np.bincount(t.row, t.n * base[t.word], n), np.bincount(t.row, t.n * np.log10(p)[t.pair], n),
+        np.bincount(t.row, minlength=n), np.bincount(t.row, (c1 > 0)[t.word], n),
+        np.bincount(t.row, base[t.word], n), np.bincount(t.row, np.log10(p)[t.trigram], n),
     ])
     out, at = [], 0
     for chunk, size in zip(table["chunk"].to_pylist(), t.sizes):
@@ -507,7 +628,7 @@ def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
         head = np.diff(t.ids[at : at + size], prepend=0).tobytes() + part[:2].astype(np.uint32).tobytes()
         out.append((chunk, head + part[2:].tobytes()))
         at += size
-    del t, sums, lam, p, base
+    del t, sums, lam, p, base, c3, context, c2, u
     release_memory()
     chunks, data = zip(*out)
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array(data, pa.binary())})
@@ -521,10 +642,10 @@ def learned(arrays: DataFrame, far: DataFrame, vocab) -> DataFrame:
             found = [interpolation_weights(rows, vocab.value.uniform).tobytes() for rows in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["weights"])
 
-    cells = arrays.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda t, f: deleted_cells(t, f, vocab.value), "cell bigint, w double, w2 double, w1 double")
-    cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("w", "w2", "w1")])
+    cells = arrays.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda t, f: deleted_cells(t, f, vocab.value), "cell bigint, w double, w3 double, w2 double, w1 double")
+    cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("w", "w3", "w2", "w1")])
     # A bounded number of cells, whatever the corpus.
-    return cells.agg(F.sort_array(F.collect_list(F.struct("cell", "w", "w2", "w1"))).alias("cells")).mapInArrow(run, "weights binary")
+    return cells.agg(F.sort_array(F.collect_list(F.struct("cell", "w", "w3", "w2", "w1"))).alias("cells")).mapInArrow(run, "weights binary")
 
 
 def added_up(table: pa.Table) -> pa.Table:
@@ -554,13 +675,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         rows = rows.withColumn("uid", F.xxhash64(F.coalesce(F.col("id"), F.lit(0)), F.col("id").isNull(), "text"))
         units = rows.groupBy("uid").agg(F.first("text").alias("text"), F.first("part").alias("part"), F.count(F.lit(1)).cast("int").alias("times"))
     counts = written(word_counts(units), "words")
-    model = with_pairs(units, vocabulary(counts))
+    model = vocabulary(counts)
+    counts = remote_counts(units, counts, model)
     shared = spark.sparkContext.broadcast(model)
     # One plan: the weights are a subquery over the same exchange, which is made once.
     arrays = packed(units, shared).repartition("key")
-    far = far_counts(arrays, counts)
-    weighted = arrays.withColumn("weights", learned(arrays, far, shared).scalar())
-    sums = weighted.groupBy("key").cogroup(far.groupBy("key")).applyInArrow(lambda t, f: text_sums(t, f, shared.value), "chunk bigint, data binary")
+    far = asked(arrays, counts, shared)
+    weighted = far.withColumn("weights", learned(arrays, far, shared).scalar())
+    sums = arrays.groupBy("key").cogroup(weighted.groupBy("key")).applyInArrow(lambda t, f: text_sums(t, f, shared.value), "chunk bigint, data binary")
     out = sums.groupBy("chunk").applyInArrow(added_up, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     # A text of two chunks, or of a chunk that was made again from other rows, comes in parts.
     out = out.groupBy("uid").agg(*[F.sum(c).alias(c) for c in out.columns[1:]])

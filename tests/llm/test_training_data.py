@@ -166,89 +166,92 @@ def test_lm_scores(spark):
         assert r.held_out == (brute.fold(i, 5) == 1)
 
 
-def bigram_counts(docs):
-    """Counts of words, pairs and contexts by training fold."""
-    c1, c2, cu = Counter(), Counter(), Counter()
+def gram_counts(docs):
+    """Counts of n-grams and their contexts, in all training folds (None) and in each."""
+    out = Counter()
     for i, t in docs:
         k = brute.fold(i, 5)
         if k != 1:
-            ws = ["<s>", *brute.words(t), "</s>"]
-            for u, w in zip(ws, ws[1:]):
+            ws = ["<s>", "<s>", *brute.words(t), "</s>"]
+            for t_, u, w in zip(ws, ws[1:], ws[2:]):
                 for key in (k, None):
-                    c1[w, key] += 1
-                    c2[u, w, key] += 1
-                    cu[u, key] += 1
-    return c1, c2, cu
+                    out.update([(key, w), (key, u, w), (key, t_, u, w), (key, "context", u), (key, "contexts", t_, u), (key, "all")])
+    return out
+
 
+def estimates(c, t, u, w, less=None):
+    """(buckets, estimates by three, two and one words), without a fold's own counts."""
+    n = lambda *g: c[(None, *g)] - (c[(less, *g)] if less is not None else 0)
+    div = lambda a, b: a / b if b else 0.0
+    three, two = n("contexts", t, u), n("context", u)
+    return tuple(int(np.floor(np.log2(x + 1))) for x in (three, two)), (div(n(t, u, w), three), div(n(u, w), two), div(n(w), n("all")))
 
-def bigram_weights(c1, c2, cu, rounds=100):
-    """Bucket -> (l2, l1, l0) by EM on each fold's pairs, predicted from the other folds."""
-    v = len({w for w, k in c1 if k is None})
-    total = {k: sum(n for (_, j), n in c1.items() if j == k) for k in (None, 0, 2, 3, 4)}
+
+def mixture_weights(c, v, rounds=100):
+    """Buckets -> weights by EM on each fold's trigrams, predicted from the other folds."""
     seen = {}
-    for (u, w, k), n in c2.items():
-        if k is not None:
-            rest = cu[u, None] - cu[u, k]
-            p2 = (c2[u, w, None] - n) / rest if rest else 0
-            p1 = (c1[w, None] - c1[w, k]) / (total[None] - total[k])
-            seen.setdefault(int(np.floor(np.log2(rest + 1))), []).append((n, p2, p1, 1 / (v + 1)))
+    for g, n in c.items():
+        if g[0] is not None and len(g) == 4 and g[1] != "contexts":
+            b, p = estimates(c, *g[1:], less=g[0])
+            seen.setdefault(b, []).append((n, *p, 1 / (v + 1)))
     out = {}
     for b, rows in seen.items():
         rows = np.array(rows)
-        n, p, lam = rows[:, 0], rows[:, 1:], np.full(3, 1 / 3)
+        n, p, lam = rows[:, 0], rows[:, 1:], np.full(4, 1 / 4)
         for _ in range(rounds):
             part = p * lam
             lam = (part * (n / part.sum(1))[:, None]).sum(0) / n.sum()
-        out[b] = lam, n.sum()
+        lam = np.maximum(lam, 1e-6)
+        out[b] = lam / lam.sum(), n.sum()
     return out
 
 
-@pytest.mark.parametrize("chunk", [2_000_000, 500])
-def test_lm_model(spark, monkeypatch, chunk):
-    """The mixture, with its counts and EM weights, in plain Python; one pair is in every text."""
-    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
-    monkeypatch.setattr(lm_scoring, "MIN_PIECE", 1)
-    monkeypatch.setattr(lm_scoring, "KEY_TOKENS", 900)
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 40)
-    docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()][:60]
-    docs = [(i, " ".join((t or "").split()[:80]) + " of the" * 4) for i, t in docs] + [(9001, None), (9002, "the of the")]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+def watched_score(spark, monkeypatch, df):
+    """(scores, model, weights by buckets, arrays) of a run."""
     seen = {}
-    learned = lm_scoring.learned
-    monkeypatch.setattr(lm_scoring, "learned", lambda *a: seen.setdefault("w", learned(*a)))
-    paired = lm_scoring.with_pairs
-    monkeypatch.setattr(lm_scoring, "with_pairs", lambda *a: seen.setdefault("m", paired(*a)))
-    packed = lm_scoring.packed
-    monkeypatch.setattr(lm_scoring, "packed", lambda *a: seen.setdefault("p", packed(*a)))
+    for name in ("learned", "vocabulary", "packed"):
+        old = getattr(lm_scoring, name)
+        monkeypatch.setattr(lm_scoring, name, lambda *a, name=name, old=old: seen.setdefault(name, old(*a)))
     got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
-    model, lam = seen["m"], np.frombuffer(seen["w"].first()[0]).reshape(-1, 3)
+    lam = np.frombuffer(seen["learned"].first()[0]).reshape(lm_scoring.BUCKETS, lm_scoring.BUCKETS, 4)
+    return got, seen["vocabulary"], lam, seen["packed"]
+
+
+@pytest.mark.parametrize("chunk, spread", [(2_000_000, 0.4), (500, 0.4), (500, 0.05)])
+def test_lm_model(spark, monkeypatch, chunk, spread):
+    """The mixture, with its counts and EM weights, in plain Python; one passage is in every text."""
+    for name, value in (("CHUNK_TOKENS", chunk), ("MIN_PIECE", 1), ("KEY_TOKENS", 900), ("FREQUENT", 40), ("SPREAD", spread)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()][:60]
+    docs = [(i, " ".join((t or "").split()[:80]) + " of the" * 8) for i, t in docs] + [(9001, None), (9002, "the of the")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    got, model, lam, arrays = watched_score(spark, monkeypatch, df)
     assert model.keys > 1 and 1 < len(model.frequent) <= 40
-    assert len(model.pairs) == 1  # of the
+    assert {K.word_hash(b"of"), K.word_hash(b"the")} <= {int(h) for h in model.hot}
+    assert len(model.pairs) >= 1 and (spread > 0.1 or lm_scoring.START_HASH in model.hot and len(model.pairs) > 2)
     if chunk == 500:  # dealt over the keys
-        word = K.word_hash(b"the")
-        assert len({r.key for r in seen["p"].collect() if word in lm_scoring.unpack(r.data)["v"].tolist()}) > 4
-    c1, c2, cu = bigram_counts(docs)
-    want = bigram_weights(c1, c2, cu)
-    assert len(want) > 4
+        keys = {r.key for r in arrays.collect() if K.word_hash(b"of") in lm_scoring.unpack(r.data)["u"].tolist()}
+        assert len(keys) > 4
+    c = gram_counts(docs)
+    v = len({g for g in c if len(g) == 2 and g[0] is None and g[1] != "all"})
+    want = mixture_weights(c, v)
+    assert len(want) > 8
     for b, (weights, n) in want.items():
-        if n > 300:
-            assert lam[b] == pytest.approx(weights, abs=0.03)
-    n, v = sum(x for (_, k), x in c1.items() if k is None), len({w for w, k in c1 if k is None})
+        if n > 400:
+            assert lam[b] == pytest.approx(weights, abs=0.05)
     for i, t in docs:
-        ws, s, brute_score = ["<s>", *brute.words(t), "</s>"], 0.0, 0.0
-        for u, w in zip(ws, ws[1:]):
-            k = int(np.floor(np.log2(cu[u, None] + 1)))
-            p = [c2[u, w, None] / cu[u, None] if cu[u, None] else 0, c1[w, None] / n, 1 / (v + 1)]
-            s += np.log10(sum(x * y for x, y in zip(lam[k], p)))
-            brute_score += np.log10(sum(x * y for x, y in zip(want[k][0] if k in want else lam[k], p)))
+        ws, s, plain = ["<s>", "<s>", *brute.words(t), "</s>"], 0.0, 0.0
+        for g in zip(ws, ws[1:], ws[2:]):
+            b, p = estimates(c, *g)
+            s += np.log10(np.dot(lam[b], (*p, 1 / (v + 1))))
+            plain += np.log10(np.dot(want[b][0] if b in want else lam[b], (*p, 1 / (v + 1))))
         assert close(got[i], s)
-        assert got[i] == pytest.approx(brute_score, rel=0.02)
+        assert got[i] == pytest.approx(plain, rel=0.03)
     # A distribution: over the vocabulary and one unknown word it adds up to 1.
-    for u in {u for u, k in cu if k is None}:
-        k = int(np.floor(np.log2(cu[u, None] + 1)))
-        total = lam[k][2] / (v + 1)
-        for w in {w for w, j in c1 if j is None}:
-            total += lam[k][0] * c2[u, w, None] / cu[u, None] + lam[k][1] * c1[w, None] / n + lam[k][2] / (v + 1)
+    words = [g[1] for g in c if len(g) == 2 and g[0] is None and g[1] != "all"]
+    for t, u in list({g[2:] for g in c if g[:2] == (None, "contexts")})[:200]:
+        b, _ = estimates(c, t, u, "the")
+        total = lam[b][3] / (v + 1) + sum(np.dot(lam[b], (*estimates(c, t, u, w)[1], 1 / (v + 1))) for w in words)
         assert total == pytest.approx(1)
 
 
@@ -257,26 +260,16 @@ def test_lm_rare_contexts(spark, monkeypatch):
     docs = [(10 * k + j, " ".join(f"w{i}" for i in range(700 * k, 700 * k + 700 + j))) for k in range(100) for j in (0, 2, 3)]
     docs += [(k, f"w{k} w{k + 2} the w{k + 1} unseen{k} w{k}") for k in range(5000, 5400)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    seen = {}
-    learned = lm_scoring.learned
-    monkeypatch.setattr(lm_scoring, "learned", lambda *a: seen.setdefault("w", learned(*a)))
     monkeypatch.setattr(lm_scoring, "KEY_TOKENS", 50_000)
-    got = {r.doc_id: r.score for r in lm_scoring.score(df).collect()}
-    lam = np.frombuffer(seen["w"].first()[0]).reshape(-1, 3)
-    tokens = {i: ["<s>", *t.split(), "</s>"] for i, t in docs}
-    c1, c2, cu = Counter(), Counter(), Counter()
-    for i, ws in tokens.items():
-        if brute.fold(i, 5) != 1:
-            c1.update(ws[1:])
-            cu.update(ws[:-1])
-            c2.update(zip(ws, ws[1:]))
-    n, v = sum(c1.values()), len(c1)
-    assert v > 65_536
-    for i, ws in tokens.items():
-        s = 0.0
-        for u, w in zip(ws, ws[1:]):
-            l2, l1, l0 = lam[int(np.floor(np.log2(cu[u] + 1)))]
-            s += np.log10((l2 * c2[u, w] / cu[u] if cu[u] else 0) + l1 * c1[w] / n + l0 / (v + 1))
+    got, model, lam, _ = watched_score(spark, monkeypatch, df)
+    c = gram_counts(docs)
+    v = len({g for g in c if len(g) == 2 and g[0] is None and g[1] != "all"})
+    assert v > 65_536 and len(model.frequent) < v
+    for i, t in docs:
+        ws, s = ["<s>", "<s>", *t.split(), "</s>"], 0.0
+        for g in zip(ws, ws[1:], ws[2:]):
+            b, p = estimates(c, *g)
+            s += np.log10(np.dot(lam[b], (*p, 1 / (v + 1))))
         assert close(got[i], s)
 
 
@@ -286,13 +279,14 @@ def test_lm_beats_the_base(spark):
 
 
 def test_em_prefers_the_better_estimate():
-    def cell(at, w, p2, p1):
-        return {"cell": at, "w": w, "w2": w * p2, "w1": w * p1}
-
-    base = 3 * lm_scoring.LEVELS**2
-    lam = lm_scoring.interpolation_weights([cell(base + 1, 90, 0.5, 0.01), cell(base + 2, 10, 0.0, 0.2)], 1e-4)
-    assert lam[3][0] > 0.8 and lam[3].sum() == pytest.approx(1)
-    assert (lam[0] == lam[3]).all()
+    def cell(at, w, *p):
+        return {"cell": at, "w": w} | {name: w * x for name, x in zip(("w3", "w2", "w1"), p)}
+
+    base = (3 * lm_scoring.BUCKETS + 4) * lm_scoring.LEVELS**3
+    lam = lm_scoring.interpolation_weights([cell(base + 1, 90, 0.5, 0.1, 0.01), cell(base + 2, 10, 0.0, 0.0, 0.2)], 1e-4)
+    at = 3 * lm_scoring.BUCKETS + 4
+    assert lam[at][0] > 0.8 and lam[at].sum() == pytest.approx(1)
+    assert (lam[0] == lam[at]).all()
 
 
 def test_mixing_targets(spark):
