@@ -36,7 +36,7 @@ columns stay outside.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,6 +65,8 @@ MIN_PIECE = 25
 SPREAD = 0.4
 #: Of the 64 bits by which a chunk is sorted; 32 are two words' ids.
 KEY_BITS = 20
+#: Trigrams whose probabilities are worked out at once.
+AT_ONCE = 500_000
 #: Frequency buckets of a context.
 BUCKETS = 32
 #: Cells of the EM histogram: octaves of p / uniform.
@@ -73,6 +75,8 @@ ROUNDS = 100
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Hash of the start of a text.
 START_HASH = np.uint64(2)
+#: Of the hash of a rare word before u, 40 bits tell the contexts (t, u) of one u apart.
+EARLY = np.uint64(0xFFFFFFFFFF000000)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -280,20 +284,39 @@ PACK = ("ids", "part", "times", "u", "run", "word", "far", "before", "early", "r
 _TYPES = dict(zip(PACK, (np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint16, np.uint64, np.uint16, np.uint64, np.uint16)))
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
+def squeezed(arrays: Iterable[np.ndarray]) -> bytes:
+    """Arrays byte plane by byte plane, compressed, behind their lengths."""
+    arrays = [np.ascontiguousarray(a) for a in arrays]
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
+    data = b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *planes])
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def widened(data: bytes | memoryview, types: Sequence[type]) -> list[np.ndarray]:
+    data = _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    out, at = [], 8 * len(types)
+    for kind, n in zip(types, np.frombuffer(data, np.int64, len(types)).tolist()):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * size
+    return out
+
+
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    head = np.array([len(arrays[k]) for k in PACK], np.int64)
-    return head.tobytes() + b"".join(arrays[k].tobytes() for k in PACK)
+    """ids and u go up, so their differences are stored."""
+    return squeezed(np.diff(arrays[k], prepend=arrays[k].dtype.type(0)) if k in ("ids", "u") else arrays[k] for k in PACK)
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
+def unpack(data: bytes | memoryview) -> dict[str, np.ndarray]:
     """The tokens of a key and chunk: u, of ``run`` tokens each; word and before, ids of w and t, and
     the hashes of those that have none, far and early; and the place of the text in ids."""
-    sizes = np.frombuffer(data, np.int64, len(PACK))
-    out, at = {}, 8 * len(PACK)
-    for k, n in zip(PACK, sizes.tolist()):
-        out[k] = np.frombuffer(data, _TYPES[k], n, at)
-        at += n * np.dtype(_TYPES[k]).itemsize
-    out["ids"] = np.cumsum(out["ids"])
+    out = dict(zip(PACK, widened(data, [_TYPES[k] for k in PACK])))
+    for k in ("ids", "u"):
+        out[k] = np.cumsum(out[k], dtype=out[k].dtype)
     if not len(out["times"]):
         out["times"] = np.ones(len(out["ids"]), np.uint32)
     return out
@@ -311,22 +334,18 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         parts.clear()  # from here on nothing is kept longer than it is used
         t, u = before(h, first)
         name = K.mix(ids[:1].view(np.uint64) + np.uint64(len(ids)))
-        mixed = K.mix(u)
-        key = mixed % np.uint64(model.keys)
+        key = K.mix(u) % np.uint64(model.keys)
         hot = np.flatnonzero(model.is_hot(u))
         dealt = pair_hash(t[hot], u[hot])
         dealt[member(model.pairs, dealt)[1]] += name
         key[hot] = K.mix(dealt) % np.uint64(model.keys)
         word, early = model.ids(h).astype(np.uint16), model.ids(t).astype(np.uint16)
-        # By key, middle word, word and the word before, and by text, as the sort keeps their order;
-        # of the middle word only some bits, as runs are told apart by all.
+        # By key, middle word, word and, as the sort keeps their order, text.
+        distinct, place = np.unique(u, return_inverse=True)
         rank = key << np.uint64(64 - KEY_BITS)
-        mixed >>= np.uint64(32 + KEY_BITS)
-        mixed <<= np.uint64(32)
-        rank |= mixed
-        del mixed, first, hot, dealt, key
-        rank |= word.astype(np.uint64) << np.uint64(16)
-        rank |= early
+        rank |= place.astype(np.uint64) << np.uint64(16)  # less than 28 bits
+        rank |= word
+        del distinct, place, first, hot, dealt, key
         order = np.argsort(rank, kind="stable")
         key = (rank[order] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
         del rank
@@ -339,11 +358,11 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
             local = np.cumsum(used) - 1
             start = np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
             data = pack({
-                "ids": np.diff(ids[used], prepend=0), "part": fold_[used],
+                "ids": ids[used], "part": fold_[used],
                 "times": times[used] if (times[used] != 1).any() else times[:0],
                 "u": u[a:b][start], "run": np.diff(np.append(start, b - a)).astype(np.uint32),
                 "word": word[a:b], "far": h[a:b][word[a:b] == RARE],
-                "before": early[a:b], "early": t[a:b][early[a:b] == RARE],
+                "before": early[a:b], "early": t[a:b][early[a:b] == RARE] & EARLY,
                 "row": local[row[a:b]].astype(np.uint16),
             })
             yield int(key[a]), int(name[0].view(np.int64)), data
@@ -458,14 +477,13 @@ class Grams:
     def _reply(far: pa.Table, h: np.ndarray) -> np.ndarray:
         out = np.zeros((len(h), len(TRAIN)))
         for data in far["data"].to_pylist():
-            n = len(data) // (8 * (1 + len(TRAIN)))
-            at, found = member(h_sorted := np.frombuffer(data, np.uint64, n), h)
-            counts = np.frombuffer(data, np.int64, n * len(TRAIN), 8 * n).reshape(len(TRAIN), n)
-            out[found] = counts[:, at[found]].T
+            asked_, *counts = widened(data, [np.int64] * (1 + len(TRAIN)))
+            at, found = member(np.cumsum(asked_).view(np.uint64), h)
+            out[found] = np.stack(counts, 1)[at[found]]
         return out
 
     def counts(self, fold_: int | None = None) -> tuple[np.ndarray, ...]:
-        """c(t, u, w), c(t, u), c(u, w) and c(u) of each trigram in the corpus or in one fold."""
+        """c(t, u, w), c(t, u), c(u, w) and c(u) by their places, in the corpus or in one fold."""
         pick = (lambda x: x.sum(1, dtype=np.float64)) if fold_ is None else (lambda x: x[:, fold_].astype(np.float64))
         c3 = pick(self.here)
         context = np.bincount(self.of[1], c3, len(self.context_u))
@@ -475,7 +493,12 @@ class Grams:
         c3[self.far_trigrams] = pick(self.replies[1])
         context[self.hot_contexts] = pick(self.model.pair_counts[self.pair])
         u[self.hot_u] = pick(self.hot_u_counts)
-        return c3, context[self.of[1]], bigram[self.of[0]], u[self.bigram_u][self.of[0]]
+        return c3, context, bigram, u
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some trigrams: their own, contexts', bigrams' and u's places."""
+        bigram = self.of[0][at]
+        return at, self.of[1][at], bigram, self.bigram_u[bigram]
 
 
 def hashes_of(p: dict[str, np.ndarray], ids: str, far: str, model: Vocabulary) -> np.ndarray:
@@ -529,7 +552,7 @@ def asked(arrays: DataFrame, counts: DataFrame, vocab) -> DataFrame:
             table = np.concatenate(held, 1)
             table = table[:, np.lexsort((table[1].view(np.uint64), table[0]))]
             edges = np.flatnonzero(np.diff(table[0], prepend=table[0, :1] - 1, append=table[0, -1:] + 1))
-            data = [table[1:, a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+            data = [squeezed((np.diff(table[1, a:b], prepend=0), *table[2:, a:b])) for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(table[0, edges[:-1]]), pa.array(data, pa.binary())], ["key", "data"])
 
         for b in batches:
@@ -560,21 +583,25 @@ def deleted_cells(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table
     t = Grams([unpack(d) for d in table["data"].to_pylist()], model, far)
     cells, values = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
     whole, c1, total = t.counts(), t.c1.sum(1), float(model.total.sum())
-    word = t.bigram_w[t.of[0]]
     for k in range(len(TRAIN)):
-        seen = np.flatnonzero(t.here[:, k])
-        w = t.here[seen, k].astype(np.float64)
-        c3, context, c2, u = (x[seen] - y[seen] for x, y in zip(whole, t.counts(k)))
-        p = [share(c3, context), share(c2, u), share((c1 - t.c1[:, k])[word[seen]], total - model.total[k])]
-        cell = bucket(context, u)
-        for x in p:
-            level = np.floor(np.log2(np.where(x > 0, x / model.uniform, 1))) + OFFSET
-            cell = cell * LEVELS + np.where(x > 0, np.clip(level, 1, LEVELS - 1), 0).astype(np.int64)
-        cells.append(cell)
-        values.append(np.stack([w, *[w * x for x in p]], 1))
+        rest = [x - y for x, y in zip(whole, t.counts(k))]
+        rest1 = share(c1 - t.c1[:, k], total - model.total[k])
+        for a in range(0, len(t.here), AT_ONCE):
+            seen = a + np.flatnonzero(t.here[a : a + AT_ONCE, k])
+            w = t.here[seen, k].astype(np.float64)
+            places = t.places(seen)
+            c3, context, c2, u = (x[at] for x, at in zip(rest, places))
+            p = [share(c3, context), share(c2, u), rest1[t.bigram_w[places[2]]]]
+            cell = bucket(context, u)
+            for x in p:
+                level = np.floor(np.log2(np.where(x > 0, x / model.uniform, 1))) + OFFSET
+                cell = cell * LEVELS + np.where(x > 0, np.clip(level, 1, LEVELS - 1), 0).astype(np.int64)
+            cell, at = np.unique(cell, return_inverse=True)
+            cells.append(cell)
+            values.append(np.stack([np.bincount(at, x, len(cell)) for x in (w, *[w * x for x in p])], 1))
     cell, at = np.unique(np.concatenate(cells), return_inverse=True)
     sums = [np.bincount(at, c, len(cell)) for c in np.concatenate(values).T]
-    del t, whole, cells, values
+    del t, whole
     release_memory()
     return pa.table({"cell": cell, "w": sums[0], "w3": sums[1], "w2": sums[2], "w1": sums[3]})
 
@@ -612,23 +639,28 @@ def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
     weights = np.frombuffer(far["weights"][0].as_py(), np.float64).reshape(-1, 4) if far.num_rows else interpolation_weights([], 1.0)
     t = Grams([unpack(d) for d in table["data"].to_pylist()], model, far)
     total, c1 = float(model.total.sum()), t.c1.sum(1)
-    c3, context, c2, u = t.counts()
-    lam = weights[bucket(context, u)]
-    p = lam[:, 0] * share(c3, context) + lam[:, 1] * share(c2, u) + lam[:, 3] * model.uniform
-    p += lam[:, 2] * share(c1, total)[t.bigram_w[t.of[0]]]
+    counts, one = t.counts(), share(c1, total)
+    p = np.zeros(len(t.here))
+    for a in range(0, len(p), AT_ONCE):
+        places = t.places(np.arange(a, min(a + AT_ONCE, len(p))))
+        c3, context, c2, u = (x[at] for x, at in zip(counts, places))
+        lam = weights[bucket(context, u)]
+        p[a : a + AT_ONCE] = lam[:, 0] * share(c3, context) + lam[:, 1] * share(c2, u) + lam[:, 3] * model.uniform
+        p[a : a + AT_ONCE] += lam[:, 2] * one[t.bigram_w[places[2]]]
+    np.log10(p, out=p)
     base = np.log10((c1 + 0.5) / (total + 0.5 * (model.size + 1)))
     n = len(t.ids)
     sums = np.stack([
         np.bincount(t.row, minlength=n), np.bincount(t.row, (c1 > 0)[t.word], n),
-        np.bincount(t.row, base[t.word], n), np.bincount(t.row, np.log10(p)[t.trigram], n),
+        np.bincount(t.row, base[t.word], n), np.bincount(t.row, p[t.trigram], n),
     ])
     out, at = [], 0
     for chunk, size in zip(table["chunk"].to_pylist(), t.sizes):
         part = sums[:, at : at + size]
-        head = np.diff(t.ids[at : at + size], prepend=0).tobytes() + part[:2].astype(np.uint32).tobytes()
-        out.append((chunk, head + part[2:].tobytes()))
+        ids = np.diff(t.ids[at : at + size], prepend=0)
+        out.append((chunk, squeezed((ids, *part[:2].astype(np.uint32), *part[2:]))))
         at += size
-    del t, sums, lam, p, base, c3, context, c2, u
+    del t, sums, p, counts
     release_memory()
     chunks, data = zip(*out)
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "data": pa.array(data, pa.binary())})
@@ -651,10 +683,10 @@ def learned(arrays: DataFrame, far: DataFrame, vocab) -> DataFrame:
 def added_up(table: pa.Table) -> pa.Table:
     ids, counts, sums = [], [], []
     for d in table["data"].to_pylist():
-        n = len(d) // 32
-        ids.append(np.cumsum(np.frombuffer(d, np.int64, n)))
-        counts.append(np.frombuffer(d, np.uint32, 2 * n, 8 * n).reshape(2, n))
-        sums.append(np.frombuffer(d, np.float64, 2 * n, 16 * n).reshape(2, n))
+        of, *found = widened(d, [np.int64, np.uint32, np.uint32, np.float64, np.float64])
+        ids.append(np.cumsum(of))
+        counts.append(np.stack(found[:2]))
+        sums.append(np.stack(found[2:]))
     distinct, at = np.unique(np.concatenate(ids), return_inverse=True)
     whole = [np.bincount(at, c, len(distinct)).astype(np.int64) for c in np.concatenate(counts, 1)]
     real = [np.bincount(at, c, len(distinct)) for c in np.concatenate(sums, 1)]
