@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result
 to the shared folder and reads it again as the next stage's docs. All but the last
 return the columns of documents; the last adds ``copies``, how often a document is taken.
+
+Defined results, as told by each operator: a null text is an empty one in every stage and no
+stage drops it for that, but of several only one stays after exact dedup and, as it has no
+words, the mix takes it as its source's share says; a very long text is scored, compared,
+aligned and counted whole; of repeated rows one stays; rows without an id stay through near-dedup
+and share their fate in the mix; ties go to the smallest doc_id; an empty table passes all
+stages; further columns are carried untouched, but one named copies is replaced.
 """
 
 from __future__ import annotations
