@@ -533,9 +533,10 @@ def test_kneser_ney_is_a_distribution():
     assert np.isfinite(kn.own).all() and np.isfinite(kn.context).all()
 
 
-@pytest.mark.parametrize("share", [1e-9, 1 / 20])
-def test_toxicity_is_that_of_plain_kneser_ney(monkeypatch, share):
+@pytest.mark.parametrize("least, share", [(2, 1e-9), (8, 1e-9), (2, 1 / 10)])
+def test_toxicity_is_that_of_plain_kneser_ney(monkeypatch, least, share):
     """Features and scores of whole texts, with new words, stems, bytes beyond ASCII and long words."""
+    monkeypatch.setattr(toxicity, "MIN_DOCS", least)
     monkeypatch.setattr(toxicity, "MIN_SHARE", share)
     rng = random.Random(4)
     stems = ["ab", "abc", "abd", "é", "longerthanstem", "longerthanother", "x"]
@@ -544,7 +545,7 @@ def test_toxicity_is_that_of_plain_kneser_ney(monkeypatch, share):
     toxic = np.array([k % 3 == 0 for k in range(150)])
     texts = [some(bad) for bad in toxic]
     kn, _ = toxic_model(texts, toxic)
-    plain = brute.KneserNey(texts, toxic.tolist(), max(toxicity.MIN_DOCS, share * len(texts)))
+    plain = brute.KneserNey(texts, toxic.tolist(), max(least, share * len(texts)))
     news = [*texts[:20], some(True, 300), some(False, 900), "", "grobnew ab", "ab", "longerthanstemx é", "unseen words"]
     want = np.array([plain.features(t) for t in news])
     got = []
