@@ -187,14 +187,14 @@ COLUMNS = {
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
     """A row for each text: words, named places, labels, score and template spans. The
     score is the best span's share of its template, or one half for names alone."""
-    scanner = scanner or Scanner()
     prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())  # about 1 MB
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for n, named, spans in scanner.scan(b.column(1)):
+            for n, named, spans in shared.value.scan(b.column(1)):
                 at = [k for k, _ in named]
                 base = {label for _, label in named}
                 labels = base | {s.label for s in spans}
