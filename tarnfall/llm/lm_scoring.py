@@ -63,8 +63,10 @@ KEY_TOKENS = 2_500_000
 MIN_PIECE = 25
 #: A word, or a pair, with more than this share of a key's tokens is dealt over keys.
 SPREAD = 0.4
-#: Of the 64 bits by which a chunk is sorted; 32 are two words' ids.
+#: Keys are fewer than 2^KEY_BITS.
 KEY_BITS = 20
+#: Bits of a trigram's three codes that are sorted as one number.
+CODE_BITS = 63
 #: Trigrams whose probabilities are worked out at once.
 AT_ONCE = 500_000
 #: Frequency buckets of a context.
@@ -339,16 +341,20 @@ def packed(rows: DataFrame, vocab) -> DataFrame:
         dealt = pair_hash(t[hot], u[hot])
         dealt[member(model.pairs, dealt)[1]] += name
         key[hot] = K.mix(dealt) % np.uint64(model.keys)
-        word, early = model.ids(h).astype(np.uint16), model.ids(t).astype(np.uint16)
-        # By key, middle word, word and, as the sort keeps their order, text.
-        distinct, place = np.unique(u, return_inverse=True)
-        rank = key << np.uint64(64 - KEY_BITS)
-        rank |= place.astype(np.uint64) << np.uint64(16)  # less than 28 bits
-        rank |= word
-        del distinct, place, first, hot, dealt, key
-        order = np.argsort(rank, kind="stable")
-        key = (rank[order] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-        del rank
+        word = model.ids(h).astype(np.uint16)
+        early = np.full_like(word, START)
+        early[2:] = word[:-2]
+        early[t == START_HASH] = START
+        # By key, middle word, word and text. Words that share 44 bits of their hash are told apart below.
+        key <<= np.uint64(64 - KEY_BITS)
+        key |= u >> np.uint64(KEY_BITS)
+        distinct, place = np.unique(key, return_inverse=True)
+        rank = place.astype(np.uint64) << np.uint64(32)
+        rank |= word.astype(np.uint64) << np.uint64(16)
+        rank |= row
+        order = np.argsort(rank)
+        key = (distinct >> np.uint64(64 - KEY_BITS)).astype(np.int64)[place[order]]
+        del distinct, place, rank, first, hot, dealt
         h, t, u, word, early, row = h[order], t[order], u[order], word[order], early[order], row[order]
         del order
         edges = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
@@ -408,18 +414,36 @@ class Grams:
         fold_, times = (np.concatenate([p[k] for p in parts]) for k in ("part", "times"))
         us, run = np.unique(np.concatenate([p["u"] for p in parts]), return_inverse=True)
         u = np.repeat(run.astype(np.int32), np.concatenate([p["run"] for p in parts]))
-        words, self.word = self._coded(parts, "word", "far")
+        words, w = self._coded(parts, "word", "far")
         befores, t = self._coded(parts, "before", "early")
         parts.clear()
-        # Bigrams (u, w), contexts (t, u) and trigrams, by their places.
-        bigrams, self.bigram = self._distinct(u, self.word)
-        contexts, self.context = self._distinct(u, t)
-        del t, u, run
-        trigrams, self.trigram = self._distinct(self.bigram, self.context)
-        self.of = (trigrams >> 32).astype(np.int32), (trigrams & 0xFFFFFFFF).astype(np.int32)  # bigram, context
-        del trigrams
-        self.bigram_u, self.bigram_w = (bigrams >> 32).astype(np.int32), (bigrams & 0xFFFFFFFF).astype(np.int32)
+        # Trigrams by bigram (u, w) and t, each token's place among them, and their bigrams and
+        # contexts (t, u): one sort of all tokens where three codes fit in 63 bits.
+        wide, narrow = max(len(words), 1).bit_length(), max(len(befores), 1).bit_length()
+        if max(len(us), 1).bit_length() + wide + narrow <= CODE_BITS:
+            code = (u.astype(np.int64) << wide | w) << narrow | t
+            del u, w, t, run
+            order = np.argsort(code)
+            code = code[order]
+            new = np.diff(code, prepend=-1) != 0
+            self.trigram = np.empty(len(code), np.int32)
+            self.trigram[order] = np.cumsum(new, dtype=np.int32) - 1
+            code = code[new]
+            del order
+            early, code = code & (1 << narrow) - 1, code >> narrow
+            new = np.diff(code, prepend=-1) != 0
+            bigram, code = np.cumsum(new, dtype=np.int32) - 1, code[new]
+            self.bigram_u, self.bigram_w = (code >> wide).astype(np.int32), (code & (1 << wide) - 1).astype(np.int32)
+        else:
+            code, of = self._distinct(u, w)
+            self.bigram_u, self.bigram_w = (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32)
+            code, self.trigram = self._distinct(of, t)
+            bigram, early = (code >> 32).astype(np.int32), code & 0xFFFFFFFF
+            del u, w, t, run, of
+        contexts, context = self._distinct(self.bigram_u[bigram], early)
+        self.of = bigram, context
         self.context_u = (contexts >> 32).astype(np.int32)
+        del code, early
         # What isn't all here: bigrams of frequent u, trigrams of frequent pairs, and words.
         hot = model.is_hot(us)
         self.far_bigrams = np.flatnonzero(hot[self.bigram_u])
@@ -437,7 +461,7 @@ class Grams:
             words[self.far_words], pair_hash(us[self.bigram_u[b]], words[self.bigram_w[b]]),
             triple_hash(befores[contexts[tri_c] & 0xFFFFFFFF], us[self.bigram_u[tri_b]], words[self.bigram_w[tri_b]]),
         )
-        del befores, contexts, bigrams, b, tri_b, tri_c
+        del befores, contexts, b, tri_b, tri_c
         self.here = np.zeros((len(self.of[0]), len(TRAIN)), np.uint32)
         for k, j in enumerate(TRAIN):
             at = np.flatnonzero(fold_[self.row] == j)
@@ -463,10 +487,12 @@ class Grams:
         rare, at = np.unique(np.concatenate([p[hashes] for p in parts]), return_inverse=True)
         code = which.astype(np.int32)
         code[which == RARE] = (1 << 16) + at
-        seen, code = np.unique(code, return_inverse=True)
+        there = np.zeros((1 << 16) + len(rare), bool)
+        there[code] = True
+        seen, code = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[code]
         table = np.concatenate((self.model.frequent, np.zeros(max(0, (1 << 16) - len(self.model.frequent)), np.uint64), rare))
         table[START] = START_HASH
-        return table[seen], code.astype(np.int32)
+        return table[seen], code
 
     @staticmethod
     def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -649,11 +675,8 @@ def text_sums(table: pa.Table, far: pa.Table, model: Vocabulary) -> pa.Table:
         p[a : a + AT_ONCE] += lam[:, 2] * one[t.bigram_w[places[2]]]
     np.log10(p, out=p)
     base = np.log10((c1 + 0.5) / (total + 0.5 * (model.size + 1)))
-    n = len(t.ids)
-    sums = np.stack([
-        np.bincount(t.row, minlength=n), np.bincount(t.row, (c1 > 0)[t.word], n),
-        np.bincount(t.row, base[t.word], n), np.bincount(t.row, p[t.trigram], n),
-    ])
+    n, word = len(t.ids), t.bigram_w[t.of[0]]
+    sums = np.stack([np.bincount(t.row, minlength=n), *[np.bincount(t.row, x[t.trigram], n) for x in ((c1 > 0)[word], base[word], p)]])
     out, at = [], 0
     for chunk, size in zip(table["chunk"].to_pylist(), t.sizes):
         part = sums[:, at : at + size]
