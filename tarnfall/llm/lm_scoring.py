@@ -63,6 +63,8 @@ KEY_TOKENS = 2_500_000
 MIN_PIECE = 25
 #: A word, or a pair, with more than this share of a key's tokens is dealt over keys.
 SPREAD = 0.4
+#: Words of an owner, about, whose counts are asked for in one group.
+OWNER_WORDS = 250_000
 #: Keys are fewer than 2^KEY_BITS.
 KEY_BITS = 20
 #: Bits of a trigram's three codes that are sorted as one number.
@@ -503,8 +505,8 @@ class Grams:
     def _reply(far: pa.Table, h: np.ndarray) -> np.ndarray:
         out = np.zeros((len(h), len(TRAIN)))
         for data in far["data"].to_pylist():
-            asked_, *counts = widened(data, [np.int64] * (1 + len(TRAIN)))
-            at, found = member(np.cumsum(asked_).view(np.uint64), h)
+            answered, *counts = widened(data, [np.uint64] + [np.int64] * len(TRAIN))
+            at, found = member(np.cumsum(answered, dtype=np.uint64), h)
             out[found] = np.stack(counts, 1)[at[found]]
         return out
 
@@ -549,8 +551,10 @@ def asks_of(p: dict[str, np.ndarray], model: Vocabulary) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def asked(arrays: DataFrame, counts: DataFrame, vocab) -> DataFrame:
-    """key and data: sorted hashes of what the key's tokens ask for and their counts by fold."""
+def asked(arrays: DataFrame, counts: DataFrame, vocab, owners: int) -> DataFrame:
+    """key and data: sorted hashes of what the key's tokens ask for and their counts by fold.
+
+    Keys send their hashes packed, by owner, a part of all hashes; owners answer each key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -558,8 +562,12 @@ def asked(arrays: DataFrame, counts: DataFrame, vocab) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for key, parts in held.items():
-                h = np.unique(np.concatenate(parts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(h)], ["key", "h"])
+                h = np.unique(np.concatenate(parts))
+                owner = np.mod(h.view(np.int64), owners)
+                order = np.argsort(owner, kind="stable")
+                at, first = np.unique(owner[order], return_index=True)
+                data = [squeezed((np.diff(x, prepend=np.uint64(0)),)) for x in np.split(h[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), key)), pa.array(data, pa.binary())], ["owner", "key", "data"])
 
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(2)):
@@ -571,27 +579,22 @@ def asked(arrays: DataFrame, counts: DataFrame, vocab) -> DataFrame:
                     held, size = {}, 0
         yield from out()
 
-    def together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            table = np.concatenate(held, 1)
-            table = table[:, np.lexsort((table[1].view(np.uint64), table[0]))]
-            edges = np.flatnonzero(np.diff(table[0], prepend=table[0, :1] - 1, append=table[0, -1:] + 1))
-            data = [squeezed((np.diff(table[1, a:b], prepend=0), *table[2:, a:b])) for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(table[0, edges[:-1]]), pa.array(data, pa.binary())], ["key", "data"])
-
-        for b in batches:
-            held.append(np.stack([c.to_numpy() for c in b.columns]))
-            size += b.num_rows
-            if size > 500_000:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
+    def answer(asks: pa.Table, counts: pa.Table) -> pa.Table:
+        h = counts["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, n = h[order], [counts[f"n{k}"].to_numpy()[order] for k in range(len(TRAIN))]
+        keys, data = [], []
+        for key, blob in zip(asks["key"].to_pylist(), asks["data"].to_pylist()):
+            at, found = member(h, np.cumsum(widened(blob, [np.uint64])[0], dtype=np.uint64))
+            if found.any():
+                at = at[found]
+                keys.append(key)
+                data.append(squeezed((np.diff(h[at], prepend=np.uint64(0)), *[x[at] for x in n])))
+        return pa.table({"key": pa.array(keys, pa.int64()), "data": pa.array(data, pa.binary())})
 
-    found = arrays.mapInArrow(tidy(run), "key bigint, h bigint").join(counts, "h").select("key", *counts.columns)
-    return found.mapInArrow(tidy(together), "key bigint, data binary")
+    asks = arrays.mapInArrow(tidy(run), "owner bigint, key bigint, data binary")
+    counts = counts.select(F.pmod("h", F.lit(owners)).alias("owner"), *counts.columns)
+    return asks.groupBy("owner").cogroup(counts.groupBy("owner")).applyInArrow(answer, "key bigint, data binary")
 
 
 def share(count: np.ndarray, total: np.ndarray | float) -> np.ndarray:
@@ -735,7 +738,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = spark.sparkContext.broadcast(model)
     # One plan: the weights are a subquery over the same exchange, which is made once.
     arrays = packed(units, shared).repartition("key")
-    far = asked(arrays, counts, shared)
+    far = asked(arrays, counts, shared, -(-model.size // OWNER_WORDS) or 1)
     weighted = far.withColumn("weights", learned(arrays, far, shared).scalar())
     sums = arrays.groupBy("key").cogroup(weighted.groupBy("key")).applyInArrow(lambda t, f: text_sums(t, f, shared.value), "chunk bigint, data binary")
     out = sums.groupBy("chunk").applyInArrow(added_up, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -220,7 +220,7 @@ def watched_score(spark, monkeypatch, df):
 @pytest.mark.parametrize("chunk, spread, bits", [(2_000_000, 0.4, 63), (500, 0.4, 63), (500, 0.05, 63), (500, 0.05, 0)])
 def test_lm_model(spark, monkeypatch, chunk, spread, bits):
     """The mixture, with its counts and EM weights, in plain Python; one passage is in every text."""
-    for name, value in (("CHUNK_TOKENS", chunk), ("MIN_PIECE", 1), ("KEY_TOKENS", 900), ("FREQUENT", 40), ("SPREAD", spread), ("CODE_BITS", bits)):
+    for name, value in (("CHUNK_TOKENS", chunk), ("MIN_PIECE", 1), ("KEY_TOKENS", 900), ("FREQUENT", 40), ("SPREAD", spread), ("CODE_BITS", bits), ("OWNER_WORDS", 300)):
         monkeypatch.setattr(lm_scoring, name, value)
     docs = [tuple(r) for r in table(spark, "documents", SMALL).select("doc_id", "text").collect()][:60]
     docs = [(i, " ".join((t or "").split()[:80]) + " of the" * 8) for i, t in docs] + [(9001, None), (9002, "the of the")]
