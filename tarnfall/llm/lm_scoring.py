@@ -736,9 +736,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = vocabulary(counts)
     counts = remote_counts(units, counts, model)
     shared = spark.sparkContext.broadcast(model)
-    # One plan: the weights are a subquery over the same exchange, which is made once.
+    # One plan: the weights are a subquery over the same two exchanges, which are made once.
     arrays = packed(units, shared).repartition("key")
-    far = asked(arrays, counts, shared, -(-model.size // OWNER_WORDS) or 1)
+    far = asked(arrays, counts, shared, -(-model.size // OWNER_WORDS) or 1).repartition("key")
     weighted = far.withColumn("weights", learned(arrays, far, shared).scalar())
     sums = arrays.groupBy("key").cogroup(weighted.groupBy("key")).applyInArrow(lambda t, f: text_sums(t, f, shared.value), "chunk bigint, data binary")
     out = sums.groupBy("chunk").applyInArrow(added_up, "uid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
