@@ -57,7 +57,7 @@ START, RARE = 65_534, 65_535
 END = np.uint64(1)
 CHUNK_TOKENS = 2_000_000
 CHUNK_ROWS = 60_000
-KEY_TOKENS = 2_500_000
+KEY_TOKENS = 2_000_000
 #: Chunks and keys grow with the square root of the corpus where a chunk would have fewer
 #: tokens of a key than this, so the pieces of all chunks stay in proportion to the corpus.
 MIN_PIECE = 25
@@ -590,6 +590,8 @@ def asked(arrays: DataFrame, counts: DataFrame, vocab, owners: int) -> DataFrame
                 at = at[found]
                 keys.append(key)
                 data.append(squeezed((np.diff(h[at], prepend=np.uint64(0)), *[x[at] for x in n])))
+        del h, n, order
+        release_memory()
         return pa.table({"key": pa.array(keys, pa.int64()), "data": pa.array(data, pa.binary())})
 
     asks = arrays.mapInArrow(tidy(run), "owner bigint, key bigint, data binary")
